@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from .common import WORD_PATTERN, Workspace
 
-BIN_BITS = 12
+BIN_BITS, MAX_BROADCAST_LEAVES = 12, 20_000
 
 
 def n_tokens(text: Column) -> Column:
@@ -81,7 +81,13 @@ def mix(
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     light = ws.table("light", docs.select(*path, key.alias("__key"), n_tokens(F.col("text")).alias("tokens")))
     leaves = ws.table("leaves", light.groupBy(*path).agg(F.sum("tokens").alias("supply")))
-    total = leaves.agg(F.sum("supply")).first()[0] or 0
+    whole = leaves.agg(F.sum("supply").alias("supply"), F.count("*").alias("n")).first()
+    total = whole["supply"] or 0
+
+    def small(leaf_table: DataFrame) -> DataFrame:
+        """Broadcast behind a check of the number of leaves; beyond it, a join that AQE splits where it is skewed."""
+        return F.broadcast(leaf_table) if whole["n"] <= MAX_BROADCAST_LEAVES else leaf_table
+
     share = budgets(leaves, path, weights or {}, fraction * total, max_epochs)
 
     def same(a: str, b: str) -> Column:
@@ -100,13 +106,13 @@ def mix(
         h = F.xxhash64(k, F.lit(seed), F.col("__whole"))
         return rows.withColumn("__h", h).withColumn("__bin", F.shiftright("__h", 64 - BIN_BITS).cast("int"))
 
-    rows = ordered(light.alias("d").join(leaf.alias("l"), same("d", "l")).select(*[F.col(f"d.{c}").alias(c) for c in path], "__key", "tokens", "__whole", "__rest"), F.col("__key"))
+    rows = ordered(light.alias("d").join(small(leaf).alias("l"), same("d", "l")).select(*[F.col(f"d.{c}").alias(c) for c in path], "__key", "tokens", "__whole", "__rest"), F.col("__key"))
     rows = rows.where("__rest > 0")
     bins = rows.groupBy(*path, "__rest", "__bin").agg(F.sum("tokens").alias("t"))
     bins = bins.withColumn("__upto", F.sum("t").over(Window.partitionBy(*path).orderBy("__bin")))
     edge = bins.where("__upto > __rest").groupBy(*path).agg(F.min_by(F.struct("__bin", (F.col("__upto") - F.col("t")).alias("before")), "__bin").alias("e"))
     edge = edge.select(*path, F.col("e.__bin").alias("__edge"), F.col("e.before").alias("__before"))
-    inside = rows.alias("d").join(edge.alias("l"), same("d", "l") & (F.col("d.__bin") == F.col("l.__edge"))).select("d.*", "__before")
+    inside = rows.alias("d").join(small(edge).alias("l"), same("d", "l") & (F.col("d.__bin") == F.col("l.__edge"))).select("d.*", "__before")
     run = F.sum("tokens").over(Window.partitionBy(*path).orderBy("__h"))  # ties share a value
     cut = inside.withColumn("__run", run + F.col("__before")).where("__run <= __rest").groupBy(*path).agg(F.max("__h").alias("__cut"))
     marks = leaf.alias("a").join(edge.alias("b"), same("a", "b"), "left").select("a.*", "__edge").alias("a").join(cut.alias("b"), same("a", "b"), "left").select("a.*", "__cut")
@@ -115,7 +121,7 @@ def mix(
     on = F.lit(True)
     for c in path:
         on = on & F.col(c).eqNullSafe(F.col(f"__l_{c}"))
-    got = ordered(docs.join(marks, on), key)
+    got = ordered(docs.join(small(marks), on), key)
     part = (F.col("__rest") > 0) & (
         F.col("__edge").isNull() | (F.col("__bin") < F.col("__edge")) | ((F.col("__bin") == F.col("__edge")) & (F.col("__h") <= F.coalesce("__cut", F.lit(-(2**63)).cast("long"))))
     )
