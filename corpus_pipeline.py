@@ -15,6 +15,7 @@ from coordframe.llm.queries import MIX_PATH, MIX_WEIGHTS, TOXIC_AT, tokenizer_pa
 
 #: The mix keeps this share of the tokens that reach it, so that no clean leaf but the largest shrinks.
 KEEP_TOKENS = 0.9
+MAX_BROADCAST_IDS = 1_000_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +33,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group; of rows that repeat an id, one."""
     found = jaccard.jaccard_components(spark, docs)
-    kept = found.where((F.col("component_id") == F.col("doc_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("__kept")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    few = gone.count() <= MAX_BROADCAST_IDS  # ids only: at most some 16 MB; beyond it, both sides are shuffled
+    out = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").limit(1).count()
     return out.dropDuplicates(["doc_id"]) if repeated else out
 
