@@ -122,5 +122,64 @@ def queries() -> dict:
     }
 
 
+_WORD = "[^\\x20\\x09-\\x0D]+"
+
+#: All pairs that share a shingle, and reachability by recursion.
+_JACCARD_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) g FROM w),
+n AS (SELECT doc_id, len(g) n FROM s),
+u AS (SELECT doc_id, unnest(g) x FROM s),
+p AS (SELECT a.doc_id a, b.doc_id b, count(*) k FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id i, doc_id c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.i)
+SELECT n.doc_id doc_id, n.n n_shingles, min(r.c) component_id FROM n JOIN r ON r.i = n.doc_id GROUP BY 1, 2
+"""
+
+
+def _repetition_sql() -> str:
+    """Every rule on strings: windows, the words that they cover, and the lines."""
+    parts = [f"w AS (SELECT doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{_WORD}') ws FROM documents)"]
+    parts.append("k AS (SELECT doc_id, unnest(ws) word, unnest(range(1, len(ws) + 1)) pos FROM w)")
+    for n in repetition.GRAM_LIMITS:
+        span = f"range(1, len(ws) - {n - 2})"
+        parts.append(f"g{n} AS (SELECT doc_id, unnest(list_transform({span}, lambda i: array_to_string(ws[i:i+{n - 1}], ' '))) x, unnest({span}) pos FROM w WHERE len(ws) >= {n})")
+        parts.append(f"h{n} AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, x) c FROM g{n})")
+        parts.append(f"c{n} AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + {n})) pos FROM h{n} WHERE c > 1)")
+        parts.append(f"r{n} AS (SELECT doc_id, count(*) words, sum(length(word)) chars FROM c{n} JOIN k USING (doc_id, pos) GROUP BY 1)")
+    parts.append("ln AS (SELECT doc_id, unnest(string_split(t, chr(10))) line, unnest(range(len(string_split(t, chr(10))))) nr FROM w)")
+    parts.append(f"lw AS (SELECT doc_id, length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) chars, row_number() OVER (PARTITION BY doc_id, line ORDER BY nr) nth FROM ln WHERE regexp_matches(line, '{_WORD}'))")
+    parts.append("ll AS (SELECT doc_id, count(*) lines, count(*) FILTER (nth > 1) dup, coalesce(sum(chars) FILTER (nth > 1), 0) dup_chars FROM lw GROUP BY 1)")
+    parts.append("b AS (SELECT doc_id, len(ws) n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) n_symbols FROM w)")
+    joins = " ".join(f"LEFT JOIN r{n} USING (doc_id)" for n in repetition.GRAM_LIMITS)
+    grams = " AND ".join(f"coalesce(r{n}.chars, 0) / greatest(word_chars, 1) <= {limit}" for n, limit in repetition.GRAM_LIMITS.items())
+    failed = "(n_words < 10 OR 100 * coalesce(r5.words, 0) > 20 * n_words)"
+    lines = f"coalesce(dup, 0) / greatest(coalesce(lines, 0), 1) <= {repetition.LINE_LIMIT} AND coalesce(dup_chars, 0) / greatest(word_chars, 1) <= {repetition.LINE_CHAR_LIMIT}"
+    return (
+        f"WITH {', '.join(parts)} SELECT doc_id, CAST(n_words AS BIGINT) n_words, CAST(word_chars AS BIGINT) word_chars, CAST(n_symbols AS BIGINT) n_symbols, "
+        f"CAST(coalesce(dup, 0) AS BIGINT) n_dup_lines, CAST(coalesce(r5.words, 0) AS BIGINT) n_repeat_words, {failed} base_failed, (NOT {failed} AND {lines} AND {grams}) kept "
+        f"FROM b LEFT JOIN ll USING (doc_id) {joins}"
+    )
+
+
+#: All pairs of one label, and reachability by recursion.
+_VECTORS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) x FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+q AS (SELECT *, sqrt(list_dot_product(x, x)) n FROM v),
+e AS (SELECT a.vec_id a, b.vec_id b FROM q a JOIN q b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.98),
+r AS (SELECT vec_id i, vec_id c FROM embeddings UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.i),
+m AS (SELECT i, min(c) c FROM r GROUP BY 1),
+k AS (SELECT a, count(*) n FROM e GROUP BY 1)
+SELECT vec_id, coalesce(k.n, 0) n_links, m.c component_id, vec_id = m.c kept FROM embeddings JOIN m ON m.i = vec_id LEFT JOIN k ON k.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the exact operators; the others are trained, seeded by another hash, or search, and tested by brute force."""
+    return {"op3_jaccard": _JACCARD_SQL, "op7_repetition": _repetition_sql(), "op10_near_vectors": _VECTORS_SQL}
