@@ -218,9 +218,14 @@ def train(sample: list[tuple[str, int]], landmarks: int = 160, rounds: int = 4,
         model = basis.fold(*_svm(x, y, 1000.0, 300))
     pairs = [everything[i] for i in sorted(hidden)] + bags[:: max(1, len(bags) // 600)]
     score = _lookup(model, {w for b, _ in pairs for w in b})
-    model.slope, model.bias = _sigmoid(
-        np.array([max(map(score.__getitem__, b), default=0.0) for b, _ in pairs]), np.array([y for _, y in pairs], dtype=float)
-    )
+    worst = [max(b, key=lambda w: (score[w], w), default="") for b, _ in pairs]
+    margins = [score.get(w, 0.0) for w in worst]
+    labels = [y for _, y in pairs]
+    # toxic texts count again with their worst string disguised, so that the threshold lies below such strings
+    hidden_words = [x for w, m, y in zip(worst, margins, labels, strict=True) if y and m + model.bias > 0 and len(w) > 3 for x in _noisy(w, rng)[:2]]
+    margins += model.margins(hidden_words).tolist()
+    labels += [1] * len(hidden_words)
+    model.slope, model.bias = _sigmoid(np.array(margins), np.array(labels, dtype=float))
     return model
 
 
