@@ -221,8 +221,9 @@ def train(sample: list[tuple[str, int]], landmarks: int = 160, rounds: int = 4,
     worst = [max(b, key=lambda w: (score[w], w), default="") for b, _ in pairs]
     margins = [score.get(w, 0.0) for w in worst]
     labels = [y for _, y in pairs]
-    # toxic texts count again with their worst string disguised, so that the threshold lies below such strings
-    hidden_words = [x for w, m, y in zip(worst, margins, labels, strict=True) if y and m + model.bias > 0 and len(w) > 3 for x in _noisy(w, rng)[:2]]
+    # every sixth toxic text counts again with its worst string disguised, which lowers the threshold a little
+    shown = [w for w, m, y in zip(worst, margins, labels, strict=True) if y and m + model.bias > 0 and len(w) > 3]
+    hidden_words = [_noisy(w, rng)[k % 2] for k, w in enumerate(shown[::6])]
     margins += model.margins(hidden_words).tolist()
     labels += [1] * len(hidden_words)
     model.slope, model.bias = _sigmoid(np.array(margins), np.array(labels, dtype=float))
