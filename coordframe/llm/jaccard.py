@@ -32,6 +32,7 @@ from .textscan import Scan, chunks, encode, mix
 
 WORDS, P, Q = 5, 4, 5  # similarity P/Q
 SKETCH_BITS, SKETCH_PART = 20, 1 << 14
+FILTER_BITS, LONG_LIST = 24, 1 << 20
 _MASK = np.uint64((1 << 48) - 1)
 _ZERO = np.zeros(0, dtype=np.uint64)
 
@@ -137,40 +138,104 @@ def _postings(sketch: np.ndarray):
     return run
 
 
-def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings sorted by ``(gram, n, cls)``: members of lists with two classes or more, and each one's predecessor.
+def viable(seg: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which members of their lists (numbered by ``seg``, sorted by size) have a partner that may be similar.
 
-    Looks one row back and one ahead only, so a list of any length streams through.
+    Members x and y can only share enough if T(n_x, n_y) shingles are left from their places on in both, so
+    n_y <= M_x and n_x <= M_y with M = floor(r (p + q) / p) - n, r = n - pos.
     """
-    held: list[np.ndarray] | None = None  # the last row, not yet given out
-    follows, before = False, 0  # whether it follows a member of its list, and which
+    wide = np.int64(1) << 32
+    most = (n - pos) * (P + Q) // P - n
+    base = seg * wide
+    start = np.searchsorted(seg, seg, side="left")
+    top = np.maximum.accumulate(base + np.maximum(most, 0)) - base
+    before = np.r_[0, top[:-1]]
+    before[start == np.arange(len(seg))] = 0
+    second = np.maximum.accumulate(base + np.maximum(np.minimum(most, before), 0)) - base
+    last = np.searchsorted(base + n, base + np.maximum(most, 0), side="right") - 1  # the last one that is small enough
+    some = last >= start
+    last = np.maximum(last, 0)
+    own = (last >= np.arange(len(seg))) & (top[last] == most)
+    return some & (np.where(own, second[last], top[last]) >= n)
+
+
+def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From postings sorted by ``(gram, n, cls)``: list members that have a possible partner, and each one's predecessor.
 
-    def rows(cols, keep, prev) -> pa.RecordBatch:
-        arrays = [pa.array(c[keep]) for c in cols]
-        arrays.append(pa.array(prev[keep]))
-        return pa.RecordBatch.from_arrays(arrays, ["gram", "cls", "n", "pos", "prev"])
+    A list over LONG_LIST rows streams through in parts, all of it kept.
+    """
+    names = ["gram", "cls", "n", "pos", "prev"]
+    long_gram = None
 
+    def lists(cols: list[np.ndarray]) -> pa.RecordBatch | None:
+        gram, cls = cols[0], cols[1]
+        new = np.r_[True, (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1])]
+        cols = [c[new] for c in cols]
+        seg = np.cumsum(np.r_[False, cols[0][1:] != cols[0][:-1]]).astype(np.int64)
+        keep = viable(seg, cols[2].astype(np.int64), cols[3].astype(np.int64))
+        if long_gram is not None:
+            keep |= cols[0] == long_gram
+        if not keep.any():
+            return None
+        cols = [c[keep] for c in cols]
+        same = cols[0][1:] == cols[0][:-1]
+        prev = np.r_[0, np.where(same, cols[1][:-1], 0)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, prev)], names)
+
+    held: list[np.ndarray] | None = None
     for batch in batches:
+        if not batch.num_rows:
+            continue
         cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
         if held is not None:
             cols = [np.r_[a, b] for a, b in zip(held, cols, strict=True)]
-        if not len(cols[0]):
-            continue
-        gram, cls = cols[0], cols[1]
-        new = np.r_[True, (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1])]
-        cols = [c[new] for c in cols]
-        gram, cls = cols[0], cols[1]
-        same = gram[1:] == gram[:-1]
-        first = follows if held is not None else False
-        after = np.r_[first, same]  # follows a member of its list
-        prev = np.r_[before if held is not None and follows else 0, np.where(same, cls[:-1], 0)]
-        keep = (after[:-1] | same) if len(gram) > 1 else np.zeros(0, dtype=bool)
-        if keep.any():
-            body = [c[:-1] for c in cols]
-            yield rows(body, keep, np.where(after[:-1], prev[:-1], 0))
-        held, follows, before = [c[-1:] for c in cols], bool(after[-1]), int(prev[-1])
-    if held is not None and follows:
-        yield rows(held, np.ones(1, dtype=bool), np.array([before], dtype=np.int64))
+        cut = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
+        if not cut and len(cols[0]) >= LONG_LIST:
+            long_gram, cut = cols[0][0], len(cols[0])
+        if cut and (found := lists([c[:cut] for c in cols])) is not None:
+            yield found
+        held = [c[cut:] for c in cols] if cut < len(cols[0]) else None
+    if held is not None and (found := lists(held)) is not None:
+        yield found
+
+
+def _filter_bit(cls: np.ndarray) -> np.ndarray:
+    return (mix(cls.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _filter_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """This task's classes as a bit set, in one row."""
+    bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+    for batch in batches:
+        bits[_filter_bit(batch.column(0).to_numpy())] = True
+    if bits.any():
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["part"])
+
+
+def _join_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            total |= np.frombuffer(zlib.decompress(raw), dtype=np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+
+
+def _filtered(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """The sets that may be among the members: a bit set of fixed size, so that few others are shuffled.
+
+    It only saves work; the join behind it decides.
+    """
+    found = members.mapInArrow(_filter_parts, "part binary").repartition(4).mapInArrow(_join_filters, "part binary").collect()
+    bits = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+    for r in found:
+        bits |= np.frombuffer(r["part"], dtype=np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(bits).view(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(wanted[_filter_bit(batch.column(0).to_numpy())]))
+
+    return sets.select("cls", "grams").mapInArrow(run, "cls long, grams binary")
 
 
 def divide_skip(query: np.ndarray, candidates: list[np.ndarray]) -> np.ndarray:
@@ -263,9 +328,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
         "lists", postings.repartition("gram").sortWithinPartitions("gram", "n", "cls").mapInArrow(_shared_lists, "gram long, cls long, n int, pos int, prev long")
     )
     members = lists.select("cls").distinct()
-    arrays = ws.table("arrays", sets.where("n > 0").join(members, "cls", "left_semi").groupBy("cls").agg(F.first("grams").alias("grams")))
-    # first round: each member and its predecessor in size
-    near = lists.where("prev <> 0").select(F.least("cls", "prev").alias("a"), F.greatest("cls", "prev").alias("b")).distinct()
+    near_sets = _filtered(sets.where("n > 0"), members)
+    arrays = ws.table("arrays", near_sets.groupBy("cls").agg(F.first("grams").alias("grams")).join(members, "cls", "left_semi"))
+    small = ws.table("ids", sets.select("doc_id", "n", "cls"))
+    ws.drop("sets")
+    # first round: each class and the predecessor that it has in most of its lists
+    near = lists.where("prev <> 0").groupBy("cls", "prev").agg(F.count("*").alias("k")).groupBy("cls").agg(F.max_by("prev", F.struct("k", "prev")).alias("prev"))
+    near = ws.table("near", near.select(F.least("cls", "prev").alias("a"), F.greatest("cls", "prev").alias("b")).distinct())
     links = ws.table("links1", _linked(near, arrays))
     comp = ws.table("comp1", connected_components(spark, links))
     # second round: members of one list that lie in different components
@@ -282,11 +351,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
     more = ws.table("links2", _linked(rest.join(near, ["a", "b"], "left_anti"), arrays))
     comp = ws.table("comp2", connected_components(spark, links.unionByName(more)))
-    classes = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"))
+    classes = small.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"))
     classes = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     lowest = classes.groupBy("component").agg(F.min("low").alias("component_id"))
     named = classes.join(lowest, "component").select("cls", "component_id")
-    out = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
+    out = small.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
     out = ws.table("out", out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
-    ws.drop("sets", "lists", "arrays", "links1", "links2", "comp1", "comp2", "mixed")
+    ws.drop("ids", "near", "lists", "arrays", "links1", "links2", "comp1", "comp2", "mixed")
     return out

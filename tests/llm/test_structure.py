@@ -97,6 +97,17 @@ def test_divide_skip():
         assert jaccard.divide_skip(query, others).tolist() == want
 
 
+def test_viable_members():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        seg = np.sort(rng.integers(0, 4, rng.integers(1, 15))).astype(np.int64)
+        n = rng.integers(1, 60, len(seg)).astype(np.int64)
+        n = n[np.lexsort((n, seg))]
+        pos = np.minimum(n - 1, rng.integers(0, 14, len(seg)))
+        want = [any(i != j and seg[i] == seg[j] and 9 * min(n[i] - pos[i], n[j] - pos[j]) >= 4 * (n[i] + n[j]) for j in range(len(n))) for i in range(len(n))]
+        assert jaccard.viable(seg, n, pos).tolist() == want
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (9, 9), (7, 8), (8, 1), *[(100 + k, 101 + k) for k in range(50)]]
     got = {r["node"]: r["component"] for r in components.connected_components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
