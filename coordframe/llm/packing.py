@@ -130,6 +130,10 @@ class _Ids:
         slow, flat, done = [], [], []
         piece, plain, split, special = self.piece, _PLAIN.fullmatch, self.split, self.special
         for k, w in enumerate(words):
+            if w.isalpha() and piece is not None:  # bytes: ASCII letters only
+                flat += piece(w.lower() + _END)
+                done.append((k, 4 * len(flat)))
+                continue
             t = w.decode("utf-8", "replace")
             if piece is None or not plain(t) or ("<" in t and any(x in t for x in special)):
                 slow.append((k, t))
