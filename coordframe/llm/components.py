@@ -2,18 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace
 
 
+LOCAL_NODES = 300_000
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as stars around the smallest node of what they connect, LOCAL_NODES nodes at a time."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while parent.setdefault(root, root) != root:
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    def stars() -> pa.RecordBatch:
+        rows = [(x, find(x)) for x in list(parent)]
+        rows = [(x, r) for x, r in rows if x != r]
+        parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        if len(parent) > LOCAL_NODES:
+            yield stars()
+    if parent:
+        yield stars()
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; component is its smallest node.
 
     Large-star links each neighbour that is larger than a node to the smallest neighbour; small-star
     does so for the smaller ones.  Both are a grouped minimum and a join, so no neighbour list is
-    ever gathered, and the rounds are logarithmic in the longest path.  Each round's edges are
+    ever gathered, and the rounds are logarithmic in the longest path, which each task first shortens
+    among its own edges.  Each round's edges are
     written to the shared folder.  Self-loops and nulls are ignored; no edges give no rows.
     """
     ws = Workspace(spark, "components")
@@ -30,7 +66,8 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
             out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    cur = ws.table("0", edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    few = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(_forests, "a long, b long")
+    cur = ws.table("0", few.distinct())
     state = None
     for k in range(1, max_rounds + 1):
         cur = ws.table(f"{k}", star(star(cur, True), False))

@@ -31,8 +31,8 @@ from .components import connected_components
 from .textscan import Scan, chunks, encode, mix
 
 WORDS, P, Q = 5, 4, 5  # similarity P/Q
-SKETCH_BITS, SKETCH_PART = 20, 1 << 14
-FILTER_BITS, LONG_LIST = 24, 1 << 20
+SKETCH_BITS, SKETCH_PART = 22, 1 << 14
+FILTER_BITS, LONG_LIST, HUB_ROUNDS = 24, 1 << 20, 1
 _MASK = np.uint64((1 << 48) - 1)
 _ZERO = np.zeros(0, dtype=np.uint64)
 
@@ -87,7 +87,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, at = batch.column(0), 0
         for texts in chunks(batch.column(1)):
             counts, grams, digests = shingle_sets(texts)
-            sketch += np.bincount((grams & np.uint64(len(sketch) - 1)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
+            bucket, found = np.unique(grams & np.uint64(len(sketch) - 1), return_counts=True)
+            sketch[bucket.astype(np.int64)] += found.astype(np.uint32)
             raw, ends = pack(grams).tobytes(), np.cumsum(counts) * 6
             parts = [raw[b - 6 * n : b] for b, n in zip(ends.tolist(), counts.tolist(), strict=True)]
             yield out(ids.slice(at, len(texts)).to_pylist(), counts, digests.view(np.int64), parts, [-1] * len(texts))
@@ -303,6 +304,14 @@ def _linked(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     return rows.repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(_verify, "a long, b long")
 
 
+def _mixed(lists: DataFrame, comp: DataFrame, pick) -> tuple[DataFrame, DataFrame]:
+    """List members with their component, and the lists of several components with their largest one and a member of it."""
+    labelled = lists.drop("prev").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    by_comp = labelled.groupBy("gram", "component").agg(F.count("*").alias("k"), pick("cls").alias("hub"))
+    largest = by_comp.groupBy("gram").agg(F.count("*").alias("m"), F.max_by(F.struct("component", "hub"), F.struct("k", "component")).alias("s"))
+    return labelled, largest.where("m > 1").select("gram", F.col("s.component").alias("main"), F.col("s.hub").alias("hub"))
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``.
 
@@ -335,12 +344,21 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # first round: each class and the predecessor that it has in most of its lists
     near = lists.where("prev <> 0").groupBy("cls", "prev").agg(F.count("*").alias("k")).groupBy("cls").agg(F.max_by("prev", F.struct("k", "prev")).alias("prev"))
     near = ws.table("near", near.select(F.least("cls", "prev").alias("a"), F.greatest("cls", "prev").alias("b")).distinct())
-    links = ws.table("links1", _linked(near, arrays))
-    comp = ws.table("comp1", connected_components(spark, links))
-    # second round: members of one list that lie in different components
-    labelled = lists.drop("prev").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    by_comp = labelled.groupBy("gram", "component").agg(F.count("*").alias("k"))
-    mixed = by_comp.groupBy("gram").agg(F.count("*").alias("m"), F.max_by("component", "k").alias("main")).where("m > 1").select("gram", "main")
+    links = ws.table("links0", _linked(near, arrays))
+    comp = ws.table("comp0", connected_components(spark, links))
+    tried = near
+    for k in range(1, HUB_ROUNDS + 1):
+        # classes outside a list's largest component and a member of it, again one for each class
+        labelled, mixed = _mixed(lists, comp, F.min if k % 2 else F.max)
+        hubs = labelled.join(mixed, "gram").where("component <> main").groupBy("cls", "hub").agg(F.count("*").alias("k"))
+        hubs = hubs.groupBy("cls").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub"))
+        pairs = hubs.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+        pairs = ws.table(f"near{k}", pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
+        links = links.unionByName(ws.table(f"links{k}", _linked(pairs, arrays)))
+        comp = ws.table(f"comp{k}", connected_components(spark, links))
+    # last round: members of one list that lie in different components
+    labelled, mixed = _mixed(lists, comp, F.min)
     labelled = ws.table("mixed", labelled.join(mixed, "gram"))
     left = labelled.where("component <> main").alias("l")
     room = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos")) * (P + Q) >= (F.col("l.n") + F.col("r.n")) * P
@@ -349,13 +367,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
         .select(F.least("l.cls", "r.cls").alias("a"), F.greatest("l.cls", "r.cls").alias("b"))
         .distinct()
     )
-    more = ws.table("links2", _linked(rest.join(near, ["a", "b"], "left_anti"), arrays))
-    comp = ws.table("comp2", connected_components(spark, links.unionByName(more)))
+    more = ws.table("rest", _linked(rest.join(tried, ["a", "b"], "left_anti"), arrays))
+    comp = ws.table("comp", connected_components(spark, links.unionByName(more)))
     classes = small.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"))
     classes = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     lowest = classes.groupBy("component").agg(F.min("low").alias("component_id"))
     named = classes.join(lowest, "component").select("cls", "component_id")
     out = small.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
     out = ws.table("out", out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
-    ws.drop("ids", "near", "lists", "arrays", "links1", "links2", "comp1", "comp2", "mixed")
+    rounds = [f"{t}{k}" for t in ("near", "links", "comp") for k in range(HUB_ROUNDS + 1)]
+    ws.drop("ids", "near", "lists", "arrays", "rest", "comp", "mixed", *rounds)
     return out
