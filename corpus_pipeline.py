@@ -31,13 +31,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; of rows that repeat an id, one."""
-    found = jaccard.jaccard_components(spark, docs)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    few = gone.count() <= MAX_BROADCAST_IDS  # ids only: at most some 16 MB; beyond it, both sides are shuffled
-    out = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """One row of each near-duplicate group, that with the smallest id; null ids come last.
+
+    Rows are told apart by a key of their own, written once, so repeated and null ids decide nothing:
+    unlike texts under one id all stay.  Rows without words link with nothing and stay.
+    """
+    ws = Workspace(spark, "groups")
+    keyed = ws.table("rows", docs.withColumn("__row", F.monotonically_increasing_id()))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), F.col("__row").alias("row"))  # ties of ids go by content
+    found = jaccard.jaccard_components(spark, keyed.select(F.col("__row").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("group"))
+    shared = found.where(F.col("group") != F.col("__row")).select("group").distinct()  # groups of several rows
+    found = found.join(shared, "group", "left_semi")
+    first = found.join(keyed.select("__row", order.alias("o")), "__row").groupBy("group").agg(F.min("o").getField("row").alias("__row"))
+    gone = ws.table("gone", found.select("__row").join(first.select("__row"), "__row", "left_anti"))
+    few = gone.count() <= MAX_BROADCAST_IDS  # keys only: at most some 16 MB; beyond it, both sides are shuffled
+    return keyed.join(F.broadcast(gone) if few else gone, "__row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

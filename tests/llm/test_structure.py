@@ -362,6 +362,19 @@ def test_pipeline(spark, sf_dir):
     assert mixed.columns == docs.columns and 0 < mixed.count() <= one.count()
 
 
+def test_pipeline_groups_rows_not_ids(spark):
+    """Repeated and null ids: only near copies go."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    a, b, c, d, e, f = (prose(rng, 80) for _ in range(6))
+    rows = [(1, a), (5, a + " end"), (5, b), (None, c), (None, c + " end"), (None, d), (7, e), (7, e), (8, d + " end"), (9, ""), (9, None), (None, f), (3, f + " end"), (2, f)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect())
+    one_of_c = got.pop((None, c), 0) + got.pop((None, c + " end"), 0)
+    assert one_of_c == 1 and got == Counter([(1, a), (5, b), (7, e), (8, d + " end"), (9, ""), (9, None), (2, f)])
+
+
 def test_pipeline_runs_whole(spark, sf_dir):
     import corpus_pipeline
 
