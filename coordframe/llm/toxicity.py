@@ -3,12 +3,12 @@
 The kernel of two strings sums, over all character triples, the products of their decayed
 occurrence weights: a triple spread over ``s`` characters weighs ``DECAY**s``, spreads beyond
 ``SPAN`` weigh nothing.  So ``mo-ron`` or ``idxiot`` still share most triples with the plain word.
-A sentence is seen through its strings (words, and runs of single characters joined into one);
-its margin is that of its most suspicious string, a document's that of its worst sentence.
+A text is seen through its strings: words, runs of single characters joined into one, and phrases,
+which are the windows of two to PHRASE neighbouring words with a mark between them, so that gaps may
+cross a word boundary.  A text's margin is that of its most suspicious string.
 
-Training is multiple-instance: sentences of clean documents are negative, and each toxic document
-is represented by its witness, the sentence whose string has the highest margin, chosen again in
-every round.  Since the Nystrom features are linear in the triples of the string, the trained
+Training is multiple-instance: strings of clean documents are negative, and each toxic document
+is represented by its witness, the string with the highest margin, chosen again in every round.  Since the Nystrom features are linear in the triples of the string, the trained
 model folds into one weight for each triple and scoring costs a table lookup per triple.
 """
 
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import labelled_texts
 
 DECAY, SPAN, MAX_STRING, CACHE = 0.7, 6, 32, 150_000
+PHRASE, RUN, MARK = 3, 8192, "\x01"
 _OFFSETS = [(p, q) for q in range(2, SPAN) for p in range(1, q)]
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _EDGES = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 
 
@@ -50,9 +51,22 @@ def strings_of(text: str) -> set[str]:
     return out
 
 
+def words_of(text: str) -> list[str]:
+    """The stripped lower-case words of a text in order; one over MAX_STRING characters in pieces."""
+    out = []
+    for w in text.replace(MARK, " ").lower().split():
+        w = w.strip(_EDGES)
+        if len(w) <= MAX_STRING:
+            if w:
+                out.append(w)
+        else:
+            out += [w[i : i + MAX_STRING] for i in range(0, len(w), MAX_STRING)]
+    return out
+
+
 def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Characters of all strings, each between two marks and with SPAN zeros behind it, and their string's number."""
-    joined = "".join("\x01" + s + "\x02" + "\0" * SPAN for s in strings)
+    joined = "".join(MARK + s + MARK + "\0" * SPAN for s in strings)
     chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
     owner = np.repeat(np.arange(len(strings)), [len(s) + 2 + SPAN for s in strings])
     return chars, owner
@@ -132,6 +146,85 @@ class ToxicityModel:
             out[hot] = raw[hot] / np.maximum(_norms(*_codes(some), len(some)), 1e-12)
         return out
 
+    def phrases(self, texts: list[list[str]]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For runs of words, all their phrases: the joined words, and each phrase's text, first and last mark, and a bound of its margin.
+
+        A phrase's sum is a difference of running sums.  Its norm is at least that of triples which all differ,
+        so no margin exceeds its bound.  Runs overlap by the words of a phrase but one.
+        """
+        if not len(self.alphabet):
+            return
+        runs, n = [], 0
+        for k, words in enumerate(texts):
+            for i in range(0, max(1, len(words) - PHRASE + 1), RUN):
+                runs.append((k, words[i : i + RUN + PHRASE - 1]))
+                n += len(runs[-1][1])
+                if n >= RUN:
+                    yield self._bounds(runs)
+                    runs, n = [], 0
+        if n:
+            yield self._bounds(runs)
+
+    def _bounds(self, runs: list[tuple[int, list[str]]]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        joined = "".join(MARK + MARK.join(words) + MARK + "\0" * SPAN for _, words in runs)
+        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        at = np.searchsorted(self.alphabet, chars)
+        at[at == len(self.alphabet)] = 0
+        code = np.where(self.alphabet[at] == chars, at + 1, 0).astype(np.int32)
+        size, n = len(self.alphabet) + 1, len(chars) - SPAN
+        lead, upto = code[:n] * (size * size), {}
+        for q in range(2, SPAN):
+            total = np.zeros(n, dtype=np.float32)
+            for p in range(1, q):
+                total += self.table[lead + code[p : n + p] * size + code[q : n + q]]
+            upto[q] = np.r_[0.0, np.cumsum(total * DECAY ** (q + 1), dtype=np.float64)]
+        marks = np.flatnonzero(chars == ord(MARK))
+        run = np.repeat(np.arange(len(runs)), [len(words) + 1 if words else 2 for _, words in runs])
+        starts, ends, owner = [], [], []
+        for k in range(2, PHRASE + 1):
+            ok = np.flatnonzero(run[k:] == run[:-k])
+            starts.append(marks[ok])
+            ends.append(marks[ok + k])
+            owner.append(run[ok])
+        start, end = np.concatenate(starts), np.concatenate(ends)
+        raw, least = np.zeros(len(start)), np.zeros(len(start))
+        for q, sums in upto.items():
+            raw += sums[end - q + 1] - sums[start]
+            least += (q - 1) * (end - start + 1 - q) * DECAY ** (2 * (q + 1))
+        text = np.array([k for k, _ in runs], dtype=np.int64)[np.concatenate(owner)]
+        return joined, text, start, end, np.maximum(raw, 0) / np.sqrt(least) * (1 + 1e-5)
+
+    def with_phrases(self, texts: list[list[str]], floor: np.ndarray) -> tuple[np.ndarray, dict[int, str]]:
+        """Each text's highest margin, ``floor`` (that of its words) or a phrase's, and the phrases that exceed the floor.
+
+        Only phrases whose bound exceeds what their text has are computed: its top one, then what is left.
+        """
+        best, which = np.array(floor, dtype=np.float64), {}
+        for joined, text, start, end, bound in self.phrases(texts):
+            for top in (True, False):
+                at = np.flatnonzero(bound > best[text])
+                if top:
+                    at = at[np.lexsort((-bound[at], text[at]))]
+                    at = at[np.r_[True, text[at][1:] != text[at][:-1]]] if len(at) else at
+                names = [joined[a + 1 : b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+                for k, name, m in zip(text[at].tolist(), names, self.margins(names).tolist(), strict=True):
+                    if m > best[k]:
+                        best[k], which[k] = m, name
+                bound[at] = 0
+        return best, which
+
+    def worst_phrases(self, texts: list[list[str]], level: float, most: int) -> dict[str, float]:
+        """About the ``most`` phrases of highest margin over ``level``."""
+        found: dict[str, float] = {}
+        for joined, _, start, end, bound in self.phrases(texts):
+            at = np.flatnonzero(bound > level)
+            at = at[np.argsort(-bound[at], kind="stable")][:most]
+            found.update((joined[a + 1 : b], x) for a, b, x in zip(start[at].tolist(), end[at].tolist(), bound[at].tolist(), strict=True))
+            if len(found) > 8 * most:
+                found = dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:most])
+        names = sorted(found, key=lambda w: (-found[w], w))[:most]
+        return {w: m for w, m in zip(names, self.margins(names).tolist(), strict=True) if m > level}
+
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * (margin + self.bias), -60, 60)))
 
@@ -164,12 +257,13 @@ def train(sample: list[tuple[str, int]], landmarks: int = 160, rounds: int = 4,
     if len({y for _, y in sample}) < 2:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(1, np.float32), -10.0, 6.0)
     rng = np.random.default_rng(seed)
-    everything = _without_copies([(sorted(strings_of(t)), y) for t, y in sample])
+    same: dict[str, str] = {}  # each word held once
+    everything = _without_copies([(sorted(strings_of(t)), y, [same.setdefault(w, w) for w in words_of(t)]) for t, y in sample])
     back = rng.permutation(len(everything))[: len(everything) // 5]  # kept back for the sigmoid
     hidden = set(back.tolist())
     bags = [b for i, b in enumerate(everything) if i not in hidden]
-    n_pos = sum(y for _, y in bags)
-    seen = {y: Counter(w for b, z in bags if z == y for w in b) for y in (0, 1)}
+    n_pos = sum(y for _, y, _ in bags)
+    seen = {y: Counter(w for b, z, _ in bags if z == y for w in b) for y in (0, 1)}
     scale = n_pos / max(1, len(bags) - n_pos)
     excess = {}  # standard deviations above the count that clean documents let expect
     for w, k in seen[1].items():
@@ -178,8 +272,11 @@ def train(sample: list[tuple[str, int]], landmarks: int = 160, rounds: int = 4,
             excess[w] = (k - expected) / (expected + 1) ** 0.5
     bar = 3.0 + 0.5 * np.log10(1 + len(excess))
     doubtful = {w for w in excess if excess[w] > bar and seen[1][w] > 6 * seen[0][w] * scale}
+    phrases = _Phrases([(words, y) for _, y, words in bags])
+    in_text, clean_texts = phrases.doubtful(scale, doubtful)
+    clean_texts.update((w, seen[0][w]) for w in doubtful)
     suspects: list[str] = []  # greedy cover: each next string explains the most toxic texts still unexplained
-    left = [(set(b) & doubtful, [1.0]) for b, y in bags if y]  # an explained text counts 0.3
+    left = [(set(b) & doubtful | in_text.get(k, set()), [1.0]) for k, (b, y, _) in enumerate(bags) if y]  # an explained text counts 0.3
     while len(suspects) < landmarks * 3 // 4:
         cover: Counter[str] = Counter()
         for words, weight in left:
@@ -187,7 +284,7 @@ def train(sample: list[tuple[str, int]], landmarks: int = 160, rounds: int = 4,
                 cover[w] += weight[0]
         for w in suspects:
             cover.pop(w, None)
-        best = min(cover, key=lambda w: (-cover[w] / (1 + 20 * seen[0][w]), w), default=None)
+        best = min(cover, key=lambda w: (-cover[w] / (1 + 20 * clean_texts[w]), w), default=None)
         if best is None or cover[best] < 1.5:
             break
         suspects.append(best)
@@ -201,15 +298,22 @@ def train(sample: list[tuple[str, int]], landmarks: int = 160, rounds: int = 4,
     rng.shuffle(rare)
     negatives = clean[:2500] + rare[:2500]
     negatives += [x for s in negatives[:300] for x in _noisy(s, rng)[:2]]
+    negatives += phrases.sample(0, 2500, rng)
     marks, witness = suspects + [w for w in clean if len(w) > 1][: landmarks - len(suspects)], set(suspects)
+    clean_words = [words for _, y, words in bags if not y]
     for k in range(rounds):
         if k:
-            score = _lookup(model, {w for b, _ in bags for w in b})
-            witness = {max(b, key=lambda w: (score[w], w)) for b, y in bags if y and b}
-            witness = {w for w in witness if w not in seen[0] and score[w] + model.bias > -0.5}
+            score = _lookup(model, {w for b, _, _ in bags for w in b})
+            toxic = [(max(b, key=lambda w: (score[w], w)), words) for b, y, words in bags if y and b]
+            margins, which = model.with_phrases([words for _, words in toxic], np.array([score[w] for w, _ in toxic]))
+            witness = {which.get(i, w) for i, (w, _) in enumerate(toxic) if margins[i] + model.bias > -0.5}
+            witness = {w for w in witness if w not in seen[0] and not (MARK in w and phrases.clean(w))}
             hard = sorted((w for w in seen[0] if score[w] + model.bias > -0.8), key=lambda w: (-score[w], w))
             marks = marks + [w for w in hard if w not in set(marks)][: landmarks // 2]
-            negatives = negatives + [w for w in hard[:800] for _ in range(1 + 2 * (score[w] + model.bias > -0.3))]  # the worst weigh more
+            close = {w: m for w, m in model.worst_phrases(clean_words, -0.8 - model.bias, 800).items() if w not in set(suspects)}
+            score.update(close)
+            marks = marks + [w for w in close if w not in set(marks)][: landmarks // 4]
+            negatives = negatives + [w for w in [*hard[:800], *close] for _ in range(1 + 2 * (score[w] + model.bias > -0.3))]  # the worst weigh more
         positives = sorted((witness | set(suspects)) - set(clean))
         positives += suspects + [x for s in positives[:600] if len(s) > 3 for x in _noisy(s, rng)]
         basis = _Landmarks(marks)
@@ -217,10 +321,11 @@ def train(sample: list[tuple[str, int]], landmarks: int = 160, rounds: int = 4,
         y = np.r_[np.ones(len(positives)), -np.ones(len(negatives))]
         model = basis.fold(*_svm(x, y, 1000.0, 300))
     pairs = [everything[i] for i in sorted(hidden)] + bags[:: max(1, len(bags) // 600)]
-    score = _lookup(model, {w for b, _ in pairs for w in b})
-    worst = [max(b, key=lambda w: (score[w], w), default="") for b, _ in pairs]
-    margins = [score.get(w, 0.0) for w in worst]
-    labels = [y for _, y in pairs]
+    score = _lookup(model, {w for b, _, _ in pairs for w in b})
+    worst = [max(b, key=lambda w: (score[w], w), default="") for b, _, _ in pairs]
+    best, which = model.with_phrases([words for _, _, words in pairs], np.array([score.get(w, 0.0) for w in worst]))
+    worst, margins = [which.get(k, w) for k, w in enumerate(worst)], best.tolist()
+    labels = [y for _, y, _ in pairs]
     # every sixth toxic text counts again with its worst string disguised, which lowers the threshold a little
     shown = [w for w, m, y in zip(worst, margins, labels, strict=True) if y and m + model.bias > 0 and len(w) > 3]
     hidden_words = [_noisy(w, rng)[k % 2] for k, w in enumerate(shown[::6])]
@@ -230,6 +335,87 @@ def train(sample: list[tuple[str, int]], landmarks: int = 160, rounds: int = 4,
     return model
 
 
+class _Phrases:
+    """The phrases of labelled texts as numbers, with the number of texts of each class that have them."""
+
+    def __init__(self, texts: list[tuple[list[str], int]]):
+        self.texts, self.ids = texts, {}
+        for words, _ in texts:
+            for w in words:
+                self.ids.setdefault(w, len(self.ids) + 1)
+        self.count = {}
+        for y in (0, 1):
+            keys = [np.unique(self.keys(words)) for words, z in texts if z == y]
+            self.count[y] = np.unique(np.concatenate([*keys, np.zeros(0, np.uint64)]), return_counts=True)
+
+    def keys(self, words: list[str]) -> np.ndarray:
+        """A 64-bit number for each window of two words, then of three, and so on."""
+        ids = np.array([self.ids.get(w, 0) for w in words], dtype=np.uint64)
+        out, key = [], ids
+        for k in range(1, PHRASE):
+            key = key[: max(0, len(ids) - k)] * np.uint64(0x9E3779B97F4A7C15) + ids[k:]
+            key ^= key >> np.uint64(29)
+            out.append(key)
+        return np.concatenate(out)
+
+    def names(self, words: list[str], at: np.ndarray) -> list[str]:
+        """The phrases at places of keys(words)."""
+        out = []
+        for i in at.tolist():
+            k = 2
+            while i >= len(words) - k + 1:
+                i -= len(words) - k + 1
+                k += 1
+            out.append(MARK.join(words[i : i + k]))
+        return out
+
+    def times(self, keys: np.ndarray, y: int) -> np.ndarray:
+        """In how many texts of a class each phrase is."""
+        known, n = self.count[y]
+        if not len(known):
+            return np.zeros(len(keys), dtype=np.int64)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, n[at], 0)
+
+    def clean(self, phrase: str) -> bool:
+        return bool(self.times(self.keys(phrase.split(MARK))[-1:], 0).any())
+
+    def doubtful(self, scale: float, words: set[str]) -> tuple[dict[int, set[str]], dict[str, int]]:
+        """Phrases far more frequent in toxic texts than clean ones let expect: by text, and in how many clean texts.
+
+        One that holds a doubtful word or a shorter doubtful phrase is explained by that.
+        """
+        keys, k = self.count[1]
+        keys, k = keys[k > 1], k[k > 1]
+        in_clean = self.times(keys, 0)
+        expected = (in_clean + 0.5) * scale
+        bar = 3.0 + 0.5 * np.log10(1 + len(keys))
+        wanted = keys[((k - expected) / (expected + 1) ** 0.5 > bar) & (k > 6 * in_clean * scale)]
+        found: dict[int, set[str]] = {}
+        for i, (text, y) in enumerate(self.texts):
+            if y and len(wanted):
+                names = self.names(text, np.flatnonzero(np.isin(self.keys(text), wanted)))
+                found[i] = {p for p in names if not words.intersection(p.split(MARK))}
+        every = {p for s in found.values() for p in s}
+
+        def plain(p: str) -> bool:
+            w = p.split(MARK)
+            return not any(MARK.join(w[a:b]) in every for a in range(len(w)) for b in range(a + 2, len(w) + 1) if b - a < len(w))
+
+        every = {p for p in every if plain(p)}
+        return {i: s & every for i, s in found.items()}, {p: int(self.times(self.keys(p.split(MARK))[-1:], 0)[0]) for p in every}
+
+    def sample(self, y: int, n: int, rng: np.random.Generator) -> list[str]:
+        """About ``n`` phrases of a class's texts."""
+        texts = [words for words, z in self.texts if z == y and len(words) > 1]
+        out = []
+        for i in (rng.integers(0, len(texts), n).tolist() if texts else []):
+            words = texts[i]
+            a, k = int(rng.integers(0, len(words) - 1)), int(rng.integers(2, PHRASE + 1))
+            out.append(MARK.join(words[a : a + k]))
+        return sorted(set(out))
+
+
 class _Landmarks:
     """The Nystrom map of a list of landmark strings: k(x, landmarks) times K_mm^(-1/2)."""
 
@@ -273,13 +459,13 @@ class _Landmarks:
         return ToxicityModel(self.alphabet, table, bias, 3.0)
 
 
-def _without_copies(bags: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
+def _without_copies(bags: list[tuple[list[str], int, list[str]]]) -> list[tuple[list[str], int, list[str]]]:
     """The first of texts that agree on three or more of eight min-hashes, so copies are no extra evidence."""
     at: dict[tuple[int, int], int] = {}
     out = []
-    for bag, y in bags:
+    for bag, y, words in bags:
         if not bag:
-            out.append((bag, y))
+            out.append((bag, y, words))
             continue
         h = np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in bag], dtype=np.uint64)
         marks = [(k, int((h * np.uint64(2 * k * 0x9E3779B1 + 0x85EBCA6B) % np.uint64(4294967291)).min())) for k in range(8)]
@@ -288,7 +474,7 @@ def _without_copies(bags: list[tuple[list[str], int]]) -> list[tuple[list[str],
             continue
         for m in marks:
             at.setdefault(m, len(out))
-        out.append((bag, y))
+        out.append((bag, y, words))
     return out
 
 
@@ -338,7 +524,8 @@ def scorer(model: ToxicityModel):
                 for i in range(0, len(new), 20_000):
                     part = new[i : i + 20_000]
                     cache.update(zip(part, model.margins(part).tolist(), strict=True))
-                margin[at : at + len(texts)] = [max(map(cache.__getitem__, b), default=0.0) for b in bags]
+                of_words = np.array([max(map(cache.__getitem__, b), default=0.0) for b in bags])
+                margin[at : at + len(texts)] = model.with_phrases([words_of(t) if t else [] for t in texts], of_words)[0]
             yield pa.array(model.probability(margin))
 
     return score

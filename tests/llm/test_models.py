@@ -55,6 +55,38 @@ def test_toxicity_held_out(sample):
     assert ((p >= 0.5) == y).mean() > 0.9
 
 
+def test_toxicity_of_phrases(spark):
+    """Ordinary words that are toxic together; and words parted or spelled out over any white space."""
+    rng = np.random.default_rng(8)
+    words = [a + b for a in "ka lo mi ten ra su ver ni".split() for b in "do pel ist an cho gra be un".split()] + ["eat", "your", "shoes"] * 3
+
+    def text(*planted):
+        out = rng.choice(words, 60).tolist()
+        for p in planted:
+            out.insert(int(rng.integers(len(out))), p)
+        return " ".join(out)
+
+    model = toxicity.train([(text("eat your shoes"), 1) for _ in range(200)] + [(text("shoes your"), 0) for _ in range(200)])
+    test = [text("eat your shoes") for _ in range(30)] + [text("Eat,  your\nshoes!") for _ in range(30)] + [text("shoes your") for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(test)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.with_toxicity(df, model).collect()}
+    assert np.mean([got[k] == (k < 60 or "eat your shoes" in test[k]) for k in got]) > 0.9
+    assert {"idiot"} <= toxicity.strings_of("you i  d\ni o\t t there")
+
+
+def test_phrase_margins_against_brute_force():
+    marks = ["idiot", "eat\x01your", "table\x01top\x01idiot"]
+    basis = toxicity._Landmarks(marks)
+    model = basis.fold(np.array([1.0, 0.6, -0.3]), 0.0)
+    texts = ["an id iot at a table top", "eat your - eat your table", "x", "", "y" * 100 + " id iot", "top " * 9000 + "eat your idiot"]
+    seqs = [toxicity.words_of(t) for t in texts]
+    best, which = model.with_phrases(seqs, np.zeros(len(seqs)))
+    for k, w in enumerate(seqs):
+        names = sorted({"\x01".join(w[i : i + n]) for n in (2, 3) for i in range(len(w) - n + 1)})
+        want = max(model.margins(names), default=0.0)
+        assert best[k] == pytest.approx(want, abs=1e-5) and (want == 0 or which[k] in names)
+
+
 def test_toxicity_without_classes():
     model = toxicity.train([("fine words", 0), ("more words", 0)])
     assert model.probability(model.margins(["fine"])).max() < 0.5
