@@ -93,10 +93,10 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = 0.98, sample_rows: int = 20_000, cells: int | None = None) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors(vec_id, embedding, label)``.
 
-    Vectors of equal non-null labels link when their cosine in double precision reaches ``cosine``.
-    Vectors that are null, empty, zero, of another length than the table's usual one, or hold null or non-finite components link
-    with nothing.  Repeated rows link as any others.  The quantiser is fitted on about ``sample_rows`` classes,
-    chosen by hash; every row is indexed.  component_id is the smallest vec_id reachable.
+    Vectors of equal non-null labels and equal length link when their cosine in double precision reaches ``cosine``.
+    Vectors that are null, empty, zero, or hold null or non-finite components link
+    with nothing.  Repeated rows link as any others.  Each length has its quantiser, all fitted on about ``sample_rows`` classes
+    together, chosen by hash, and one at least of each length; every row is indexed.  component_id is the smallest vec_id reachable.
     """
     ws = Workspace(spark, "pq")
     e = F.col("embedding").cast("array<double>")
@@ -126,57 +126,60 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9
         out = ids.join(named, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
         return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
-    usual = classes.groupBy("dim").agg(F.sum("k").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    n_classes = classes.count()
-    if not usual:
+    lengths = {r["dim"]: r for r in classes.groupBy("dim").agg(F.count("*").alias("n"), F.min_by("v", "key").alias("v")).collect()}  # few, a row for each
+    n_classes = sum(r["n"] for r in lengths.values())
+    if not lengths:
         return finish(None, None)
-    dim = usual[0]["dim"]
-    sample = classes.where((F.col("dim") == dim) & (unit_hash(F.col("key"), 3) < min(1.0, sample_rows / n_classes))).select("key", "v").collect()
-    if not sample:
-        sample = classes.where(F.col("dim") == dim).select("key", "v").limit(1).collect()
+    sample = classes.where(unit_hash(F.col("key"), 3) < min(1.0, sample_rows / n_classes)).select("dim", "key", "v").collect()
     sample.sort(key=lambda r: r["key"])
-    x = np.array([r["v"] for r in sample])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    quantiser = Quantiser(x, cells or min(MAX_CELLS, max(1, int(n_classes**0.5 / 4))))
+    quantisers = {}
+    for dim, r in sorted(lengths.items()):
+        x = np.array([s["v"] for s in sample if s["dim"] == dim] or [r["v"]])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        quantisers[dim] = Quantiser(x, cells or min(MAX_CELLS, max(1, int(r["n"] ** 0.5 / 4))))
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each class with its cell, codes and probes."""
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                v = _matrix(part.column(3), dim)
-                unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-                cell, codes, error = quantiser.encode(unit)
-                probe = [np.flatnonzero(p).tolist() for p in quantiser.probes(unit, cell, radius)]
-                columns = [part.column(0), part.column(1), part.column(2), part.column(3), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(error), pa.array(probe, pa.list_(pa.int32()))], ["cls", "label", "k", "v", "cell", "code", "error", "probes"])
+                mixed = batch.slice(at, 1024)
+                dims = mixed.column(4).to_numpy()
+                for dim in np.unique(dims).tolist():
+                    part, quantiser = mixed.filter(pa.array(dims == dim)), quantisers[dim]
+                    v = _matrix(part.column(3), dim)
+                    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+                    cell, codes, error = quantiser.encode(unit)
+                    probe = [np.flatnonzero(p).tolist() for p in quantiser.probes(unit, cell, radius)]
+                    columns = [*(part.column(i) for i in range(5)), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(error), pa.array(probe, pa.list_(pa.int32()))], ["cls", "label", "k", "v", "dim", "cell", "code", "error", "probes"])
 
     kind = classes.schema["label"].dataType.simpleString()
-    coded = classes.where(F.col("dim") == dim).select("cls", "label", "k", "v").mapInArrow(index, f"cls long, label {kind}, k long, v array<double>, cell int, code binary, error double, probes array<int>")
+    coded = classes.select("cls", "label", "k", "v", "dim").mapInArrow(index, f"cls long, label {kind}, k long, v array<double>, dim int, cell int, code binary, error double, probes array<int>")
     coded = ws.table("coded", coded)
     # a list of any length is parted into blocks of about BLOCK vectors; each query visits each block of its lists
-    sizes = coded.groupBy("label", "cell").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
+    sizes = coded.groupBy("label", "dim", "cell").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
     sizes = ws.table("sizes", sizes)
-    items = coded.join(sizes, ["label", "cell"]).withColumn("part", F.pmod("cls", "parts").cast("int"))
-    items = items.select("label", "cell", "part", F.lit(True).alias("item"), "cls", "k", "v", "code", "error", F.col("cell").alias("home"), "probes")
-    asked = coded.withColumn("probe", F.explode("probes")).withColumnRenamed("cell", "home").withColumnRenamed("probe", "cell").join(sizes, ["label", "cell"])
+    items = coded.join(sizes, ["label", "dim", "cell"]).withColumn("part", F.pmod("cls", "parts").cast("int"))
+    items = items.select("label", "dim", "cell", "part", F.lit(True).alias("item"), "cls", "k", "v", "code", "error", F.col("cell").alias("home"), "probes")
+    asked = coded.withColumn("probe", F.explode("probes")).withColumnRenamed("cell", "home").withColumnRenamed("probe", "cell").join(sizes, ["label", "dim", "cell"])
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    asked = asked.select("label", "cell", "part", F.lit(False).alias("item"), "cls", "k", "v", "code", "error", "home", "probes").drop("code", "error")
+    asked = asked.select("label", "dim", "cell", "part", F.lit(False).alias("item"), "cls", "k", "v", "code", "error", "home", "probes").drop("code", "error")
     both = items.unionByName(asked, allowMissingColumns=True)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (label, cell, part), a block's vectors before its queries, which stream by."""
+        """Rows come sorted by (label, dim, cell, part), a block's vectors before its queries, which stream by."""
         block, block_key, wait, wait_key = None, None, [], None
 
         def compare(part: pa.RecordBatch) -> pa.RecordBatch | None:
+            dim = part.column("dim")[0].as_py()
             cell = part.column("cell")[0].as_py()
             qid, qk = part.column("cls").to_numpy(), part.column("k").to_numpy()
             q = _matrix(part.column("v"), dim)
             qn = np.linalg.norm(q, axis=1)
             home = part.column("home").to_numpy()
             ids, k, v, norm, codes, error, probes = block
-            close = quantiser.distances(q / qn[:, None], cell, codes) <= radius + error[None] + 1e-7
+            close = quantisers[dim].distances(q / qn[:, None], cell, codes) <= radius + error[None] + 1e-7
             close &= qid[:, None] != ids[None]
             a, b = np.nonzero(close)
             if not len(a):
@@ -209,20 +212,21 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9
 
         def built(parts: list[pa.RecordBatch]):
             t = pa.Table.from_batches(parts).combine_chunks()
+            dim = t.column("dim")[0].as_py()
             v = _matrix(t.column("v").chunk(0), dim)
-            probes = np.zeros((len(v), len(quantiser.centres)), dtype=bool)
+            probes = np.zeros((len(v), len(quantisers[dim].centres)), dtype=bool)
             for i, p in enumerate(t.column("probes").to_pylist()):
                 probes[i, p] = True
             codes = np.frombuffer(b"".join(t.column("code").to_pylist()), dtype=np.uint8).reshape(len(v), -1)
             return t.column("cls").to_numpy(), t.column("k").to_numpy(), v, np.linalg.norm(v, axis=1), codes, t.column("error").to_numpy(), probes
 
         for batch in batches:
-            marks = [tuple(r.values()) for r in batch.select(["label", "cell", "part", "item"]).to_pylist()]
+            marks = [tuple(r.values()) for r in batch.select(["label", "dim", "cell", "part", "item"]).to_pylist()]
             cuts = [0, *[i for i in range(1, len(marks)) if marks[i] != marks[i - 1]], len(marks)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
-                here, item = marks[a][:3], marks[a][3]
+                here, item = marks[a][:4], marks[a][4]
                 if item:
                     if here != wait_key:
                         wait, wait_key = [], here
@@ -237,8 +241,8 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9
                         if (found := compare(batch.slice(i, min(512, b - i)))) is not None:
                             yield found
 
-    cols = both.select("label", "cell", "part", "item", "cls", "k", "v", "code", "error", "home", "probes")
-    found = cols.repartition("label", "cell", "part").sortWithinPartitions("label", "cell", "part", F.desc("item")).mapInArrow(search, "cls long, n long, other long")
+    cols = both.select("label", "dim", "cell", "part", "item", "cls", "k", "v", "code", "error", "home", "probes")
+    found = cols.repartition("label", "dim", "cell", "part").sortWithinPartitions("label", "dim", "cell", "part", F.desc("item")).mapInArrow(search, "cls long, n long, other long")
     found = ws.table("found", found)
     edges = found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b"))
     out = ws.table("out", finish(found.where("other is null").select("cls", "n"), edges))

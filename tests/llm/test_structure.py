@@ -332,6 +332,21 @@ def test_near_vectors_against_brute_force(spark, cells):
     assert got == {i: (count[i], want[i], want[i] == i) for i, *_ in rows}
 
 
+@pytest.mark.parametrize("cells", [None, 5])
+def test_near_vectors_of_several_lengths(spark, cells):
+    rng = np.random.default_rng(14)
+    rows = []
+    for dim, n in ((16, 30), (3, 12), (9, 15), (1, 2), (40, 1)):
+        for v in rng.normal(size=(n, dim)):
+            rows += [(v + rng.normal(size=dim) * 0.03, int(rng.integers(0, 2))) for _ in range(3)]
+    rows = [(k, [float(np.float32(x)) for x in v], label) for k, (v, label) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(5)
+    count, linked = links(rows)
+    want = groups([i for i, *_ in rows], linked)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in pq.near_duplicates(spark, df, cells=cells, sample_rows=60).collect()}
+    assert got == {i: (count[i], want[i], want[i] == i) for i, *_ in rows}
+
+
 def test_near_vectors_without_rows(spark):
     df = spark.createDataFrame([(1, None, 1), (2, [1.0], None)], "vec_id long, embedding array<float>, label int")
     assert sorted(map(tuple, pq.near_duplicates(spark, df).collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
