@@ -273,7 +273,7 @@ def searchsorted(x1, x2, /, *, side="left", sorter=None) -> Tensor:
     """Where the cells of x2 would be put into the sorted vector x1.
 
     A vector of up to MAX_SEARCHED cells goes to each executor as one array; a longer one is merged
-    with the cells by a range-partitioned sort and running counts.
+    with the cells by a range-partitioned sort and running counts.  Both compare in the common type of the two.
     """
     if side not in ("left", "right"):
         raise ValueError("side is left or right")
@@ -283,9 +283,9 @@ def searchsorted(x1, x2, /, *, side="left", sorter=None) -> Tensor:
 
         x1 = take(x1, sorter, axis=0)
     n = x1.shape[0]
+    kind = np.result_type(x1.dtype, x2.dtype)
     if n <= MAX_SEARCHED:
         host = x1.to_numpy()
-        kind = np.result_type(x1.dtype, x2.dtype)
 
         @F.pandas_udf("bigint")
         def find(v):
@@ -296,8 +296,8 @@ def searchsorted(x1, x2, /, *, side="left", sorter=None) -> Tensor:
         fill = np.int64(np.searchsorted(host, x2.fill_value, side=side))
         return Tensor(Relation(x2.df.select(*x2.axes, find(F.col(VALUE)).alias(VALUE)), x2.axes, x2.rel.dims, fill, T.int64).normal())
     first = 0 if side == "left" else 1
-    edges = x1.rel.dense().df.select(F.col(VALUE).cast("double").alias("x"), F.lit(1 - first).alias("tag"), F.lit(None).cast("bigint").alias("at"))
-    cells = x2.rel.dense().df.select(F.col(VALUE).cast("double").alias("x"), F.lit(first).alias("tag"), linear(x2).alias("at"))
+    edges = x1.rel.dense().df.select(F.col(VALUE).cast(T.storage(kind)).alias("x"), F.lit(1 - first).alias("tag"), F.lit(None).cast("bigint").alias("at"))
+    cells = x2.rel.dense().df.select(F.col(VALUE).cast(T.storage(kind)).alias("x"), F.lit(first).alias("tag"), linear(x2).alias("at"))
     merged = edges.unionByName(cells).repartitionByRange("x").withColumn("__p", F.spark_partition_id())
     part = merged.groupBy("__p").agg(F.count_if(F.col("at").isNull()).alias("k"))
     before = part.withColumn("before", F.sum("k").over(Window.orderBy("__p")) - F.col("k")).select("__p", "before")

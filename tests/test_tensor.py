@@ -117,6 +117,16 @@ def test_long_searchsorted(monkeypatch):
         check(cf.searchsorted(cf.asarray(edges), cf.asarray(s), side=side), np.searchsorted(edges, s, side=side))
 
 
+def test_long_searchsorted_of_large_integers(monkeypatch):
+    from coordframe.operators import reductions
+
+    monkeypatch.setattr(reductions, "MAX_SEARCHED", 0)
+    for dtype, base in (("int64", 2**53), ("int64", -(2**62)), ("uint64", 2**63)):
+        edges, s = np.array([base, base + 1, base + 1, base + 3], dtype=dtype), np.array([base + 1, base + 2, base, base + 4], dtype=dtype)
+        for side in ("left", "right"):
+            check(cf.searchsorted(cf.asarray(edges), cf.asarray(s), side=side), np.searchsorted(edges, s, side=side))
+
+
 def test_shapes():
     a, t = A, cf.asarray(A)
     check(t.T, a.T)
