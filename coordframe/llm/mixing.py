@@ -73,7 +73,8 @@ def mix(
 
     The budget is ``fraction`` of all tokens (words).  ``path`` names the tree's columns, root first.
     A leaf's order is that of a seeded hash of doc_id; rows that tie (repeated ids) are taken together
-    or not at all; rows without words go with their hash.  Null ids and null groups are values
+    or not at all; rows without words go with their hash, and a leaf that has no words at all is full and taken
+    whole, unless the budget is 0 or a weight of 0 leaves it out.  Null ids and null groups are values
     of their own.  The number of leaves may grow with the sources; rows of a leaf are summed in 4,096 bins
     of the hash, so no leaf is sorted as a whole.  No rows give no rows.
     """
@@ -96,11 +97,13 @@ def mix(
             on = on & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
         return on
 
-    leaf = leaves.alias("l").join(share.alias("s"), same("l", "s"), "left").select(*[F.col(f"l.{c}").alias(c) for c in path], "supply", F.coalesce("share", F.lit(0)).alias("share"))
+    leaf = leaves.alias("l").join(share.alias("s"), same("l", "s"), "left").select(*[F.col(f"l.{c}").alias(c) for c in path], "supply", "share")
+    full = (F.col("supply") == 0) & F.col("share").isNotNull() & F.lit(fraction > 0)  # no share: left out by a weight
+    leaf = leaf.withColumn("__full", full).withColumn("share", F.coalesce("share", F.lit(0)))
     some = F.greatest(F.col("supply"), F.lit(1))
-    leaf = leaf.withColumn("__whole", F.least(F.floor(F.col("share") / some), F.lit(max_epochs)).cast("int"))
+    leaf = leaf.withColumn("__whole", F.when(F.col("__full"), F.lit(max_epochs)).otherwise(F.least(F.floor(F.col("share") / some), F.lit(max_epochs))).cast("int"))
     leaf = leaf.withColumn("__rest", F.when(F.col("__whole") < max_epochs, F.col("share") - F.col("__whole") * F.col("supply")).otherwise(0))
-    leaf = ws.table("leaf", leaf)
+    leaf = ws.table("leaf", leaf.drop("__full"))
 
     def ordered(rows: DataFrame, k: Column) -> DataFrame:
         h = F.xxhash64(k, F.lit(seed), F.col("__whole"))

@@ -295,6 +295,19 @@ def test_mix_takes_prefixes(spark):
     assert mixing.mix(spark, docs.where("false"), ["source"], 0.5).count() == 0
 
 
+def test_mix_takes_leaves_without_words(spark):
+    rows = [(1, "a", "x y z"), (2, "a", ""), (3, "b", None), (4, "b", " "), (None, None, ""), (5, "c", ""), (6, "d", "p q")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+
+    def taken(rows, fraction, epochs):
+        got = mixing.mix(spark, rows, ["source"], fraction, {("c",): 0.0, ("d",): 0.0}, max_epochs=epochs).collect()
+        return Counter((r["doc_id"], r["source"]) for r in got)
+
+    assert taken(docs, 1.0, 1) == Counter({(1, "a"): 1, (2, "a"): 1, (3, "b"): 1, (4, "b"): 1, (None, None): 1})
+    assert taken(docs.where("source = 'b' or source = 'c'"), 0.5, 2) == Counter({(3, "b"): 2, (4, "b"): 2})
+    assert not taken(docs, 0.0, 1)
+
+
 def links(rows, cosine=0.98):
     x = {}
     for i, v, label in rows:
