@@ -55,8 +55,7 @@ def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
         out = np.bincount(doc, weights, minlength=scan.n)
         return out if weights is None else np.rint(out).astype(np.int64)
 
-    points = scan.codepoints()
-    chars = points[scan.end] - points[scan.start]
+    chars = scan.codepoints(scan.start, scan.end)
     total = by_text(scan.doc, chars)
     marks = np.flatnonzero(_SYMBOL[scan.bytes])
     doc, line, _, a, b = scan.lines()
