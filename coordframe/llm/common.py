@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +18,15 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables.
 
-    On a cluster it is the shared folder named in ``spark.checkpoint.dir``.  Only where neither
-    that setting nor a checkpoint folder exists (local tests) a temporary folder is set.
+    It is the shared folder named in ``spark.checkpoint.dir``, or else the session's checkpoint folder.  Where neither
+    is set, a temporary folder is made if Spark runs in this process alone, as in tests; a cluster
+    must name one, since no folder of a single machine would do.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="coordframe-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -75,14 +82,12 @@ def class_sample(labelled: DataFrame, rows: int, seed: int) -> DataFrame:
     return labelled.where(unit_hash(F.col("doc_id"), seed) < rate)
 
 
-def labelled_texts(
-    docs: DataFrame, labels: DataFrame, target: str, modulus: int, held_out: int, rows: int, max_chars: int, seed: int = 7
-) -> list[tuple[str, int]]:
-    """The bounded training sample of a classifier, as ``(text, label)`` on the driver.
+def labelled_texts(docs: DataFrame, labels: DataFrame, target: str, modulus: int, held_out: int, rows: int, max_chars: int, seed: int = 7) -> DataFrame:
+    """The bounded training sample of a classifier, as ``doc_id, text, label``.
 
     Only rows outside the held-out fold are read.  ``rows`` bounds the sample (in expectation, by
     hash of the id) and only texts of at most ``max_chars`` characters are learned from; scoring
-    has no such bound.  Ids labelled several times count once, with the largest label.
+    has no such bound.  Ids labelled several times count once, with the largest label; of several texts with one id the smallest is taken.
     """
     lab = (
         labels.select(F.col("doc_id"), F.col(target).cast("int").alias("label"))
@@ -91,12 +96,23 @@ def labelled_texts(
         .agg(F.max("label").alias("label"))
     )
     chosen = class_sample(lab, rows, seed)
-    got = (
-        docs.select("doc_id", "text")
-        .where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-        .join(F.broadcast(chosen), "doc_id")  # about `rows` ids
-        .select("doc_id", "text", "label")
-        .collect()
-    )
-    got.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return [(r["text"], r["label"]) for r in got]
+    ids = chosen.limit(4 * rows + 1000).collect()
+    if len(ids) > 2 * rows + 500:
+        raise RuntimeError(f"{len(ids)} ids in a sample of {rows}")
+    few = docs.sparkSession.createDataFrame(ids, chosen.schema)
+    got = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).join(F.broadcast(few), "doc_id")
+    return got.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
+
+
+def fitted[M](sample: DataFrame, train: Callable[[list[tuple]], M]) -> M:
+    """What ``train`` makes of the ``(text, label)`` rows of ``sample(doc_id, text, label)``, in the order of doc_id.
+
+    The sample is bounded, so one task holds it; the driver gets nothing but the model.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[:2])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[1:] for r in rows]))], pa.binary())], ["model"])
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else train([])

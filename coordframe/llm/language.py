@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import class_sample, fold
+from .common import class_sample, fitted, fold
 
 BUCKETS, ORDERS = 1 << 15, (1, 2, 3)
 UNKNOWN = "und"
@@ -132,9 +132,8 @@ def fit(docs: DataFrame, rows: int = 4000, max_chars: int = 20_000) -> LanguageM
     known = docs.select("doc_id", "text", F.col("lang").alias("label")).where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id"), 4) != 2) & (F.length("text") <= max_chars)
     )
-    got = class_sample(known, rows, 13).select("doc_id", "text", "label").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train([(r["text"], r["label"]) for r in got])
+    got = class_sample(known, rows, 13).groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("x"))  # an id once
+    return fitted(got.select("doc_id", "x.text", "x.label"), train)
 
 
 def predictor(model: LanguageModel):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_texts
+from .common import fitted, labelled_texts
 from .textscan import Scan, chunks, encode
 
 WORDS, BINS, RANK = 1 << 13, 8, 8
@@ -26,8 +26,8 @@ FEATURES = WORDS + _STATS * BINS
 
 def statistics(scan: Scan) -> np.ndarray:
     """Structure statistics of each text, each scaled to 0..1; length is the only metadata."""
-    owner = np.searchsorted(scan.text_end, np.arange(len(scan.bytes)), side="right")
-    hist = np.bincount(owner * 256 + scan.bytes, minlength=scan.n * 256).reshape(scan.n, 256).astype(float)
+    edges = np.r_[0, scan.text_end]
+    hist = np.stack([np.bincount(scan.bytes[a:b], minlength=256) for a, b in zip(edges, edges[1:], strict=False)]).astype(float)
     hist[:, 10] -= 1  # the newline between texts
     n, k = np.maximum(hist.sum(axis=1), 1), np.maximum(scan.count, 1)
     by = lambda doc, w=None: np.bincount(doc, w, minlength=scan.n)
@@ -146,7 +146,7 @@ def scorer(model: QualityModel):
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, max_chars: int = 20_000) -> QualityModel:
     """Trains on at most about ``rows`` labelled texts of at most ``max_chars`` characters (see labelled_texts)."""
-    return train(labelled_texts(docs, labels, "quality", 5, 0, rows, max_chars))
+    return fitted(labelled_texts(docs, labels, "quality", 5, 0, rows, max_chars), train)
 
 
 def with_quality(docs: DataFrame, model: QualityModel, column: str = "score") -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_texts
+from .common import fitted, labelled_texts
 
 DECAY, SPAN, MAX_STRING, CACHE = 0.7, 6, 32, 150_000
 PHRASE, RUN, MARK = 3, 8192, "\x01"
@@ -533,7 +533,7 @@ def scorer(model: ToxicityModel):
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, max_chars: int = 20_000) -> ToxicityModel:
     """Trains on at most about ``rows`` labelled texts of at most ``max_chars`` characters (see labelled_texts)."""
-    return train(labelled_texts(docs, labels, "toxic", 5, 0, rows, max_chars))
+    return fitted(labelled_texts(docs, labels, "toxic", 5, 0, rows, max_chars), train)
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
