@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 
-LOCAL_NODES = 300_000
+LOCAL_NODES, LAST_EDGES = 300_000, 200_000
 
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,7 +37,7 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = find(a), find(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        if len(parent) > LOCAL_NODES:
+        if len(parent) > max(LOCAL_NODES, 2 * LAST_EDGES):
             yield stars()
     if parent:
         yield stars()
@@ -49,7 +49,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
     Large-star links each neighbour that is larger than a node to the smallest neighbour; small-star
     does so for the smaller ones.  Both are a grouped minimum and a join, so no neighbour list is
     ever gathered, and the rounds are logarithmic in the longest path, which each task first shortens
-    among its own edges.  Each round's edges are
+    among its own edges.  As soon as LAST_EDGES edges are left at most, a single task ends the work.  Each round's edges are
     written to the shared folder.  Self-loops and nulls are ignored; no edges give no rows.
     """
     ws = Workspace(spark, "components")
@@ -70,12 +70,15 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
     cur = ws.table("0", few.distinct())
     state = None
     for k in range(1, max_rounds + 1):
-        cur = ws.table(f"{k}", star(star(cur, True), False))
-        ws.drop(f"{k - 1}")
         row = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (row["n"], row["h"]) == state:
             break
         state = (row["n"], row["h"])
+        last = row["n"] <= LAST_EDGES
+        cur = ws.table(f"{k}", cur.repartition(1).mapInArrow(_forests, "a long, b long") if last else star(star(cur, True), False))
+        ws.drop(f"{k - 1}")
+        if last:
+            break
     else:
         raise RuntimeError("components did not settle")
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

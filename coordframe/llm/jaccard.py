@@ -1,18 +1,22 @@
 """N-gram Jaccard join: T-occurrence search over inverted lists, with DivideSkip.
 
-Two documents whose shingle sets have n and m members reach similarity p/q when they share
-``T = ceil(p (n + m) / (p + q))`` shingles.  DivideSkip parts a query's inverted lists into long ones, which
-are only probed, and short ones, which are merged.  Here this happens twice:
-
-* across the cluster, shingles are ordered from rare to frequent by a count sketch over all
-  documents, and only each set's rarest ``n - ceil(p n / q) + 1`` shingles are put into inverted
-  lists: a pair that reaches T must meet in one of them;
-* for each query and its candidates, a worker builds the lists of the query's shingles, merges the
-  short ones with a heap, and probes the T - 1 longest by binary search.
-
-Documents with equal sets form one class first, so copies cost nothing.  Lists never become pairs of all
-their members: each member is first compared with its neighbour in size; then only members that
-still lie in different components are, which loses no link between components.
+Two documents whose shingle sets have n and m members reach similarity p/q only if they share
+``T = ceil(p (n + m) / (p + q))`` shingles, so at least ``ceil(p n / q)`` of each.  DivideSkip parts a set's inverted
+lists into T - L short ones, which are merged, and L long ones, which are only probed: what it looks for must
+occur L times less than T among the short ones.  Three steps use this, each on what the one before has left:
+
+* **Merge, any order.**  The lists of each set's ``n - ceil(p n / q) + l`` smallest shingles by hash (l a tenth of n) are merged by
+  counting, in blocks: sets that reach the similarity meet in l of them at least.  Most documents
+  are like no other and end here.  Equal sets become one class.
+* **Merge, rarest first.**  The remaining classes' shingles are counted exactly.  Those that no other class has count
+  against the similarity at once; lists are made of the rest of each set's ``n - ceil(p n / q) + 1`` rarest ones, and a list's member
+  stays only if its place in its own order leaves room for T with another member.
+* **Probe.**  A class and its candidates go to a worker, which builds the lists of the class's shingles, merges the
+  short ones with a heap and probes the T - 1 longest by binary search.
+
+Lists never become pairs of all their members.  In each round a class is compared with one member of a list that lies in
+another component, and only lists of several components go on; when few pairs of different components are left, all are compared.
+So no link between components is lost.
 """
 
 from __future__ import annotations
@@ -31,14 +35,14 @@ from .components import connected_components
 from .textscan import Scan, chunks, encode, mix
 
 WORDS, P, Q = 5, 4, 5  # similarity P/Q
-SKETCH_BITS, SKETCH_PART = 22, 1 << 14
-FILTER_BITS, LONG_LIST, HUB_ROUNDS = 24, 1 << 20, 1
+BLOCK_GRAMS, PART_GRAMS = 1 << 19, 1 << 21
+FILTER_BITS, LIST_ROWS, ROUNDS, ASKED = 24, 1 << 16, 6, 2048
 _MASK = np.uint64((1 << 48) - 1)
 _ZERO = np.zeros(0, dtype=np.uint64)
 
 
 def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(counts, grams, digests)``: each text's number of shingles, all 48-bit shingles (sorted by text), set digests."""
+    """``(counts, grams, digests)``: each text's number of shingles, all 48-bit shingles (sorted by text), two 64-bit digests of each set."""
     scan = Scan([t.lower() for t in encode(texts)])  # bytes lower A-Z only
     at, h = scan.windows(WORDS)
     doc = scan.doc[at]
@@ -57,14 +61,15 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
     new[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
     h, grams, doc = h[new], grams[new], doc[new]
     counts = np.bincount(doc, minlength=scan.n)
-    digests = np.zeros(scan.n, dtype=np.uint64)
-    np.add.at(digests, doc, mix(grams ^ np.uint64(0x5851F42D4C957F2D)))
+    digests = np.zeros((2, scan.n), dtype=np.uint64)
+    for k, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
+        np.add.at(digests[k], doc, mix(h ^ np.uint64(salt)))
     return counts, grams, mix(digests + counts.astype(np.uint64))
 
 
-def pack(grams: np.ndarray) -> np.ndarray:
+def pack(grams: np.ndarray) -> bytes:
     """Six bytes for each gram."""
-    return np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+    return np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
 def unpack(raw: bytes) -> np.ndarray:
@@ -74,71 +79,228 @@ def unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and at the end rows with this task's part of the count sketch."""
-    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-    names = ["doc_id", "n", "cls", "grams", "chunk"]
+def _small(values: np.ndarray) -> bytes:
+    return zlib.compress(values.astype("<i4").tobytes(), 1)
+
+
+def _values(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), dtype="<i4").astype(np.int64)
+
+
+def least(n: np.ndarray) -> np.ndarray:
+    """The smallest overlap with which a set of n shingles reaches the similarity with any other."""
+    return (P * n + Q - 1) // Q
+
 
-    def out(ids, n, cls, grams, chunk) -> pa.RecordBatch:
-        columns = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(grams, pa.binary()), pa.array(chunk, pa.int32())]
-        return pa.RecordBatch.from_arrays(columns, names)
+def spare(n: np.ndarray) -> np.ndarray:
+    """How many shared shingles the hash-ordered prefix must have beyond one that only has to meet: l."""
+    return (n + 9) // 10
 
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, at = batch.column(0), 0
-        for texts in chunks(batch.column(1)):
-            counts, grams, digests = shingle_sets(texts)
-            bucket, found = np.unique(grams & np.uint64(len(sketch) - 1), return_counts=True)
-            sketch[bucket.astype(np.int64)] += found.astype(np.uint32)
-            raw, ends = pack(grams).tobytes(), np.cumsum(counts) * 6
-            parts = [raw[b - 6 * n : b] for b, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-            yield out(ids.slice(at, len(texts)).to_pylist(), counts, digests.view(np.int64), parts, [-1] * len(texts))
+        row, ids, at = batch.column(0), batch.column(1), 0
+        for texts in chunks(batch.column(2)):
+            n, grams, digests = shingle_sets(texts)
+            ends = np.cumsum(n)
+            raw = pack(grams)
+            sets = [raw[6 * (b - k) : 6 * b] for b, k in zip(ends.tolist(), n.tolist(), strict=True)]
+            columns = [row.slice(at, len(texts)), ids.slice(at, len(texts)), pa.array(n), *(pa.array(d.view(np.int64)) for d in digests), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "d1", "d2", "grams"])
             at += len(texts)
-    if sketch.any():
-        blobs = [zlib.compress(sketch[i : i + SKETCH_PART].tobytes(), 1) for i in range(0, len(sketch), SKETCH_PART)]
-        yield out([None] * len(blobs), [0] * len(blobs), [0] * len(blobs), blobs, list(range(len(blobs))))
 
 
-def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
+_SHARED = "block long, part int, row binary, grams binary, n binary"
+
+
+def _parts(grams: np.ndarray, parts: int) -> np.ndarray:
+    return ((mix(grams) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], prefix: bool, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """From sets (row, n, grams), runs of about ``size`` shingles: ``(block, rows, n, grams, owners)``; a block is named by its first row."""
+    rows, sizes, raws, held = [], [], [], 0
+
+    def block():
+        n = np.array(sizes, dtype=np.int64)
+        use = n - least(n) + spare(n) if prefix else n
+        grams = unpack(b"".join(raws))
+        out = rows[0], np.array(rows, dtype=np.int64), n, grams, np.repeat(np.arange(len(n)), use)
+        rows.clear(), sizes.clear(), raws.clear()
+        return out
+
     for batch in batches:
-        for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(zlib.decompress(raw), dtype=np.uint32).astype(np.uint64)
-            total[chunk] = total.get(chunk, 0) + part
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["chunk", "part"])
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            for row, n, raw in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                if not n:
+                    continue
+                k = n - int(least(n)) + int(spare(n)) if prefix else n
+                rows.append(row), sizes.append(n), raws.append(raw[: 6 * k])
+                held += k
+                if held >= size:
+                    yield block()
+                    held = 0
+    if rows:
+        yield block()
+
+
+def _rows(columns: list[list], names: list[str]) -> pa.RecordBatch:
+    kinds = {"block": pa.int64(), "part": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(x, pa.binary())) for c, x in zip(columns, names, strict=True)], names)
+
+
+def _deal(parts: int, prefix: bool, size: int):
+    """Each block's distinct shingles dealt to parts.
+
+    With ``prefix``, a shingle of one set goes with its set's number (``n``: shingles of each set, then those of several, which are
+    known to be shared); the block's own row (part -1) has the rows and what each set still lacks.
+    Otherwise a shingle goes with its count (``n``), and the block's own row has all its sets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows, n, grams, owner in _blocks(batches, prefix, size):
+            order = np.argsort(grams, kind="stable")
+            s, o = grams[order], owner[order]
+            first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            count = np.diff(np.r_[first, len(s)])
+            if prefix:
+                several = np.repeat(count > 1, count)
+                lacks = -(-least(n) // 10) - np.bincount(o[several], minlength=len(n))
+                own = _small(lacks), b"", _small(n)
+                who = np.where(count > 1, len(n), o[first])
+            else:
+                own = rows.astype("<i8").tobytes(), pack(grams), _small(n)
+                who = np.zeros(len(first), dtype=np.int64)
+            s = s[first]
+            part = _parts(s, parts)
+            by = np.lexsort((s, who, part))
+            s, who, count, part = s[by], who[by], count[by], part[by]
+            ends = np.searchsorted(part, np.arange(parts + 1))
+            out: list[list] = [[block], [-1], [rows.astype("<i8").tobytes() if prefix else own[0]], [own[0] if prefix else own[1]], [own[2]]]
+            for k in np.flatnonzero(np.diff(ends)).tolist():
+                a, b = ends[k], ends[k + 1]
+                more = _small(np.bincount(who[a:b], minlength=len(n) + 1)) if prefix else _small(count[a:b])
+                for column, x in zip(out, (block, k, None, pack(s[a:b]), more), strict=True):
+                    column.append(x)
+            yield _rows(out, ["block", "part", "row", "grams", "n"])
+
+    return run
 
 
-def _postings(sketch: np.ndarray):
-    """The rarest shingles of each class, once for each task: ``(gram, cls, n, pos)``."""
+def _count(prefix: bool):
+    """From dealt rows sorted by part: for each block, the number of shared shingles of each set, or a code of each shingle's count."""
+    names = ["block", "part", "row", "grams", "n"]
+
+    def answers(held: list[tuple]) -> pa.RecordBatch:
+        grams = [unpack(x[3]) for x in held]
+        n = [_values(x[4]) for x in held]
+        sizes = [len(g) for g in grams]
+        every = np.concatenate(grams)
+        _, which, blocks = np.unique(every, return_inverse=True, return_counts=True)
+        if prefix:  # a shingle is at most once in a block
+            cuts = np.split(blocks[which] > 1, np.cumsum(sizes)[:-1])
+            found = [_small(np.bincount(np.repeat(np.arange(len(k)), k)[hit], minlength=len(k))[:-1]) for hit, k in zip(cuts, n, strict=True)]
+        else:
+            total = np.bincount(which, np.concatenate(n))
+            code = np.minimum(255, np.rint(8 * np.log2(total)) + (total > 1)).astype(np.uint8)[which]
+            found = [zlib.compress(x.tobytes(), 1) for x in np.split(code, np.cumsum(sizes)[:-1])]
+        return _rows([[x[0] for x in held], [x[1] for x in held], [None] * len(held), [None] * len(held), found], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        held: list[tuple] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = []
-                for cls, n, raw in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    if cls not in seen and n:
-                        seen.add(cls)
-                        rows.append((cls, n, raw))
-                if len(seen) > 200_000:
-                    seen.clear()
-                if not rows:
-                    continue
-                grams = unpack(b"".join(r[2] for r in rows))
-                n = np.array([r[1] for r in rows], dtype=np.int64)
-                owner = np.repeat(np.arange(len(rows)), n)
-                rank = (sketch[(grams & np.uint64(len(sketch) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | grams
-                order = np.lexsort((rank, owner))
-                pos = np.arange(len(grams)) - np.repeat(np.cumsum(n) - n, n)
-                use = pos < np.repeat(n - (P * n + Q - 1) // Q + 1, n)
-                own = owner[use]
-                cls = np.array([r[0] for r in rows], dtype=np.int64)
-                columns = [grams[order][use].astype(np.int64), cls[own], n[own].astype(np.int32), pos[use].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "cls", "n", "pos"])
+            for at in range(0, batch.num_rows, 256):
+                for x in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    if held and held[0][1] != x[1]:
+                        yield answers(held)
+                        held = []
+                    if x[1] < 0:
+                        yield _rows([[v] for v in x], names)
+                    else:
+                        held.append(x)
+        if held:
+            yield answers(held)
+
+    return run
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From answers sorted by (block, part): rows of the sets that share enough of their prefix."""
+    block, rows, lacks = None, None, None
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[lacks <= 0])], ["row"])
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            for b, part, row, own, n in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                if part < 0:
+                    if block is not None:
+                        yield done()
+                    block, rows, lacks = b, np.frombuffer(row, dtype="<i8"), _values(own)
+                else:
+                    lacks = lacks - _values(n)
+    if block is not None:
+        yield done()
+
+
+def _postings(parts: int):
+    """From answers sorted by (block, part): the rarest shared shingles of each class, ``(gram, salt, cls, n, pos)``."""
+
+    def postings(rows: np.ndarray, n: np.ndarray, grams: np.ndarray, coded: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        owner = np.repeat(np.arange(len(n)), n)
+        every, back = np.unique(grams, return_inverse=True)
+        part = _parts(every, parts)
+        by = np.argsort(part, kind="stable")  # as dealt: by part, then by gram
+        code = np.zeros(len(every), dtype=np.uint8)
+        code[by] = np.concatenate([c for _, c in sorted(coded, key=lambda x: x[0])])
+        code = code[back]
+        some = code > 0
+        shared = np.bincount(owner[some], minlength=len(n))
+        some &= (shared >= least(n))[owner]
+        g, o, c = grams[some], owner[some], code[some]
+        order = np.lexsort((g, c, o))
+        g, o, c = g[order], o[order], c[order]
+        start = np.searchsorted(o, np.arange(len(n)))
+        pos = np.arange(len(g)) - start[o] + (n - shared)[o]
+        use = pos < (n - least(n) + 1)[o]
+        g, o, c, pos = g[use], o[use], c[use], pos[use]
+        cls = rows[o]
+        salts = np.maximum(1, np.exp2(c / 8.0) / LIST_ROWS).astype(np.uint64)  # the longer a list, the more ways it is parted
+        salt = (mix(cls.view(np.uint64)) % salts).astype(np.int32)
+        salt[salts == 1] = -1
+        return pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(salt), pa.array(cls), pa.array(n[o].astype(np.int32)), pa.array(pos.astype(np.int32))], ["gram", "salt", "cls", "n", "pos"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: tuple | None = None
+        coded: list[tuple[int, np.ndarray]] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                for _, part, row, grams, n in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
+                    if part < 0:
+                        if own:
+                            yield postings(*own, coded)
+                        own, coded = (np.frombuffer(row, dtype="<i8").astype(np.int64), _values(n), unpack(grams)), []
+                    else:
+                        coded.append((part, np.frombuffer(zlib.decompress(n), dtype=np.uint8)))
+        if own:
+            yield postings(*own, coded)
 
     return run
 
 
+def _answered(sets: DataFrame, total: int, prefix: bool) -> tuple[DataFrame, int]:
+    """``sets(row, n, grams)`` in blocks, with what was counted over all; sorted by (block, part), a block in one task."""
+    spark = sets.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_GRAMS))  # a part fits a task at any size
+    dealt = sets.select("row", "n", "grams").mapInArrow(_deal(parts, prefix, BLOCK_GRAMS), _SHARED)
+    # a block's own row stays with its block, so that no task gathers them
+    by = F.when(F.col("part") < 0, F.col("block")).otherwise(F.col("part").cast("long"))
+    counted = dealt.repartition(parts, by).sortWithinPartitions("part").mapInArrow(_count(prefix), _SHARED)
+    return counted.repartition(parts, "block").sortWithinPartitions("block", "part"), parts
+
+
 def viable(seg: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Which members of their lists (numbered by ``seg``, sorted by size) have a partner that may be similar.
 
@@ -161,51 +323,44 @@ def viable(seg: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
 
 
 def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings sorted by ``(gram, n, cls)``: list members that have a possible partner, and each one's predecessor.
+    """From postings sorted by ``(gram, salt, n, cls)``: list members that have a possible partner, and each one's predecessor.
 
-    A list over LONG_LIST rows streams through in parts, all of it kept.
+    The partners of a list that is parted by salt may be in another part, so all its members stay.
     """
     names = ["gram", "cls", "n", "pos", "prev"]
-    long_gram = None
 
     def lists(cols: list[np.ndarray]) -> pa.RecordBatch | None:
-        gram, cls = cols[0], cols[1]
-        new = np.r_[True, (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1])]
-        cols = [c[new] for c in cols]
-        seg = np.cumsum(np.r_[False, cols[0][1:] != cols[0][:-1]]).astype(np.int64)
-        keep = viable(seg, cols[2].astype(np.int64), cols[3].astype(np.int64))
-        if long_gram is not None:
-            keep |= cols[0] == long_gram
+        new = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+        seg = np.cumsum(np.r_[False, new]).astype(np.int64)
+        keep = viable(seg, cols[3].astype(np.int64), cols[4].astype(np.int64)) | (cols[1] >= 0)
         if not keep.any():
             return None
-        cols = [c[keep] for c in cols]
-        same = cols[0][1:] == cols[0][:-1]
-        prev = np.r_[0, np.where(same, cols[1][:-1], 0)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, prev)], names)
+        seg, cols = seg[keep], [c[keep] for c in cols]
+        prev = np.r_[-1, np.where(seg[1:] == seg[:-1], cols[2][:-1], -1)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (cols[0], *cols[2:], prev)], names)
 
     held: list[np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if held is not None:
             cols = [np.r_[a, b] for a, b in zip(held, cols, strict=True)]
-        cut = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
-        if not cut and len(cols[0]) >= LONG_LIST:
-            long_gram, cut = cols[0][0], len(cols[0])
+        same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])  # the last list may go on
+        cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
         if cut and (found := lists([c[:cut] for c in cols])) is not None:
             yield found
-        held = [c[cut:] for c in cols] if cut < len(cols[0]) else None
-    if held is not None and (found := lists(held)) is not None:
+        held = [c[cut:] for c in cols]
+    if held is not None and len(held[0]) and (found := lists(held)) is not None:
         yield found
 
 
-def _filter_bit(cls: np.ndarray) -> np.ndarray:
-    return (mix(cls.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _filter_bit(row: np.ndarray) -> np.ndarray:
+    return (mix(row.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
 def _filter_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """This task's classes as a bit set, in one row."""
+    """This task's rows as a bit set, in one row."""
     bits = np.zeros(1 << FILTER_BITS, dtype=bool)
     for batch in batches:
         bits[_filter_bit(batch.column(0).to_numpy())] = True
@@ -218,25 +373,25 @@ def _join_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for raw in batch.column(0).to_pylist():
             total |= np.frombuffer(zlib.decompress(raw), dtype=np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["part"])
 
 
-def _filtered(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """The sets that may be among the members: a bit set of fixed size, so that few others are shuffled.
+def _some_sets(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """``sets(row, n, grams)`` of the given rows.
 
-    It only saves work; the join behind it decides.
+    A bit set of fixed size (2 MB) first, so that few others are shuffled; it only saves work, the join decides.
     """
-    found = members.mapInArrow(_filter_parts, "part binary").repartition(4).mapInArrow(_join_filters, "part binary").collect()
-    bits = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
-    for r in found:
-        bits |= np.frombuffer(r["part"], dtype=np.uint8)
+    found = rows.mapInArrow(_filter_parts, "part binary").repartition(1).mapInArrow(_join_filters, "part binary").first()
+    bits = found["part"] if found else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(bits).view(bool)
+        if bits is None:
+            return
+        wanted = np.unpackbits(np.frombuffer(zlib.decompress(bits), dtype=np.uint8)).view(bool)
         for batch in batches:
             yield batch.filter(pa.array(wanted[_filter_bit(batch.column(0).to_numpy())]))
 
-    return sets.select("cls", "grams").mapInArrow(run, "cls long, grams binary")
+    return sets.select("row", "n", "grams").mapInArrow(run, "row long, n long, grams binary").join(rows, "row", "left_semi")
 
 
 def divide_skip(query: np.ndarray, candidates: list[np.ndarray]) -> np.ndarray:
@@ -283,33 +438,39 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            for a, b, raw in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                if a != query or b is None or len(wait) >= 256:
-                    if wait:
-                        yield flush()
+            for a, _, b, raw in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                if wait and (b is None or len(wait) >= 256):
+                    yield flush()
                 if b is None:
                     query, mine = a, unpack(raw)
-                elif a == query:
+                else:
                     wait.append((b, unpack(raw)))
     if wait:
         yield flush()
 
 
 def _linked(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` that reach the similarity."""
-    mine = arrays.join(pairs.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi")
-    rows = mine.select(F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "grams").unionByName(
-        pairs.join(arrays.withColumnRenamed("cls", "b"), "b").select("a", "b", "grams")
-    )
-    return rows.repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(_verify, "a long, b long")
+    """The pairs ``(a, b)`` that reach the similarity; a query's candidates go to one task for each ASKED of them."""
+    asked = pairs.groupBy("a").agg(F.count("*").alias("k")).withColumn("ways", F.ceil(F.col("k") / ASKED).cast("int")).drop("k")
+    mine = asked.select(F.col("a").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way")).join(arrays, "cls")
+    theirs = pairs.join(asked, "a").withColumn("way", F.pmod(F.xxhash64("b"), F.col("ways")).cast("int")).join(arrays.withColumnRenamed("cls", "b"), "b")
+    rows = mine.select(F.col("cls").alias("a"), "way", F.lit(None).cast("long").alias("b"), "grams").unionByName(theirs.select("a", "way", "b", "grams"))
+    return rows.repartition("a", "way").sortWithinPartitions("a", "way", F.col("b").asc_nulls_first()).mapInArrow(_verify, "a long, b long")
+
 
+def _hubs(mixed: DataFrame, pick) -> DataFrame:
+    """For each class outside its list's largest component, a member of that component: the one that most of its lists offer."""
+    by_comp = mixed.groupBy("gram", "component").agg(F.count("*").alias("k"), pick("cls").alias("hub"))
+    largest = by_comp.groupBy("gram").agg(F.max_by(F.struct("component", "hub"), F.struct("k", "component")).alias("s"))
+    offers = mixed.join(largest.select("gram", F.col("s.component").alias("main"), F.col("s.hub").alias("hub")), "gram").where("component <> main")
+    offers = offers.groupBy("cls", "hub").agg(F.count("*").alias("k"))
+    return offers.groupBy("cls").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub")).select(F.col("cls").alias("a"), F.col("hub").alias("b"))
 
-def _mixed(lists: DataFrame, comp: DataFrame, pick) -> tuple[DataFrame, DataFrame]:
-    """List members with their component, and the lists of several components with their largest one and a member of it."""
-    labelled = lists.drop("prev").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    by_comp = labelled.groupBy("gram", "component").agg(F.count("*").alias("k"), pick("cls").alias("hub"))
-    largest = by_comp.groupBy("gram").agg(F.count("*").alias("m"), F.max_by(F.struct("component", "hub"), F.struct("k", "component")).alias("s"))
-    return labelled, largest.where("m > 1").select("gram", F.col("s.component").alias("main"), F.col("s.hub").alias("hub"))
+
+def _several(rows: DataFrame) -> DataFrame:
+    """Rows of the lists that still have several components."""
+    open_ = rows.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
+    return rows.join(open_, "gram", "left_semi")
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -318,63 +479,70 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Words are lower-cased (A-Z only) runs of non-space; a document is its set of five-word
     shingles, or its whole sequence as one if shorter.  Documents link when 100 * |intersection| >= 80 * |union|;
     component_id is the smallest doc_id reachable.  Null, empty and blank texts have no shingle
-    and link with nothing.  Repeated rows are equal sets and link.  Sets are told apart by 64-bit digests, shingles by 48 bits.
+    and link with nothing.  Repeated rows are equal sets and link; rows of one id with unlike texts don't.  No rows give no rows,
+    other columns are not looked at.  Sets are told apart by 128-bit digests of 64-bit shingles, and pairs compared by 48 bits of each shingle.
     """
     ws = Workspace(spark, "jaccard")
-    schema = "doc_id long, n long, cls long, grams binary, chunk int"
-    both = ws.table("sets", docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sets, schema))
-    sets = both.where("chunk < 0").drop("chunk")
-    parts = (
-        both.where("chunk >= 0").select("chunk", "grams").repartition(max(1, (1 << SKETCH_BITS) // SKETCH_PART // 4), "chunk").mapInArrow(_add_sketches, "chunk int, part binary").collect()
-    )  # 2 ** SKETCH_BITS numbers, whatever the input
-    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint64)
-    for r in parts:
-        sketch[r["chunk"] * SKETCH_PART : (r["chunk"] + 1) * SKETCH_PART] = np.frombuffer(r["part"], dtype=np.uint64)
-    # the order needs 16 bits only: scaled down alike at every size
-    scale = max(1.0, float(sketch.max()) / 65535)
-    postings = sets.where("n > 0").select("cls", "n", "grams").mapInArrow(_postings((sketch / scale).astype(np.uint16)), "gram long, cls long, n int, pos int")
-    lists = ws.table(
-        "lists", postings.repartition("gram").sortWithinPartitions("gram", "n", "cls").mapInArrow(_shared_lists, "gram long, cls long, n int, pos int, prev long")
-    )
-    members = lists.select("cls").distinct()
-    near_sets = _filtered(sets.where("n > 0"), members)
-    arrays = ws.table("arrays", near_sets.groupBy("cls").agg(F.first("grams").alias("grams")).join(members, "cls", "left_semi"))
-    small = ws.table("ids", sets.select("doc_id", "n", "cls"))
-    ws.drop("sets")
+    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = ws.table("sets", keyed.mapInArrow(_sets, "row long, doc_id long, n long, d1 long, d2 long, grams binary"))
+    ids, full = sets.select("row", "doc_id", "n", "d1", "d2"), sets.where("n > 0")
+    total = full.agg(F.sum(F.col("n") - F.floor(F.col("n") * P / Q) + F.floor(F.col("n") / 10)).alias("k")).first()["k"] or 0
+    answers, _ = _answered(full, total, True)
+    alike = ws.table("alike", answers.mapInArrow(_alike, "row long"))
+    # equal sets are one class, named by its smallest row
+    alike_ids = alike.join(ids, "row")
+    classes = alike_ids.groupBy("d1", "d2", "n").agg(F.min("row").alias("cls"))
+    members = ws.table("members", alike_ids.join(classes, ["d1", "d2", "n"]).select("row", "doc_id", "cls"))
+    arrays = ws.table("arrays", _some_sets(sets, members.select(F.col("cls").alias("row")).distinct()))
+    total = arrays.agg(F.sum("n").alias("k")).first()["k"] or 0
+    answers, parts = _answered(arrays, total, False)
+    postings = answers.mapInArrow(_postings(parts), "gram long, salt int, cls long, n int, pos int")
+    lists = postings.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "n", "cls").mapInArrow(_shared_lists, "gram long, cls long, n int, pos int, prev long")
+    lists = ws.table("lists", lists)
+    sets_of = ws.table("listed", arrays.select(F.col("row").alias("cls"), "grams").join(lists.select("cls").distinct(), "cls", "left_semi"))
+    ws.drop("alike", "arrays")
+
     # first round: each class and the predecessor that it has in most of its lists
-    near = lists.where("prev <> 0").groupBy("cls", "prev").agg(F.count("*").alias("k")).groupBy("cls").agg(F.max_by("prev", F.struct("k", "prev")).alias("prev"))
-    near = ws.table("near", near.select(F.least("cls", "prev").alias("a"), F.greatest("cls", "prev").alias("b")).distinct())
-    links = ws.table("links0", _linked(near, arrays))
-    comp = ws.table("comp0", connected_components(spark, links))
-    tried = near
-    for k in range(1, HUB_ROUNDS + 1):
-        # classes outside a list's largest component and a member of it, again one for each class
-        labelled, mixed = _mixed(lists, comp, F.min if k % 2 else F.max)
-        hubs = labelled.join(mixed, "gram").where("component <> main").groupBy("cls", "hub").agg(F.count("*").alias("k"))
-        hubs = hubs.groupBy("cls").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub"))
-        pairs = hubs.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-        pairs = ws.table(f"near{k}", pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(pairs)
-        links = links.unionByName(ws.table(f"links{k}", _linked(pairs, arrays)))
-        comp = ws.table(f"comp{k}", connected_components(spark, links))
-    # last round: members of one list that lie in different components
-    labelled, mixed = _mixed(lists, comp, F.min)
-    labelled = ws.table("mixed", labelled.join(mixed, "gram"))
-    left = labelled.where("component <> main").alias("l")
-    room = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos")) * (P + Q) >= (F.col("l.n") + F.col("r.n")) * P
-    rest = (
-        left.join(labelled.alias("r"), (F.col("l.gram") == F.col("r.gram")) & (F.col("l.component") != F.col("r.component")) & room)
-        .select(F.least("l.cls", "r.cls").alias("a"), F.greatest("l.cls", "r.cls").alias("b"))
-        .distinct()
-    )
-    more = ws.table("rest", _linked(rest.join(tried, ["a", "b"], "left_anti"), arrays))
-    comp = ws.table("comp", connected_components(spark, links.unionByName(more)))
-    classes = small.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"))
+    near = lists.where("prev >= 0").groupBy("cls", "prev").agg(F.count("*").alias("k")).groupBy("cls").agg(F.max_by("prev", F.struct("k", "prev")).alias("b"))
+    tried = ws.table("tried0", near.select(F.col("cls").alias("a"), "b"))
+    edges = ws.table("edges0", _linked(tried, sets_of))
+    comp = ws.table("comp0", connected_components(spark, edges))
+    mixed = lists.drop("prev").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    mixed = ws.table("mixed0", _several(mixed))
+    tables = ["tried0", "edges0", "comp0", "mixed0"]
+    for k in range(1, ROUNDS + 2):
+        # pairs of different components that are left, counted once for each list
+        by_comp = mixed.groupBy("gram", "component").agg(F.count("*").alias("k"))
+        size = by_comp.groupBy("gram").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("own"))
+        left = size.agg(F.sum(F.col("all").cast("double") * F.col("all") - F.col("own")).alias("pairs"), F.sum("all").alias("rows")).first()
+        if not left["rows"]:
+            break
+        last = k > ROUNDS or left["pairs"] <= 8 * left["rows"]
+        if last:  # members of one list that lie in different components
+            room = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos")) * (P + Q) >= (F.col("l.n") + F.col("r.n")) * P
+            pairs = mixed.alias("l").join(mixed.alias("r"), (F.col("l.gram") == F.col("r.gram")) & (F.col("l.component") < F.col("r.component")) & room)
+            pairs = pairs.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
+        else:
+            pairs = _hubs(mixed, F.min if k % 2 else F.max)
+        both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        new = ws.table(f"tried{k}", pairs.join(both, ["a", "b"], "left_anti"))
+        tables.append(f"tried{k}")
+        found = ws.table(f"edges{k}", _linked(new, sets_of))
+        tables.append(f"edges{k}")
+        edges = edges.unionByName(found)
+        if last:
+            break
+        tried = tried.unionByName(new)
+        comp = ws.table(f"comp{k}", connected_components(spark, edges))
+        mixed = mixed.drop("component").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        mixed = ws.table(f"mixed{k}", _several(mixed))
+        tables += [f"comp{k}", f"mixed{k}"]
+    comp = ws.table("comp", connected_components(spark, edges))
+    classes = members.groupBy("cls").agg(F.min("doc_id").alias("low"))
     classes = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    lowest = classes.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = classes.join(lowest, "component").select("cls", "component_id")
-    out = small.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
-    out = ws.table("out", out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
-    rounds = [f"{t}{k}" for t in ("near", "links", "comp") for k in range(HUB_ROUNDS + 1)]
-    ws.drop("ids", "near", "lists", "arrays", "rest", "comp", "mixed", *rounds)
+    named = classes.join(classes.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("cls", "component_id")
+    named = members.join(named, "cls").select("row", "component_id")
+    out = ids.select("row", "doc_id", F.col("n").alias("n_shingles")).join(named, "row", "left")
+    out = ws.table("out", out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+    ws.drop("sets", "members", "lists", "listed", "comp", *tables)
     return out
