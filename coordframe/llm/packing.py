@@ -3,13 +3,14 @@
 Documents become token sequences; only those longer than the capacity are cut.  Packing needs the
 number of pieces of each length and nothing else, so the plan is made on the driver from at most
 ``capacity`` counts: for the gap that a longest piece leaves, lengths that fill it exactly are looked up
-among the single lengths, then among pair sums, then among triple sums, and used as often as all
+in indexes of single lengths, pair sums and triple sums, and used as often as all
 their counts allow; what is left is packed best-fit, longest first.  Each length's pieces are then
 ranked in parallel and find their sequence and offset by their rank.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import os
 import re
@@ -208,7 +209,7 @@ class _Plan:
     def __init__(self, counts: np.ndarray, capacity: int):
         self.left, self.capacity = counts.astype(np.int64).copy(), capacity
         self.patterns: list[tuple[tuple[int, ...], int]] = []
-        self._sums: int | None = None
+        self._index: tuple[int, int, int] | None = None
 
     def use(self, lengths: tuple[int, ...]) -> None:
         """The pattern as often as the counts allow; it uses up at least one length."""
@@ -217,12 +218,29 @@ class _Plan:
         for n, k in need.items():
             self.left[n] -= k * times
             if not self.left[n]:
-                self._sums = None
+                self._index = None
         self.patterns.append((lengths, times))
 
     def enough(self, lengths: tuple[int, ...]) -> bool:
         return all(self.left[n] >= k for n, k in Counter(lengths).items())
 
+    def index(self) -> tuple[int, int, int]:
+        """Bit sets of the sums of one, two and three lengths that are left: bit t is set if some add up to t.
+
+        They are made anew when a length runs out.  A sum may need more of a length than there is, so availability is checked apart.
+        """
+        if self._index is None:
+            there = np.flatnonzero(self.left > 0).tolist()
+            one = sum(1 << n for n in there)
+            two = three = 0
+            for n in there:
+                two |= one << n
+            two &= (2 << self.capacity) - 1
+            for n in there:
+                three |= two << n
+            self._index = one, two, three & (2 << self.capacity) - 1
+        return self._index
+
     def pair(self, total: int, first: tuple[int, ...], most: int) -> tuple[int, int] | None:
         """Two lengths that add up to ``total`` and are left beside those in ``first``; the longest first."""
         b = np.arange(min(most, total - 1), (total - 1) // 2, -1)
@@ -233,48 +251,59 @@ class _Plan:
                 return n, total - n
         return None
 
-    def pair_sums(self) -> int:
-        """A bit set of all sums of two lengths that are left."""
-        if self._sums is None:
-            there = np.flatnonzero(self.left > 0).tolist()
-            bits = sum(1 << n for n in there)
-            self._sums = 0
-            for n in there:
-                self._sums |= bits << n
-        return self._sums
-
     def exact(self, a: int) -> tuple[int, ...] | None:
-        """Lengths that fill the gap beside ``a``: one, two or three."""
+        """Lengths that fill the gap beside ``a``: one, two or three, looked up in the indexes of sums."""
         gap = self.capacity - a
-        if gap <= self.capacity and self.left[gap] > 0 and self.enough((a, gap)):
+        one, two, three = (x >> gap & 1 for x in self.index())
+        if one and self.enough((a, gap)):
             return (a, gap)
-        if found := self.pair(gap, (a,), gap - 1):
+        if two and (found := self.pair(gap, (a,), gap - 1)):
             return (a, *found)
-        sums = self.pair_sums()
-        for b in range(gap - 2, (gap + 2) // 3 - 1, -1):
-            if self.left[b] > 0 and sums >> (gap - b) & 1 and (found := self.pair(gap - b, (a, b), b)):
-                return (a, b, *found)
+        if three:
+            pairs = self.index()[1]
+            for b in range(gap - 2, (gap + 2) // 3 - 1, -1):
+                if self.left[b] > 0 and pairs >> (gap - b) & 1 and (found := self.pair(gap - b, (a, b), b)):
+                    return (a, b, *found)
         return None
 
-    def best_fit(self, a: int) -> tuple[int, ...]:
-        """``a`` and, again and again, the longest piece that still fits."""
-        out, gap = [a], self.capacity - a
-        taken = Counter(out)
-        n = gap
-        while gap > 0:
-            there = np.flatnonzero(self.left[1 : min(n, gap) + 1] > 0)
-            if not len(there):
-                break
-            n = int(there[-1]) + 1
-            fit = min(gap // n, int(self.left[n]) - taken[n])
-            if fit > 0:
-                out += [n] * fit
-                taken[n] += fit
-                gap -= fit * n
-            n -= 1
-            if n < 1:
-                break
-        return tuple(out)
+    def best_fit(self) -> None:
+        """What is left, longest first, each piece into the open sequence with the smallest gap that holds it.
+
+        Pieces of one length and sequences of one gap are handled together.  A sequence that has taken a piece has the smallest gap
+        of all, so it takes that length as often as it can.
+        """
+        gaps: list[int] = []  # in order
+        open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+
+        def put(lengths: tuple[int, ...], gap: int, times: int) -> None:
+            if gap not in open_:
+                bisect.insort(gaps, gap)
+                open_[gap] = []
+            open_[gap].append((lengths, times))
+
+        for n in np.flatnonzero(self.left > 0).tolist()[::-1]:
+            left = int(self.left[n])
+            while left:
+                at = bisect.bisect_left(gaps, n)
+                if at == len(gaps):
+                    lengths, times, gap = (), left, self.capacity
+                else:
+                    gap = gaps[at]
+                    lengths, times = open_[gap].pop()
+                    if not open_[gap]:
+                        del open_[gap], gaps[at]
+                each = gap // n
+                full = min(times, left // each)
+                if full:
+                    put(lengths + (n,) * each, gap - n * each, full)
+                left -= full * each
+                if full < times and left:  # fewer pieces than one more sequence could take
+                    put(lengths + (n,) * left, gap - n * left, 1)
+                    full, left = full + 1, 0
+                if lengths and full < times:
+                    put(lengths, gap, times - full)
+        self.left[:] = 0
+        self.patterns += [p for ps in open_.values() for p in ps]
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -285,9 +314,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int,
     for a in range(capacity - 1, 0, -1):
         while p.left[a] and (found := p.exact(a)):
             p.use(found)
-    for a in range(capacity - 1, 0, -1):
-        while p.left[a]:
-            p.use(p.best_fit(a))
+    p.best_fit()
     return p.patterns
 
 
@@ -309,16 +336,20 @@ def _places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.n
 def pack_pieces(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: the place of each piece in gapless sequences.
 
-    ``pieces`` has a ``length`` from 1 to ``capacity`` in each row; other columns go along.  Every row is
-    placed once, repeated rows too.  No rows give no rows.
+    ``pieces`` has a ``length`` from 1 to ``capacity`` in each row; other columns go along, but columns named
+    sequence_id or offset are replaced.  Every row is placed once, repeated rows too.  No rows give no rows.
     """
     ws = Workspace(spark, "packing")
-    rows = ws.table("pieces", pieces.withColumn("__part", (F.monotonically_increasing_id() % PARTS).cast("int")))
-    parts = ws.table("counts", rows.groupBy("length", "__part").agg(F.count("*").alias("k")))
+    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    rows = pieces.select(F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("row"), F.struct(*kept).alias("piece"))
+    rows = ws.table("pieces", rows.withColumn("part", F.pmod("row", F.lit(PARTS)).cast("int")))
+    parts = ws.table("counts", rows.groupBy("length", "part").agg(F.count("*").alias("k")))
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for r in parts.groupBy("length").agg(F.sum("k").alias("k")).collect():  # at most `capacity` rows
         counts[r["length"]] = r["k"]
-    places = _places(plan(counts, capacity))
+    counts[capacity] = 0  # a full piece is a sequence of its own, and its row's number names it
+    patterns = plan(counts, capacity)
+    places, used = _places(patterns), sum(times for _, times in patterns)
     kind = pa.struct([("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     @F.arrow_udf("sequence_id long, offset long")
@@ -333,14 +364,18 @@ def pack_pieces(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY
             sequence[at], offset[at] = base[run] + r[at] - start[run], shift[run]
         return pa.StructArray.from_arrays([pa.array(sequence), pa.array(offset)], fields=list(kind))
 
-    before = parts.select("length", "__part", (F.sum("k").over(Window.partitionBy("length").orderBy("__part")) - F.col("k")).alias("__before"))
-    keys = [c for c in ("doc_id", "piece", "start") if c in rows.columns]
-    rank = F.row_number().over(Window.partitionBy("length", "__part").orderBy(*keys)) - 1
-    ranked = rows.withColumn("__rank", rank).join(F.broadcast(before), ["length", "__part"])  # capacity * PARTS rows at most
-    ranked = ranked.withColumn("__place", place(F.col("length"), F.col("__rank") + F.col("__before")))
-    return ranked.select(*[c for c in pieces.columns], F.col("__place.sequence_id").alias("sequence_id"), F.col("__place.offset").alias("offset"))
+    full = rows.where(F.col("length") == capacity).select("piece.*", (F.col("row") + used).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    before = parts.select("length", "part", (F.sum("k").over(Window.partitionBy("length").orderBy("part")) - F.col("k")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("row")) - 1
+    ranked = rows.where(F.col("length") < capacity).withColumn("rank", rank).join(F.broadcast(before), ["length", "part"])  # capacity * PARTS rows at most
+    ranked = ranked.withColumn("place", place(F.col("length"), F.col("rank") + F.col("before")))
+    return ranked.select("piece.*", "place.sequence_id", "place.offset").unionByName(full)
 
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
-    """Every document's pieces with their ids, packed into as few sequences as the method finds."""
+    """Every document's pieces with their ids, packed into as few sequences as the method finds.
+
+    Null and empty texts are the separator alone.  Null and repeated ids are packed as any others; no rows give no rows; other columns of ``docs``
+    are not looked at.
+    """
     return pack_pieces(spark, tokenize(docs, tokenizer, capacity, keep_ids), capacity)
