@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from .common import Workspace
 
-CELL_BITS, VIRTUAL = 15, 512
+CELL_BITS, PART_BITS, VIRTUAL, EQUAL = 15, 4, 512, 1 << 14
 CELLS = 1 << CELL_BITS
 
 
@@ -66,22 +66,22 @@ def shard_rows(spark: SparkSession, docs: DataFrame, shards: int) -> DataFrame:
     """Every row's ``doc_id, size, text_crc32, shard, slot``.
 
     Size is the text's UTF-8 bytes plus 16; null texts count as empty ones.  A key is a doc_id, with
-    the text's checksum to part repeated ids; null ids share one key.  Rows that agree in both are
-    told apart by their place among equals, so repeated rows are all placed.  Slots run from 0
-    without gaps in each shard.  No rows give no rows.
+    the text's checksum to part repeated ids; null ids share one key.  A cell's rows are in the order of their keys, so the
+    result depends on the rows alone, not on how they are stored.  Rows that agree in id, size and checksum are
+    interchangeable: they are counted, and each takes one of as many places.  Equal texts of different ids have different keys and
+    shards: this law evens out rows, it doesn't keep groups together.  Slots run from 0 without gaps in each shard.
+    No rows give no rows; other columns are not looked at.
     """
     ws = Workspace(spark, "sharding")
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32"))
-    rows = (
-        docs.select("doc_id", "text")
-        .select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
-        .withColumn("hash", key)
-        # equal keys (repeated rows) are spread over the cell's parts, so no window holds a hot key
-        .withColumn("cell", F.shiftrightunsigned("hash", 64 - CELL_BITS).cast("int"))
-        .withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)).cast("int") % 16)
+    names = ["doc_id", "size", "text_crc32"]
+    rows = docs.select("doc_id", "text").select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
     )
-    rows = ws.table("rows", rows)
-    parts = rows.groupBy("cell", "part").agg(F.count("*").alias("n"))
+    # top bits name the cell, the next ones the part of a cell that one task ranks
+    spot = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32")), 64 - CELL_BITS - PART_BITS).cast("int")
+    keys = rows.groupBy(*names).agg(F.count("*").alias("n")).withColumn("spot", spot)
+    keys = ws.table("keys", keys.withColumn("cell", F.shiftright("spot", PART_BITS)))
+    parts = keys.groupBy("cell", "spot").agg(F.sum("n").alias("n"))
     cells = parts.groupBy("cell").agg(F.sum("n").alias("n")).collect()  # CELLS rows at most
     counts = np.zeros(CELLS, dtype=np.int64)
     for r in cells:
@@ -95,9 +95,14 @@ def shard_rows(spark: SparkSession, docs: DataFrame, shards: int) -> DataFrame:
         base.append((cell, first, last, s, taken[s] - first))  # slot = rank in cell + this
         taken[s] += last - first
     plan_df = spark.createDataFrame(base or [(0, 0, 0, 0, 0)], "cell int, first long, last long, shard int, shift long")
-    starts = parts.select("cell", "part", (F.sum("n").over(Window.partitionBy("cell").orderBy("part")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("cell", "part").orderBy("hash", "doc_id", "size"))
-    ranked = rows.withColumn("r", rank - 1).join(F.broadcast(starts), ["cell", "part"])  # CELLS * 16 rows at most
-    ranked = ranked.withColumn("rank", F.col("r") + F.col("before"))
+    starts = parts.select("spot", (F.sum("n").over(Window.partitionBy("cell").orderBy("spot")) - F.col("n")).alias("before"))
+    upto = F.sum("n").over(Window.partitionBy("cell", "spot").orderBy(*names))
+    ranked = keys.withColumn("from", upto - F.col("n")).join(F.broadcast(starts), "spot")  # CELLS << PART_BITS rows at most
+    ranked = ranked.select(*names, "cell", "n", (F.col("from") + F.col("before")).alias("from"))
+    one = ranked.where(F.col("n") <= EQUAL).select(*names, "cell", F.explode(F.sequence("from", F.col("from") + F.col("n") - 1)).alias("rank"))
+    # many equal rows: runs of EQUAL places, dealt to all tasks
+    runs = ranked.where(F.col("n") > EQUAL).select(*names, "cell", (F.col("from") + F.col("n")).alias("end"), F.explode(F.sequence("from", F.col("from") + F.col("n") - 1, F.lit(EQUAL).cast("long"))).alias("from"))
+    runs = runs.repartition("from").select(*names, "cell", F.explode(F.sequence("from", F.least(F.col("from") + EQUAL, "end") - 1)).alias("rank"))
+    ranked = one.unionByName(runs)
     placed = ranked.join(F.broadcast(plan_df), (ranked["cell"] == plan_df["cell"]) & (ranked["rank"] >= plan_df["first"]) & (ranked["rank"] < plan_df["last"]))
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("rank") + F.col("shift")).alias("slot"))
+    return placed.select(*names, "shard", (F.col("rank") + F.col("shift")).alias("slot"))
