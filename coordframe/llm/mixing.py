@@ -67,11 +67,12 @@ def budgets(leaves: DataFrame, path: Sequence[str], weights: Mapping[tuple, floa
 
 
 def mix(
-    spark: SparkSession, docs: DataFrame, path: Sequence[str], fraction: float, weights: Mapping[tuple, float] | None = None, max_epochs: int = 1, seed: int = 17
+    spark: SparkSession, docs: DataFrame, path: Sequence[str], fraction: float, weights: Mapping[tuple, float] | None = None, max_epochs: int = 1, seed: int = 17, groups: Mapping[str, Column] | None = None
 ) -> DataFrame:
     """``docs`` with ``epoch``: each row once for each epoch in which it is taken.
 
-    The budget is ``fraction`` of all tokens (words).  ``path`` names the tree's columns, root first.
+    The budget is ``fraction`` of all tokens (words).  ``path`` names the tree's columns, root first; ``groups`` may give
+    an expression over ``docs`` in place of a column.  An ``epoch`` that ``docs`` has is replaced, all other columns stay as they are, whatever their names.
     A leaf's order is that of a seeded hash of doc_id; rows that tie (repeated ids) are taken together
     or not at all; rows without words go with their hash, and a leaf that has no words at all is full and taken
     whole, unless the budget is 0 or a weight of 0 leaves it out.  Null ids and null groups are values
@@ -79,9 +80,13 @@ def mix(
     of the hash, so no leaf is sorted as a whole.  No rows give no rows.
     """
     ws = Workspace(spark, "mixing")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    light = ws.table("light", docs.select(*path, key.alias("__key"), n_tokens(F.col("text")).alias("tokens")))
-    leaves = ws.table("leaves", light.groupBy(*path).agg(F.sum("tokens").alias("supply")))
+    nodes = [f"g{k}" for k in range(len(path))]
+    kept = [c for c in docs.columns if c.lower() != "epoch"]
+    grouped = [(groups or {}).get(c, F.col(c)).alias(g) for c, g in zip(path, nodes, strict=True)]
+    # the columns of docs travel inside a struct, so none of them can clash with the ones used here
+    docs = docs.select(*grouped, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), F.col("text").alias("content"), F.struct(*kept).alias("row"))
+    light = ws.table("light", docs.select(*nodes, "key", n_tokens(F.col("content")).alias("tokens")))
+    leaves = ws.table("leaves", light.groupBy(*nodes).agg(F.sum("tokens").alias("supply")))
     whole = leaves.agg(F.sum("supply").alias("supply"), F.count("*").alias("n")).first()
     total = whole["supply"] or 0
 
@@ -89,45 +94,40 @@ def mix(
         """Broadcast behind a check of the number of leaves; beyond it, a join that AQE splits where it is skewed."""
         return F.broadcast(leaf_table) if whole["n"] <= MAX_BROADCAST_LEAVES else leaf_table
 
-    share = budgets(leaves, path, weights or {}, fraction * total, max_epochs)
+    share = budgets(leaves, nodes, weights or {}, fraction * total, max_epochs)
 
     def same(a: str, b: str) -> Column:
         on = F.lit(True)
-        for c in path:
+        for c in nodes:
             on = on & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
         return on
 
-    leaf = leaves.alias("l").join(share.alias("s"), same("l", "s"), "left").select(*[F.col(f"l.{c}").alias(c) for c in path], "supply", "share")
+    leaf = leaves.alias("l").join(share.alias("s"), same("l", "s"), "left").select(*[F.col(f"l.{c}").alias(c) for c in nodes], "supply", "share")
     full = (F.col("supply") == 0) & F.col("share").isNotNull() & F.lit(fraction > 0)  # no share: left out by a weight
-    leaf = leaf.withColumn("__full", full).withColumn("share", F.coalesce("share", F.lit(0)))
+    leaf = leaf.withColumn("full", full).withColumn("share", F.coalesce("share", F.lit(0)))
     some = F.greatest(F.col("supply"), F.lit(1))
-    leaf = leaf.withColumn("__whole", F.when(F.col("__full"), F.lit(max_epochs)).otherwise(F.least(F.floor(F.col("share") / some), F.lit(max_epochs))).cast("int"))
-    leaf = leaf.withColumn("__rest", F.when(F.col("__whole") < max_epochs, F.col("share") - F.col("__whole") * F.col("supply")).otherwise(0))
-    leaf = ws.table("leaf", leaf.drop("__full"))
-
-    def ordered(rows: DataFrame, k: Column) -> DataFrame:
-        h = F.xxhash64(k, F.lit(seed), F.col("__whole"))
-        return rows.withColumn("__h", h).withColumn("__bin", F.shiftright("__h", 64 - BIN_BITS).cast("int"))
-
-    rows = ordered(light.alias("d").join(small(leaf).alias("l"), same("d", "l")).select(*[F.col(f"d.{c}").alias(c) for c in path], "__key", "tokens", "__whole", "__rest"), F.col("__key"))
-    rows = rows.where("__rest > 0")
-    bins = rows.groupBy(*path, "__rest", "__bin").agg(F.sum("tokens").alias("t"))
-    bins = bins.withColumn("__upto", F.sum("t").over(Window.partitionBy(*path).orderBy("__bin")))
-    edge = bins.where("__upto > __rest").groupBy(*path).agg(F.min_by(F.struct("__bin", (F.col("__upto") - F.col("t")).alias("before")), "__bin").alias("e"))
-    edge = edge.select(*path, F.col("e.__bin").alias("__edge"), F.col("e.before").alias("__before"))
-    inside = rows.alias("d").join(small(edge).alias("l"), same("d", "l") & (F.col("d.__bin") == F.col("l.__edge"))).select("d.*", "__before")
-    run = F.sum("tokens").over(Window.partitionBy(*path).orderBy("__h"))  # ties share a value
-    cut = inside.withColumn("__run", run + F.col("__before")).where("__run <= __rest").groupBy(*path).agg(F.max("__h").alias("__cut"))
-    marks = leaf.alias("a").join(edge.alias("b"), same("a", "b"), "left").select("a.*", "__edge").alias("a").join(cut.alias("b"), same("a", "b"), "left").select("a.*", "__cut")
-    marks = marks.select(*[F.col(c).alias(f"__l_{c}") for c in path], "__whole", "__rest", "__edge", "__cut")
-    marks = ws.table("marks", marks)
-    on = F.lit(True)
-    for c in path:
-        on = on & F.col(c).eqNullSafe(F.col(f"__l_{c}"))
-    got = ordered(docs.join(small(marks), on), key)
-    part = (F.col("__rest") > 0) & (
-        F.col("__edge").isNull() | (F.col("__bin") < F.col("__edge")) | ((F.col("__bin") == F.col("__edge")) & (F.col("__h") <= F.coalesce("__cut", F.lit(-(2**63)).cast("long"))))
-    )
-    times = F.col("__whole") + part.cast("int")
-    got = got.withColumn("__times", times).where("__times > 0")
-    return got.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("__times") - 1)).alias("epoch"))
+    leaf = leaf.withColumn("whole", F.when(F.col("full"), F.lit(max_epochs)).otherwise(F.least(F.floor(F.col("share") / some), F.lit(max_epochs))).cast("int"))
+    leaf = leaf.withColumn("rest", F.when(F.col("whole") < max_epochs, F.col("share") - F.col("whole") * F.col("supply")).otherwise(0))
+    leaf = ws.table("leaf", leaf.drop("full"))
+
+    def ordered(rows: DataFrame) -> DataFrame:
+        h = F.xxhash64("key", F.lit(seed), F.col("whole"))
+        return rows.withColumn("hash", h).withColumn("bin", F.shiftright("hash", 64 - BIN_BITS).cast("int"))
+
+    rows = ordered(light.alias("d").join(small(leaf).alias("l"), same("d", "l")).select("d.*", "whole", "rest")).where("rest > 0")
+    bins = rows.groupBy(*nodes, "rest", "bin").agg(F.sum("tokens").alias("t"))
+    bins = bins.withColumn("upto", F.sum("t").over(Window.partitionBy(*nodes).orderBy("bin")))  # 4,096 rows of a leaf at most
+    edge = bins.where("upto > rest").groupBy(*nodes).agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("t")).alias("before")), "bin").alias("e"))
+    edge = edge.select(*nodes, F.col("e.bin").alias("edge"), F.col("e.before").alias("before"))
+    inside = rows.alias("d").join(small(edge).alias("l"), same("d", "l") & (F.col("d.bin") == F.col("l.edge"))).select("d.*", "before")
+    # repeated ids tie, so a hash's rows are summed first: a hot id is one row of the window
+    inside = inside.groupBy(*nodes, "hash", "rest", "before").agg(F.sum("tokens").alias("tokens"))
+    run = F.sum("tokens").over(Window.partitionBy(*nodes).orderBy("hash"))
+    cut = inside.withColumn("run", run + F.col("before")).where("run <= rest").groupBy(*nodes).agg(F.max("hash").alias("cut"))
+    marks = leaf.alias("a").join(edge.alias("b"), same("a", "b"), "left").select("a.*", "edge").alias("a").join(cut.alias("b"), same("a", "b"), "left").select("a.*", "edge", "cut")
+    marks = ws.table("marks", marks.select(*nodes, "whole", "rest", "edge", "cut"))
+    ws.drop("light", "leaves", "leaf")
+    got = ordered(docs.alias("d").join(small(marks).alias("l"), same("d", "l")).select("d.key", "d.row", "whole", "rest", "edge", "cut"))
+    part = (F.col("rest") > 0) & (F.col("edge").isNull() | (F.col("bin") < F.col("edge")) | ((F.col("bin") == F.col("edge")) & (F.col("hash") <= F.coalesce("cut", F.lit(-(2**63)).cast("long")))))
+    got = got.withColumn("times", F.col("whole") + part.cast("int")).where("times > 0")
+    return got.select("row.*", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("epoch"))

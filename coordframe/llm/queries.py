@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_extract, jaccard, language, mixing, packing, pq, quality_fm, repetition, sharding, toxicity
@@ -82,14 +82,14 @@ MIX_PATH = ("domain", "lang", "source")
 MIX_WEIGHTS = {("domain0",): 2.0, ("domain1", "en"): 3.0}
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
+def domain() -> Column:
     """The tables have no domain, so sources are dealt to four by checksum."""
-    return docs.withColumn("domain", F.concat(F.lit("domain"), F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % 4))
+    return F.concat(F.lit("domain"), F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % 4)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that the mix takes, once for each epoch."""
-    docs = with_domain(_read(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "text")
+    docs = _read(spark, sf_dir, "documents").select("doc_id", domain().alias("domain"), "lang", "source", "text")
     out = mixing.mix(spark, docs, MIX_PATH, MIX_FRACTION, MIX_WEIGHTS, max_epochs=2)
     return out.select("doc_id", "domain", "lang", "source", mixing.n_tokens(F.col("text")).alias("n_tokens"), "epoch")
 
