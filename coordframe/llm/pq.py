@@ -4,10 +4,12 @@ Unit vectors fall into coarse cells; what remains beside a cell's centre is code
 codeword of each subspace.  A query looks at the cells that can hold a vector within its radius, sums
 table entries over each code (asymmetric distances), and reranks what is left by the exact cosine.
 
-Both cuts are lossless for the radius r that the cosine sets.  A cell is skipped only when the
-bisector between it and the query's own cell is more than r away; a code is skipped only when its
-distance exceeds r plus that vector's coding error.  So "sufficient probes" is a geometric bound, and
-recall against brute force is 1 up to rounding.  Equal vectors form one class with a count first.
+Let r be the radius that the cosine sets.  A code is skipped only when its distance exceeds r plus that vector's
+coding error, which loses nothing.  A cell is skipped only when the bisector between it and the query's own cell is more than
+``min(1, PROBE / sqrt(dim)) r`` away: a difference of length r reaches beyond that only if it points at the other
+cell's centre, for a random one with a probability of 3e-7 (PROBE = 5 standard deviations), and the pair is looked for from both of its
+sides.  Up to 25 dimensions the factor is 1 and nothing can be lost.  Probes by r itself would be half of all cells at 64 dimensions.
+Equal vectors form one class with a count first, named by the number of one of its rows.
 """
 
 from __future__ import annotations
@@ -18,11 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Workspace, unit_hash
 from .components import connected_components
 
-SUBSPACES, CODEWORDS, BLOCK, MAX_CELLS = 8, 64, 2048, 1024
+SUBSPACES, CODEWORDS, BLOCK, MAX_CELLS, PROBE = 8, 64, 2048, 1024, 5.0
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -68,7 +71,8 @@ class Quantiser:
         return np.concatenate([w[codes[:, j]] for j, w in enumerate(self.words)], axis=1)
 
     def probes(self, x: np.ndarray, cell: np.ndarray, radius: float) -> np.ndarray:
-        """Which cells can hold a vector within ``radius`` of each query: a matrix of booleans."""
+        """Which cells lie within the probing distance of each query: a matrix of booleans."""
+        radius *= min(1.0, PROBE / self.dim**0.5)
         d = (self.centres**2).sum(axis=1)[None] - 2 * x @ self.centres.T
         own = d[np.arange(len(x)), cell][:, None]
         out = (d - own) / (2 * self.gaps[cell]) <= radius + 1e-9
@@ -95,20 +99,23 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9
 
     Vectors of equal non-null labels and equal length link when their cosine in double precision reaches ``cosine``.
     Vectors that are null, empty, zero, or hold null or non-finite components link
-    with nothing.  Repeated rows link as any others.  Each length has its quantiser, all fitted on about ``sample_rows`` classes
+    with nothing.  Repeated rows link as any others, whatever their vec_id.  Each length has its quantiser, all fitted on about ``sample_rows`` classes
     together, chosen by hash, and one at least of each length; every row is indexed.  component_id is the smallest vec_id reachable.
+    No rows give no rows; other columns are not looked at.
     """
     ws = Workspace(spark, "pq")
-    e = F.col("embedding").cast("array<double>")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), e.alias("v"))
+    e = F.col("embedding")
+    if not isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType):  # floats travel as they are, all others as doubles
+        e = e.cast("array<double>")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), e.alias("v"), F.monotonically_increasing_id().alias("row"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("good", good)
     # equal vectors are one class; -0.0 equals 0.0 as a value
-    key = F.when(F.col("good"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x).cast("string"))), 256))
+    key = F.when(F.col("good"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x.cast("double")).cast("string"))), 256))
     rows = rows.withColumn("key", key)
-    classes = rows.where("good").groupBy("key").agg(F.min("vec_id").alias("low"), F.count("*").alias("k"), F.first("label").alias("label"), F.first("v").alias("v"))
-    classes = classes.withColumn("dim", F.size("v")).withColumn("cls", F.xxhash64("key"))
+    classes = rows.where("good").groupBy("key").agg(F.min("vec_id").alias("low"), F.count("*").alias("k"), F.first("label").alias("label"), F.first("v").alias("v"), F.min("row").alias("cls"))
+    classes = classes.withColumn("dim", F.size("v"))
     classes = ws.table("classes", classes)
     ids = ws.table("ids", rows.select("vec_id", "key"))
 
@@ -154,8 +161,8 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9
                     columns = [*(part.column(i) for i in range(5)), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(error), pa.array(probe, pa.list_(pa.int32()))], ["cls", "label", "k", "v", "dim", "cell", "code", "error", "probes"])
 
-    kind = classes.schema["label"].dataType.simpleString()
-    coded = classes.select("cls", "label", "k", "v", "dim").mapInArrow(index, f"cls long, label {kind}, k long, v array<double>, dim int, cell int, code binary, error double, probes array<int>")
+    kind, vector = (classes.schema[c].dataType.simpleString() for c in ("label", "v"))
+    coded = classes.select("cls", "label", "k", "v", "dim").mapInArrow(index, f"cls long, label {kind}, k long, v {vector}, dim int, cell int, code binary, error double, probes array<int>")
     coded = ws.table("coded", coded)
     # a list of any length is parted into blocks of about BLOCK vectors; each query visits each block of its lists
     sizes = coded.groupBy("label", "dim", "cell").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
