@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,9 @@ from .common import Workspace
 LOCAL_NODES, LAST_EDGES = 300_000, 200_000
 
 
-def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's edges as stars around the smallest node of what they connect, LOCAL_NODES nodes at a time."""
+def _forests(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """A task's edges as stars around the smallest node of what they connect, about ``most`` nodes at a time."""
+    most = LOCAL_NODES if most is None else most
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -37,12 +39,20 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = find(a), find(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        if len(parent) > max(LOCAL_NODES, 2 * LAST_EDGES):
+        if len(parent) > most:
             yield stars()
     if parent:
         yield stars()
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges in one task: each node's component, roots as well."""
+    for stars in _forests(batches, 1 << 62):
+        a, b = stars.column(0).to_numpy(), stars.column(1).to_numpy()
+        roots = np.unique(b)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[a, roots]), pa.array(np.r_[b, roots])], ["node", "component"])
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; component is its smallest node.
 
@@ -67,18 +77,17 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
         return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     few = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(_forests, "a long, b long")
-    cur = ws.table("0", few.distinct())
+    cur = ws.table("0", few)
     state = None
     for k in range(1, max_rounds + 1):
         row = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        if row["n"] <= LAST_EDGES:
+            return cur.repartition(1).mapInArrow(_whole, "node long, component long")
         if (row["n"], row["h"]) == state:
             break
         state = (row["n"], row["h"])
-        last = row["n"] <= LAST_EDGES
-        cur = ws.table(f"{k}", cur.repartition(1).mapInArrow(_forests, "a long, b long") if last else star(star(cur, True), False))
+        cur = ws.table(f"{k}", star(star(cur, True), False))
         ws.drop(f"{k - 1}")
-        if last:
-            break
     else:
         raise RuntimeError("components did not settle")
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

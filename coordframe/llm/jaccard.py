@@ -14,9 +14,9 @@ occur L times less than T among the short ones.  Three steps use this, each on w
 * **Probe.**  A class and its candidates go to a worker, which builds the lists of the class's shingles, merges the
   short ones with a heap and probes the T - 1 longest by binary search.
 
-Lists never become pairs of all their members.  In each round a class is compared with one member of a list that lies in
-another component, and only lists of several components go on; when few pairs of different components are left, all are compared.
-So no link between components is lost.
+Lists never become pairs of all their members.  In each round a class is compared with a few members of the largest components of
+its lists, and only lists of several components go on.  When the pairs of different components that are left are few for each list member
+(LEFT_PAIRS), or after ROUNDS rounds, all of them are compared, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Workspace
 from .components import connected_components
@@ -36,7 +37,8 @@ from .textscan import Scan, chunks, encode, mix
 
 WORDS, P, Q = 5, 4, 5  # similarity P/Q
 BLOCK_GRAMS, PART_GRAMS = 1 << 19, 1 << 21
-FILTER_BITS, LIST_ROWS, ROUNDS, ASKED = 24, 1 << 16, 6, 2048
+FILTER_BITS, LIST_ROWS, ASKED = 24, 1 << 16, 2048
+ROUNDS, HUBS, LEFT_PAIRS = 6, 3, 8
 _MASK = np.uint64((1 << 48) - 1)
 _ZERO = np.zeros(0, dtype=np.uint64)
 
@@ -449,28 +451,33 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _linked(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` that reach the similarity; a query's candidates go to one task for each ASKED of them."""
-    asked = pairs.groupBy("a").agg(F.count("*").alias("k")).withColumn("ways", F.ceil(F.col("k") / ASKED).cast("int")).drop("k")
-    mine = asked.select(F.col("a").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way")).join(arrays, "cls")
-    theirs = pairs.join(asked, "a").withColumn("way", F.pmod(F.xxhash64("b"), F.col("ways")).cast("int")).join(arrays.withColumnRenamed("cls", "b"), "b")
+def _linked(pairs: DataFrame, arrays: DataFrame, many: bool) -> DataFrame:
+    """The pairs ``(a, b)`` that reach the similarity; if a query may have ``many`` candidates, they go to a task for each ASKED of them."""
+    pairs = pairs.withColumn("ways", F.lit(1))
+    if many:
+        asked = pairs.groupBy("a").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("ways"))
+        pairs = pairs.drop("ways").join(asked, "a")
+    mine = pairs.groupBy("a").agg(F.first("ways").alias("ways")).select(F.col("a").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way")).join(arrays, "cls")
+    theirs = pairs.withColumn("way", F.pmod(F.xxhash64("b"), F.col("ways")).cast("int")).join(arrays.withColumnRenamed("cls", "b"), "b")
     rows = mine.select(F.col("cls").alias("a"), "way", F.lit(None).cast("long").alias("b"), "grams").unionByName(theirs.select("a", "way", "b", "grams"))
     return rows.repartition("a", "way").sortWithinPartitions("a", "way", F.col("b").asc_nulls_first()).mapInArrow(_verify, "a long, b long")
 
 
-def _hubs(mixed: DataFrame, pick) -> DataFrame:
-    """For each class outside its list's largest component, a member of that component: the one that most of its lists offer."""
-    by_comp = mixed.groupBy("gram", "component").agg(F.count("*").alias("k"), pick("cls").alias("hub"))
-    largest = by_comp.groupBy("gram").agg(F.max_by(F.struct("component", "hub"), F.struct("k", "component")).alias("s"))
-    offers = mixed.join(largest.select("gram", F.col("s.component").alias("main"), F.col("s.hub").alias("hub")), "gram").where("component <> main")
-    offers = offers.groupBy("cls", "hub").agg(F.count("*").alias("k"))
-    return offers.groupBy("cls").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub")).select(F.col("cls").alias("a"), F.col("hub").alias("b"))
+def _open_lists(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """List members with their component, of lists with several; and the list's size, sum of squares over components, and largest component with two members."""
+    rows = rows.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    by_comp = rows.groupBy("gram", "component").agg(F.count("*").alias("k"), F.min("cls").alias("low"), F.max("cls").alias("high"))
+    largest = F.max_by(F.struct(F.col("component").alias("main"), "low", "high"), F.struct("k", "component")).alias("s")
+    lists = by_comp.groupBy("gram").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("own"), F.count("*").alias("m"), largest)
+    return rows.join(lists.where("m > 1").select("gram", "size", "own", "s.*"), "gram")
 
 
-def _several(rows: DataFrame) -> DataFrame:
-    """Rows of the lists that still have several components."""
-    open_ = rows.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
-    return rows.join(open_, "gram", "left_semi")
+def _hubs(rows: DataFrame) -> DataFrame:
+    """For each class outside its list's largest component, the HUBS members of such components that most of its lists offer."""
+    offers = rows.where("component <> main").select("cls", F.explode(F.array_distinct(F.array("low", "high"))).alias("hub"))
+    offers = offers.groupBy("cls", "hub").agg(F.count("*").alias("k"))
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("k"), "hub"))
+    return offers.withColumn("rank", rank).where(F.col("rank") <= HUBS).select(F.col("cls").alias("a"), F.col("hub").alias("b"))
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -504,45 +511,33 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     # first round: each class and the predecessor that it has in most of its lists
     near = lists.where("prev >= 0").groupBy("cls", "prev").agg(F.count("*").alias("k")).groupBy("cls").agg(F.max_by("prev", F.struct("k", "prev")).alias("b"))
-    tried = ws.table("tried0", near.select(F.col("cls").alias("a"), "b"))
-    edges = ws.table("edges0", _linked(tried, sets_of))
+    edges = ws.table("edges0", _linked(near.select(F.col("cls").alias("a"), "b"), sets_of, False))
     comp = ws.table("comp0", connected_components(spark, edges))
-    mixed = lists.drop("prev").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = ws.table("mixed0", _several(mixed))
-    tables = ["tried0", "edges0", "comp0", "mixed0"]
+    rows, few, tables = lists.drop("prev"), LEFT_PAIRS * lists.count(), ["edges0", "comp0"]
     for k in range(1, ROUNDS + 2):
-        # pairs of different components that are left, counted once for each list
-        by_comp = mixed.groupBy("gram", "component").agg(F.count("*").alias("k"))
-        size = by_comp.groupBy("gram").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("own"))
-        left = size.agg(F.sum(F.col("all").cast("double") * F.col("all") - F.col("own")).alias("pairs"), F.sum("all").alias("rows")).first()
-        if not left["rows"]:
+        rows = ws.table(f"open{k}", _open_lists(rows, comp))
+        tables.append(f"open{k}")
+        left = rows.agg(F.sum(F.col("size") - F.col("own") / F.col("size")).alias("pairs")).first()["pairs"] or 0  # ordered pairs of different components
+        if not left:
             break
-        last = k > ROUNDS or left["pairs"] <= 8 * left["rows"]
+        last = k > ROUNDS or left <= few
         if last:  # members of one list that lie in different components
             room = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos")) * (P + Q) >= (F.col("l.n") + F.col("r.n")) * P
-            pairs = mixed.alias("l").join(mixed.alias("r"), (F.col("l.gram") == F.col("r.gram")) & (F.col("l.component") < F.col("r.component")) & room)
+            pairs = rows.alias("l").join(rows.alias("r"), (F.col("l.gram") == F.col("r.gram")) & (F.col("l.component") < F.col("r.component")) & room)
             pairs = pairs.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
         else:
-            pairs = _hubs(mixed, F.min if k % 2 else F.max)
-        both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        new = ws.table(f"tried{k}", pairs.join(both, ["a", "b"], "left_anti"))
-        tables.append(f"tried{k}")
-        found = ws.table(f"edges{k}", _linked(new, sets_of))
-        tables.append(f"edges{k}")
-        edges = edges.unionByName(found)
+            pairs = _hubs(rows)
+        edges = edges.unionByName(ws.table(f"edges{k}", _linked(pairs, sets_of, last)))
+        comp = ws.table(f"comp{k}", connected_components(spark, edges))
+        tables += [f"edges{k}", f"comp{k}"]
+        rows = rows.select("gram", "cls", "n", "pos")
         if last:
             break
-        tried = tried.unionByName(new)
-        comp = ws.table(f"comp{k}", connected_components(spark, edges))
-        mixed = mixed.drop("component").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        mixed = ws.table(f"mixed{k}", _several(mixed))
-        tables += [f"comp{k}", f"mixed{k}"]
-    comp = ws.table("comp", connected_components(spark, edges))
     classes = members.groupBy("cls").agg(F.min("doc_id").alias("low"))
     classes = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     named = classes.join(classes.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("cls", "component_id")
     named = members.join(named, "cls").select("row", "component_id")
     out = ids.select("row", "doc_id", F.col("n").alias("n_shingles")).join(named, "row", "left")
     out = ws.table("out", out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
-    ws.drop("sets", "members", "lists", "listed", "comp", *tables)
+    ws.drop("sets", "members", "lists", "listed", *tables)
     return out

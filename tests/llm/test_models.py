@@ -117,6 +117,38 @@ def test_language_held_out(sample):
     assert model.temperature > 0
 
 
+def test_leader_against_a_plain_loop():
+    """Follow-the-regularised-leader coordinate by coordinate, as in its published form."""
+    sample = [("ab ba", "x"), ("cd dc", "y"), ("ab cd", "x"), ("dc dd", "y"), ("aa bb", "x"), ("cc dd", "y"), ("ba ab", "x"), ("zz cd", "y")]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.5
+    made = language.train(sample, epochs=2, alpha=alpha, beta=beta, l1=l1, l2=l2, seed=5)
+    rng = np.random.default_rng(5)
+    order = rng.permutation(len(sample))
+    used = order[len(sample) // 5 :]
+    rows = [(*made.features(sample[i][0]), made.languages.index(sample[i][1])) for i in used]
+    z, n = {}, {}
+
+    def weight(j, c):
+        a, b = z.get((j, c), 0.0), n.get((j, c), 0.0)
+        p1, p2 = (l1, l2) if j < language.BUCKETS else (0.0, 0.0)
+        return 0.0 if abs(a) <= p1 else (np.sign(a) * p1 - a) / ((beta + b**0.5) / alpha + p2)
+
+    for _ in range(2):
+        for i in rng.permutation(len(rows)):
+            at, x, y = rows[i]
+            present = [*zip(at.tolist(), x.tolist(), strict=True), (language.BUCKETS, 0.3)]
+            s = np.array([sum(weight(j, c) * v for j, v in present) for c in range(2)])
+            p = np.exp(s) / np.exp(s).sum()
+            steps = [(j, c, v * (p[c] - (c == y)), weight(j, c)) for j, v in present for c in range(2)]
+            for j, c, g, w in steps:
+                b = n.get((j, c), 0.0)
+                z[j, c] = z.get((j, c), 0.0) + g - ((b + g * g) ** 0.5 - b**0.5) / alpha * w
+                n[j, c] = b + g * g
+    for j in {j for j, _ in z if j < language.BUCKETS}:
+        np.testing.assert_allclose(made.weights[j], [weight(j, 0), weight(j, 1)], atol=1e-9)
+    assert np.count_nonzero(made.weights) <= len(z)
+
+
 def test_factorisation_identity():
     model = quality_fm.train([("plain words here", 1), ("bad!! BAD!! ###", 0)] * 5, epochs=1)
     first, at, x = quality_fm.features(["some plain words", "", None])

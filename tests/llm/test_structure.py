@@ -58,14 +58,71 @@ def groups(ids, linked):
     return {i: low[find(i)] for i in ids}
 
 
-def test_jaccard_against_brute_force(spark, planted):
-    docs = spark.createDataFrame([(i, t, "clash") for i, t in planted], "doc_id long, text string, cls string")
+def linked_sets(sets):
+    """Pairs that reach the similarity."""
+    ids = [i for i in sets if sets[i]]
+    return [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+
+
+#: Every size that decides a branch, lowered so that the branch is taken.
+BRANCHES = [
+    {},
+    {"BLOCK_GRAMS": 60, "PART_GRAMS": 50, "LIST_ROWS": 3, "ASKED": 2, "LAST_EDGES": 0},
+    {"ROUNDS": 0, "LIST_ROWS": 1, "ASKED": 1},
+    {"BLOCK_GRAMS": 1, "LIST_ROWS": 2, "ROUNDS": 2, "HUBS": 1, "LEFT_PAIRS": 0},
+]
+
+
+@pytest.mark.parametrize("sizes", BRANCHES)
+def test_jaccard_against_brute_force(spark, planted, sizes, monkeypatch):
+    for name, value in sizes.items():
+        monkeypatch.setattr(components if name == "LAST_EDGES" else jaccard, name, value)
+    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in planted], "doc_id long, text string, cls string, row int").repartition(5)
     sets = {i: shingles(t) for i, t in planted}
-    linked = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    want = groups(sets, linked)
+    want = groups(sets, linked_sets(sets))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark, docs).collect()}
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
-    assert jaccard.jaccard_components(spark, docs.where("false")).count() == 0
+    if not sizes:
+        assert jaccard.jaccard_components(spark, docs.where("false")).count() == 0
+
+
+def test_jaccard_of_common_passages(spark):
+    """Unlike documents made of the same passages, beside chains and one large group of near copies."""
+    rng = random.Random(21)
+    passages = [prose(rng, 25) for _ in range(12)]
+    rows = [" ".join(rng.sample(passages, 4)) for _ in range(150)]
+    rows += [" ".join([*rng.sample(passages, 3), prose(rng, rng.randint(1, 30))]) for _ in range(100)]
+    base = prose(rng, 60).split()
+    for _ in range(80):
+        w = list(base)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(60)] = rng.choice(WORDS)
+        rows.append(" ".join(w))
+    sets = {i: shingles(t) for i, t in enumerate(rows)}
+    want = groups(sets, linked_sets(sets))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark, docs).collect()} == want
+
+
+def test_jaccard_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b c d e f g"), (None, None), (4, "a b c d e f g"), (4, "other words than those of the first"), (2, ""), (2, "A B C D E F G"), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, jaccard.jaccard_components(spark, docs).collect()))
+    assert got == Counter([(None, 3, 2), (None, 0, None), (4, 3, 2), (4, 3, 4), (2, 0, 2), (2, 3, 2), (None, 1, None)])
+
+
+def test_prefixes_of_similar_sets_meet():
+    """The hash-ordered prefixes of two sets that reach the similarity share what each is asked to share."""
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 10**6, rng.integers(1, 90)))
+        b = np.unique(np.r_[a[rng.random(len(a)) < rng.choice([0.8, 0.9, 1])], rng.integers(0, 10**6, rng.integers(0, 12))])
+        if not len(b) or 100 * len(np.intersect1d(a, b)) < 80 * len(np.union1d(a, b)):
+            continue
+        n = np.array([len(a), len(b)])
+        k = n - jaccard.least(n) + jaccard.spare(n)
+        assert (k <= n).all()
+        assert len(np.intersect1d(a[: k[0]], b[: k[1]])) >= (-(-jaccard.least(n) // 10)).max()
 
 
 def test_jaccard_chain_of_near_copies(spark):
@@ -79,8 +136,7 @@ def test_jaccard_chain_of_near_copies(spark):
             w[(3 * k + j) % 200] = f"new{k}x{j}"
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     sets = {i: shingles(t) for i, t in rows}
-    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    want = groups(sets, linked)
+    want = groups(sets, linked_sets(sets))
     got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark, docs).collect()}
     assert got == want and len(set(want.values())) < 10
 
@@ -108,7 +164,9 @@ def test_viable_members():
         assert jaccard.viable(seg, n, pos).tolist() == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("last_edges", [0, 200_000])
+def test_components(spark, last_edges, monkeypatch):
+    monkeypatch.setattr(components, "LAST_EDGES", last_edges)
     edges = [(1, 2), (2, 3), (5, 4), (9, 9), (7, 8), (8, 1), *[(100 + k, 101 + k) for k in range(50)]]
     got = {r["node"]: r["component"] for r in components.connected_components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 4: 4, 5: 4, **{100 + k: 100 for k in range(51)}}
@@ -156,6 +214,52 @@ def test_plan_uses_exact_complements():
     assert sum(t for _, t in made) == -(-int((counts * np.arange(101)).sum()) // 100)
 
 
+def best_fit(lengths, capacity):
+    """Each piece, longest first, into the open sequence with the smallest gap that holds it."""
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= n]
+        if fits:
+            gaps.remove(min(fits))
+            gaps.append(min(fits) - n)
+        else:
+            gaps.append(capacity - n)
+    return sorted(gaps)
+
+
+def test_best_fit_of_the_rest_against_brute_force():
+    rng = random.Random(6)
+    for _ in range(80):
+        lengths = [rng.randint(1, 40) for _ in range(rng.randint(0, 60))] + [rng.randint(30, 63)] * rng.randint(0, 9)
+        counts = np.bincount(lengths, minlength=65)
+        p = packing._Plan(counts, 64)
+        p.best_fit()
+        made = sorted(64 - sum(x) for x, times in p.patterns for _ in range(times))
+        assert made == best_fit(lengths, 64)
+        used = Counter(n for x, times in p.patterns for n in x for _ in range(times))
+        assert used == Counter(lengths)
+
+
+def test_index_of_sums():
+    counts = np.zeros(65, dtype=np.int64)
+    counts[[3, 10, 31]] = 2
+    p = packing._Plan(counts, 64)
+    one, two, three = p.index()
+    there = [3, 10, 31]
+    assert [n for n in range(65) if one >> n & 1] == there
+    assert [n for n in range(65) if two >> n & 1] == sorted({a + b for a in there for b in there if a + b <= 64})
+    assert [n for n in range(65) if three >> n & 1] == sorted({a + b + c for a in there for b in there for c in there if a + b + c <= 64})
+
+
+def test_packing_keeps_other_columns(spark):
+    pieces = spark.createDataFrame([(5, "a", 9, 0.5, 7), (5, "a", 9, 0.5, 7), (16, "b", 8, None, 1), (11, None, 7, 0.1, 2)], "length int, part string, sequence_id int, row double, rank int")
+    got = packing.pack_pieces(spark, pieces, 16)
+    assert got.columns == ["length", "part", "row", "rank", "sequence_id", "offset"]
+    rows = got.collect()
+    assert Counter((r["length"], r["part"], r["row"], r["rank"]) for r in rows) == Counter({(5, "a", 0.5, 7): 2, (16, "b", None, 1): 1, (11, None, 0.1, 2): 1})
+    assert len({r["sequence_id"] for r in rows}) == 3
+
+
 def test_special_tokens_in_texts(spark):
     from tokenizers import Tokenizer
 
@@ -178,6 +282,44 @@ def test_sharding(spark, planted):
     assert sharding.shard_rows(spark, docs.where("false"), 7).count() == 0
 
 
+def test_sharding_does_not_depend_on_layout(spark, planted, monkeypatch):
+    monkeypatch.setattr(sharding, "EQUAL", 7)  # several runs of equal rows
+    rows = [*planted, *[(1000, "same")] * 50, *[(None, None)] * 20]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (Counter(map(tuple, sharding.shard_rows(spark, docs.repartition(n), 7).collect())) for n in (1, 6))
+    assert a == b and sum(a.values()) == len(rows)
+    places = [(shard, slot) for _, _, _, shard, slot in a]
+    assert len(set(places)) == len(rows)
+
+
+def test_ring_against_a_walk_for_each_key():
+    """Keys in ring order: own shard if it has room, else clockwise to the next cell whose shard has."""
+    rng = random.Random(8)
+    for _ in range(30):
+        n_cells, shards = rng.randint(3, 30), rng.randint(1, 6)
+        owner = np.array([rng.randrange(shards) for _ in range(n_cells)])
+        counts = np.array([rng.choice([0, 1, 3, 20]) for _ in range(n_cells)])
+        owners = set(owner.tolist())
+        total = int(counts.sum())
+        capacity = np.zeros(shards, dtype=np.int64)
+        for k, s in enumerate(sorted(owners)):
+            capacity[s] = total // len(owners) + (k < total % len(owners))
+        room, want, over = capacity.tolist(), [], []
+        for cell in range(n_cells):
+            for rank in range(counts[cell]):
+                if room[owner[cell]]:
+                    room[owner[cell]] -= 1
+                    want.append((cell, rank, owner[cell]))
+                else:
+                    over.append((cell, rank))
+        for cell, rank in over:
+            at = next(c % n_cells for c in range(cell + 1, cell + 1 + n_cells) if room[owner[c % n_cells]])
+            room[owner[at]] -= 1
+            want.append((cell, rank, owner[at]))
+        got = [(cell, rank, s) for cell, first, last, s in sharding.assign(counts, owner, capacity) for rank in range(first, last)]
+        assert sorted(got) == sorted(want)
+
+
 def test_sharding_moves_little():
     rng = np.random.default_rng(2)
     counts = rng.multinomial(200_000, np.full(sharding.CELLS, 1 / sharding.CELLS))
@@ -308,6 +450,16 @@ def test_mix_takes_leaves_without_words(spark):
     assert not taken(docs, 0.0, 1)
 
 
+def test_mix_keeps_other_columns(spark):
+    rows = [(i, "s", "w " * 5, 3, f"h{i}", 0.5, "t", i) for i in range(40)] + [(7, "s", "w", 3, "again", 0.5, "t", 99)]
+    docs = spark.createDataFrame(rows, "doc_id long, supply string, text string, epoch int, hash string, rest double, key string, row int")
+    got = mixing.mix(spark, docs, ["supply"], 2.0, max_epochs=2)
+    assert got.columns == ["doc_id", "supply", "text", "hash", "rest", "key", "row", "epoch"]
+    taken = got.collect()
+    assert Counter(r["row"] for r in taken) == Counter({r[-1]: 2 for r in rows}) and {r["epoch"] for r in taken} == {0, 1}
+    assert all(r["hash"] == ("again" if r["row"] == 99 else f"h{r['row']}") for r in taken)
+
+
 def links(rows, cosine=0.98):
     x = {}
     for i, v, label in rows:
@@ -403,6 +555,37 @@ def test_pipeline_groups_rows_not_ids(spark):
     assert one_of_c == 1 and got == Counter([(1, a), (5, b), (7, e), (8, d + " end"), (9, ""), (9, None), (2, f)])
 
 
+#: Columns that clash with names used inside the operators.
+CLASHES = "doc_id long, text string, lang string, source string, n_chars long, repetition string, domain string, epoch int, score double, row int, component_id string, __h string, sequence_id int"
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_odd_rows(spark, sf_dir, stage):
+    """Null ids, texts and groups, repeated rows, very long and empty texts, clashing columns; and no rows at all."""
+    import corpus_pipeline
+
+    rng = random.Random(stage)
+    own = ("r", "d", 4, 0.5, 6, "c", "h", 8)
+    rows = [(i, prose(rng, 40), rng.choice(["en", None]), rng.choice(["s", None]), 1, *own) for i in range(30)]
+    rows += [rows[3], rows[3], (None, None, None, None, None, *own), (None, "", "en", "s", 0, *own), (31, " ".join(f"w{k}" for k in range(40_000)), "en", "s", 1, *own), (5, "too short", "en", None, 1, *own)]
+    docs = spark.createDataFrame(rows, CLASHES).repartition(3)
+    _, f = corpus_pipeline.STAGES[stage]
+    got = f(spark, docs, sf_dir)
+    kept = [tuple(r) for r in got.collect()]
+    if stage < 4:
+        assert got.columns == docs.columns and not Counter(kept) - Counter(rows)
+        whole = Counter(rows)
+        want = {
+            0: Counter({r: k for r, k in whole.items() if len((r[1] or "").split()) >= 10}),
+            1: whole,
+            2: Counter(dict.fromkeys(whole, 1)),
+        }
+        assert stage == 3 or Counter(kept) == want[stage]
+    else:
+        assert len({(r.sequence_id, r.offset) for r in got.collect()}) == len(kept) >= len(rows)
+    assert f(spark, docs.where("false"), sf_dir).count() == 0
+
+
 def test_pipeline_runs_whole(spark, sf_dir):
     import corpus_pipeline
 
