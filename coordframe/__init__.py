@@ -20,14 +20,14 @@ from .plans.planner import get_default_scheduler, set_default_scheduler, with_de
 from .plans.stats import BlockedStats, DCStats, DenseStats, UniformStats
 from .relation import Relation
 from .sources.io import embedding_matrix, read_table, read_tensor, write_tensor
-from .tensor import Tensor, asarray, from_numpy, from_relation
+from .tensor import Tensor, asarray, from_coordinates, from_numpy, from_relation
 
 __array_api_version__ = "2024.12"
 pi, e, inf, nan, newaxis = _math.pi, _math.e, _math.inf, _math.nan, None
 
 for _module, _names in (
     (_types, "bool_ int8 int16 int32 int64 uint8 uint16 uint32 uint64 float16 float32 float64 complex64 complex128 intp can_cast finfo iinfo isdtype result_type"),
-    (_creation, "arange empty empty_like eye full full_like linspace meshgrid ones ones_like zeros zeros_like"),
+    (_creation, "arange empty empty_like eye full full_like index_tensor linspace lower_triangle meshgrid one_hot ones ones_like parity_mask pattern repeat_tensor reshape_mask reverse_tensor roll_tensor upper_triangle zeros zeros_like"),
     (_elementwise, " ".join([*_elementwise.UNARY, *_elementwise.BINARY, "astype clip elementwise where"])),
     (_reductions, "all any argmax argmin argsort count_nonfill count_nonzero cumulative cumulative_prod cumulative_sum max mean min prod reduce searchsorted sort std sum var"),
     (_shaping, "broadcast_arrays broadcast_to concat diag diagonal diff expand_dims flip matrix_transpose moveaxis permute_dims repeat reshape roll squeeze stack take take_along_axis tile trace tril triu unstack"),
@@ -51,8 +51,13 @@ def to_scipy(x, /):
         from scipy.sparse import coo_matrix
     except ImportError as error:
         raise TypeError("SciPy is not installed") from error
-    a = to_numpy(x)
-    return coo_matrix(a)
+    x = asarray(x)
+    if x.ndim != 2 or x.fill_value != 0:
+        return coo_matrix(to_numpy(x))
+    cells = x.to_df().toArrow()
+    at = tuple(cells.column(f).to_numpy() for f in x.axes)
+    values = [complex(v["re"], v["im"]) for v in cells.column("v").to_pylist()] if x.dtype.kind == "c" else cells.column("v").to_numpy()
+    return coo_matrix((_types.np.asarray(values, dtype=x.dtype), at), shape=x.shape)
 
 
 def fill_value(x, /):

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import types as T
-
+from . import complexes
 
 
 @dataclass(frozen=True)
@@ -176,12 +176,23 @@ def _mod(cols, kinds, out):
 
 
 def _power(cols, kinds, out):
+    if T.is_complex(out):
+        a, b = _common(cols, kinds, out)
+        return complexes.struct(complexes.power((a["re"], a["im"]), (b["re"], b["im"])))
     if T.is_integer(out):
         a, b = (T.cast(c, k, T.int64) for c, k in zip(cols, kinds, strict=True))
-        # repeated multiplication; beyond 63 factors only 0, 1 and -1 stay within 64 bits
-        n = F.least(F.greatest(b, F.lit(0)), F.lit(64)) - F.when((b > 64) & (b % 2 != 0), 1).otherwise(0)
-        fold = F.aggregate(F.array_repeat(a, n.cast("int")), F.lit(1).cast("bigint"), lambda x, y: x * y)
-        return T.wrap(fold, out)
+        # by the exponent's bits; a square is only taken if a bit is left that needs it, so nothing overflows that the result doesn't
+        start = F.struct(F.lit(1).cast("bigint").alias("total"), a.alias("square"), F.greatest(b, F.lit(0).cast("bigint")).alias("bits"))
+
+        def step(s: Column, _: Column) -> Column:
+            odd, more = s["bits"] % 2 == 1, s["bits"] > 1
+            return F.struct(
+                F.when(odd, s["total"] * s["square"]).otherwise(s["total"]).alias("total"),
+                F.when(more, s["square"] * F.when(more, s["square"]).otherwise(1)).otherwise(s["square"]).alias("square"),
+                F.shiftright(s["bits"], 1).alias("bits"),
+            )
+
+        return T.wrap(F.aggregate(F.sequence(F.lit(1), F.lit(63)), start, step)["total"], out)
     a, b = _double(cols, kinds)
     p = F.when(a == 1, F.lit(1.0)).when((a == -1) & (F.abs(b) == inf()), F.lit(1.0)).otherwise(F.pow(a, b))
     return p.cast(T.storage(out))
@@ -262,10 +273,12 @@ def _shift(left: bool) -> Callable:
     return build
 
 
-def _unary(real: Callable, keep_int: bool = False) -> Callable:
-    """A function of one real number; integers are left alone if ``keep_int``."""
+def _unary(real: Callable, keep_int: bool = False, name: str = "") -> Callable:
+    """A function of one number, complex ones by ``name``; integers are left alone if ``keep_int``."""
 
     def build(cols, kinds, out):
+        if T.is_complex(kinds[0]):
+            return complexes.struct(complexes.FUNCTIONS[name]((cols[0]["re"], cols[0]["im"])))
         if keep_int and (T.is_integer(kinds[0]) or kinds[0] == T.bool_):
             return T.cast(cols[0], kinds[0], out)
         return real(_double(cols, kinds)[0]).cast(T.storage(out))
@@ -337,6 +350,8 @@ def _reciprocal(cols, kinds, out):
 
 def _sign(cols, kinds, out):
     x = cols[0]
+    if T.is_complex(out):
+        return complexes.struct(complexes.sign((x["re"], x["im"])))
     if T.is_float(out):
         return F.when(F.isnan(x), nan()).otherwise(F.signum(x.cast("double"))).cast(T.storage(out))
     return F.when(x > 0, 1).when(x < 0, -1).otherwise(0).cast(T.storage(out))
@@ -483,7 +498,7 @@ for _name, _fn in (
     ("cosh", F.cosh),
     ("tanh", F.tanh),
 ):
-    _add_op(_name, getattr(np, _name), _unary(_fn))
+    _add_op(_name, getattr(np, _name), _unary(_fn, name=_name))
 for _name, _np, _fn in (
     ("asin", np.arcsin, F.asin),
     ("acos", np.arccos, F.acos),
@@ -492,9 +507,9 @@ for _name, _np, _fn in (
     ("acosh", np.arccosh, F.acosh),
     ("atanh", np.arctanh, F.atanh),
 ):
-    _add_op(_name, _np, _unary(_fn))
+    _add_op(_name, _np, _unary(_fn, name=_name))
 for _name, _fn, _pole in (("log", F.ln, 0.0), ("log2", F.log2, 0.0), ("log10", F.log10, 0.0), ("log1p", F.log1p, -1.0)):
-    _add_op(_name, getattr(np, _name), _unary(_log(_fn, _pole)))
+    _add_op(_name, getattr(np, _name), _unary(_log(_fn, _pole), name=_name))
 _add_op("isnan", np.isnan, _float_test(F.isnan, False), result=_bool_result)
 _add_op("isinf", np.isinf, _float_test(lambda x: F.abs(x) == inf(), False), result=_bool_result)
 _add_op("isfinite", np.isfinite, _float_test(lambda x: ~F.isnan(x) & (F.abs(x) != inf()), True), result=_bool_result)
@@ -506,7 +521,7 @@ _add_op("where", np.where, _where, result=lambda c, a, b: np.result_type(a, b))
 _add_op("clip", np.clip, _clip, result=_first_type)
 _add_op("first_arg", lambda a, *_: a, lambda c, k, o: c[0], associative=True, result=_first_type)
 _add_op("overwrite", lambda a, b: b, lambda c, k, o: c[1], associative=True, result=lambda a, b: b)
-_add_op("divmod_quotient", np.floor_divide, _floor_divide)
+_add_op("divmod_quotient", _floor_divide_host, _floor_divide)
 for _alias, _name in (("truediv", "divide"), ("remainder", "mod"), ("pow", "power"), ("arcsin", "asin"), ("arccos", "acos"), ("arctan", "atan"), ("arcsinh", "asinh"), ("arccosh", "acosh"), ("arctanh", "atanh"), ("min", "minimum"), ("max", "maximum")):
     OPS[_alias] = OPS[_name]
 

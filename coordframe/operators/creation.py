@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import builtins
 import math
 
 import numpy as np
@@ -89,45 +90,54 @@ def eye(n_rows, n_cols=None, *, k=0, dtype=None, device=None) -> Tensor:
     return Tensor(Relation(df, ("i0", "i1"), {"i0": n_rows, "i1": n_cols}, np.zeros((), kind)[()], kind))
 
 
+def _unravelled(number, shape) -> list:
+    """The coordinates of a row-major number."""
+    return [F.call_function("div", number, F.lit(math.prod(shape[k + 1 :])).cast("bigint")) % size for k, size in enumerate(shape)]
+
+
 def index_tensor(shape) -> Tensor:
     """Each cell holds its row-major number."""
-    n = math.prod(shape)
-    df = session().range(n)
-    cols = []
-    for k, size in enumerate(shape):
-        rest = F.lit(math.prod(shape[k + 1 :])).cast("bigint")
-        cols.append((F.call_function("div", F.col("id"), rest) % size).alias(f"i{k}"))
-    df = df.select(*cols, F.col("id").alias(VALUE))
+    df = session().range(math.prod(shape))
+    df = df.select(*[c.alias(f"i{k}") for k, c in enumerate(_unravelled(F.col("id"), shape))], F.col("id").alias(VALUE))
     return Tensor(Relation(df, axis_names(len(shape)), dims_of(shape), np.int64(0), T.int64).normal())
 
 
 def pattern(shape, test, dtype=bool) -> Tensor:
-    """Ones where ``test(i0, i1, ..)`` of the coordinates holds: an implicit mask made of arithmetic."""
-    grid = index_tensor(shape)
-    full_grid = grid.rel.dense()
-    kind = T.as_dtype(dtype)
-    df = full_grid.df.where(test(*[F.col(f) for f in grid.axes])).select(*grid.axes, T.literal(1, kind).alias(VALUE))
-    return Tensor(Relation(df, grid.axes, grid.rel.dims, np.zeros((), kind)[()], kind))
+    """Ones where ``test(i0, i1, ..)`` of the coordinates holds, for any test: every coordinate is looked at once, by arithmetic."""
+    kind, names = T.as_dtype(dtype), axis_names(len(shape))
+    df = session().range(math.prod(shape)).select(*[c.alias(f) for f, c in zip(names, _unravelled(F.col("id"), shape), strict=True)])
+    df = df.where(test(*[F.col(f) for f in names])).select(*names, T.literal(1, kind).alias(VALUE))
+    return Tensor(Relation(df, names, dims_of(shape), np.zeros((), kind)[()], kind))
+
+
+def _band(n: int, m: int, first, last, dtype) -> Tensor:
+    """Ones from column ``first(i)`` to ``last(i)`` of each row: only the cells that are there are made."""
+    kind, i = T.as_dtype(dtype), F.col("id")
+    low, high = F.greatest(first(i), F.lit(0)).cast("bigint"), F.least(last(i), F.lit(m - 1)).cast("bigint")
+    df = session().range(n).select(i.alias("i0"), low.alias("a"), high.alias("b")).where("a <= b")
+    df = df.select("i0", F.explode(F.sequence("a", "b")).alias("i1"), T.literal(1, kind).alias(VALUE))
+    return Tensor(Relation(df, ("i0", "i1"), {"i0": n, "i1": m}, np.zeros((), kind)[()], kind))
 
 
 def upper_triangle(n, m=None, k=0, dtype=bool) -> Tensor:
-    return pattern((n, m or n), lambda i, j: j - i >= k, dtype)
+    m = n if m is None else m
+    return _band(n, m, lambda i: i + k, lambda i: F.lit(m - 1), dtype)
 
 
 def lower_triangle(n, m=None, k=0, dtype=bool) -> Tensor:
-    return pattern((n, m or n), lambda i, j: j - i <= k, dtype)
+    return _band(n, n if m is None else m, lambda i: F.lit(0), lambda i: i + k, dtype)
 
 
 def reverse_tensor(n, dtype=bool) -> Tensor:
-    return pattern((n, n), lambda i, j: j == n - i - 1, dtype)
+    return _band(n, n, lambda i: n - 1 - i, lambda i: n - 1 - i, dtype)
 
 
 def roll_tensor(n, k, dtype=bool) -> Tensor:
-    return pattern((n, n), lambda i, j: j == F.pmod(i - k, F.lit(n)), dtype)
+    return _band(n, n, lambda i: F.pmod(i - k, F.lit(n)), lambda i: F.pmod(i - k, F.lit(n)), dtype)
 
 
 def repeat_tensor(n, k, dtype=bool) -> Tensor:
-    return pattern((n * k, n), lambda i, j: j == F.floor(i / k), dtype)
+    return _band(n * k, n, lambda i: F.floor(i / k), lambda i: F.floor(i / k), dtype)
 
 
 def one_hot(n, at, dtype=bool) -> Tensor:
@@ -139,16 +149,12 @@ def parity_mask(n, odd=False, dtype=bool) -> Tensor:
 
 
 def reshape_mask(shape, target, dtype=bool) -> Tensor:
-    """Ones where the row-major numbers in two shapes agree."""
-
-    def number(cols, sizes):
-        out = F.lit(0).cast("bigint")
-        for c, n in zip(cols, sizes, strict=True):
-            out = out * n + c
-        return out
-
-    n = len(shape)
-    return pattern((*shape, *target), lambda *c: number(c[:n], shape) == number(c[n:], target), dtype)
+    """Ones where the row-major numbers in two shapes agree: one cell for each number that both have."""
+    kind, names = T.as_dtype(dtype), axis_names(len(shape) + len(target))
+    df = session().range(builtins.min(math.prod(shape), math.prod(target)))
+    at = [*_unravelled(F.col("id"), shape), *_unravelled(F.col("id"), target)]
+    df = df.select(*[c.alias(f) for f, c in zip(names, at, strict=True)], T.literal(1, kind).alias(VALUE))
+    return Tensor(Relation(df, names, dims_of((*shape, *target)), np.zeros((), kind)[()], kind))
 
 
 def meshgrid(*arrays, indexing="xy") -> tuple[Tensor, ...]:

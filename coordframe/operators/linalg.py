@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import types as T
 from ..functions.registry import OPS
+from ..plans.compute import cut
 from ..plans.planner import contract
 from ..relation import VALUE, Relation, map_join
 from ..tensor import Tensor, axis_names, dims_of, normalize_axes, promote
@@ -106,7 +107,7 @@ def matrix_power(x, n, /) -> Tensor:
             out = x if out is None else matmul(out, x)
         n >>= 1
         if n:
-            x = matmul(x, x)
+            x = cut(matmul(x, x))  # used twice from here on; a checkpoint keeps the plan from doubling with each squaring
     if out is None:
         from .creation import eye
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import builtins
 import math
 
 import numpy as np
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import types as T
-from ..functions.registry import any_nan, nan
-from ..relation import VALUE, Relation, aggregate
+from ..functions.registry import any_nan, divide_float, nan
+from ..relation import VALUE, Relation, aggregate, session
 from ..tensor import Tensor, normalize_axes, promote
 from .elementwise import _operator, astype, elementwise
 from .shaping import expand_dims, linear, reshape
@@ -82,12 +83,34 @@ def mean(x, /, *, axis=None, keepdims=False) -> Tensor:
 
 
 def var(x, /, *, axis=None, correction=0.0, keepdims=False) -> Tensor:
-    """The two-pass variance with ``correction`` taken off the number of cells."""
+    """The variance with ``correction`` taken off the number of cells.
+
+    Stored cells are folded into their number, mean and squared deviations; those that hold the fill are a second
+    set with no deviations, and the two are merged.  Nothing is densified.
+    """
     x = _float(promote(x))
-    n = math.prod(x.shape[a] for a in normalize_axes(axis, x.ndim))
-    off = elementwise("subtract", x, mean(x, axis=axis, keepdims=True))
-    total = sum(elementwise("square", elementwise("abs", off)), axis=axis, keepdims=keepdims)
-    return astype(elementwise("divide", total, float(n - correction)), x.dtype if x.dtype.kind == "f" else T.float64)
+    axes = normalize_axes(axis, x.ndim)
+    n = math.prod(x.shape[a] for a in axes)
+    kept = [f for k, f in enumerate(x.axes) if k not in axes]
+    out = x.dtype if x.dtype.kind == "f" else T.float64
+    parts = ("re", "im") if T.is_complex(x.dtype) else (None,)
+    fills = (x.fill_value.real, x.fill_value.imag) if T.is_complex(x.dtype) else (x.fill_value,)
+    column = [(F.col(VALUE)[p] if p else F.col(VALUE)).cast("double") for p in parts]
+    stats = [c for k, v in enumerate(column) for c in (F.avg(v).alias(f"__m{k}"), F.var_pop(v).alias(f"__s{k}"))]
+    df = x.df.groupBy(*kept).agg(F.count("*").cast("double").alias("__k"), *stats)
+    k, total = F.col("__k"), F.lit(0.0)
+    for j, fill in enumerate(fills):
+        apart = F.col(f"__m{j}") - float(fill)
+        both = apart * apart * k * (n - k) / float(builtins.max(n, 1)) if np.isfinite(fill) else F.lit(float("nan"))
+        total = total + F.col(f"__s{j}") * k + F.when(k < n, both).otherwise(0.0)
+    with np.errstate(all="ignore"):
+        whole = (np.float64(0.0 if np.isfinite(fills).all() else np.nan) / np.float64(n - correction)).astype(out)[()]
+    value = divide_float(total, F.lit(float(n - correction)))
+    value = value if kept else F.when(k > 0, value).otherwise(float(whole))
+    made = df.select(*kept, value.cast(T.storage(out)).alias(VALUE))
+    shape = [m for a, m in enumerate(x.shape) if a not in axes]
+    rel = Relation(made, tuple(kept), {f: x.rel.dims[f] for f in kept}, whole, out).normal()
+    return _keep(Tensor(rel, shape), axes, keepdims)
 
 
 def std(x, /, *, axis=None, correction=0.0, keepdims=False) -> Tensor:
@@ -116,16 +139,19 @@ def _arg(x, axis, keepdims: bool, largest: bool) -> Tensor:
     if not n:
         raise ValueError("no cells to choose from")
     kept = [g for g in x.axes if g != f]
-    by = Window.partitionBy(*kept).orderBy(f) if kept else Window.orderBy(f)
     v = F.col(VALUE).cast("int") if x.dtype == T.bool_ else F.col(VALUE)
     isnan = any_nan(F.col(VALUE)) if T.is_float(x.dtype) else F.lit(False)
-    best = F.max_by(F.col(f), F.struct(isnan, v, -F.col(f))) if largest else F.min_by(F.col(f), F.struct(~isnan, v, F.col(f)))
     found = F.max(F.struct(isnan.alias("nan"), v.alias("x"), (-F.col(f)).alias("at"))) if largest else F.min(F.struct((~isnan).alias("nan"), v.alias("x"), F.col(f).alias("at")))
     fill = x.fill_value
-    rank = x.df.select(*x.axes, VALUE) if x.size > (1 << 40) else x.df.withColumn("__r", F.row_number().over(by) - 1)
-    # the lowest coordinate without a row holds the fill, which takes part
-    gap = F.coalesce(F.min(F.when(F.col(f) > F.col("__r"), F.col("__r"))), F.count("*")).alias("__gap")
-    df = rank.groupBy(*kept).agg(found.alias("b"), gap, best.alias("__best"))
+    # the lowest coordinate without a row holds the fill, which takes part: 0, or the one behind a row whose neighbour is missing
+    if kept:
+        rank = x.df.withColumn("__r", F.row_number().over(Window.partitionBy(*kept).orderBy(f)) - 1)
+        gap = F.coalesce(F.min(F.when(F.col(f) > F.col("__r"), F.col("__r"))), F.count("*")).alias("__gap")
+        df = rank.groupBy(*kept).agg(found.alias("b"), gap)
+    else:
+        rows = x.df.select(f)
+        behind = rows.select((F.col(f) + 1).alias(f)).unionByName(session().range(1).select(F.col("id").alias(f)))
+        df = x.df.agg(found.alias("b")).crossJoin(behind.join(rows, f, "left_anti").agg(F.min(f).alias("__gap")))
     lit = F.lit(int(fill)) if x.dtype == T.bool_ else T.literal(fill, x.dtype)
     fill_nan = bool(T.is_float(x.dtype) and np.isnan(fill))
     at = F.when(F.lit(largest), -F.col("b.at")).otherwise(F.col("b.at"))
@@ -168,6 +194,9 @@ def _axis1(x: Tensor, axis) -> int:
     return normalize_axes(axis, x.ndim)[0]
 
 
+#: Vectors are scanned in blocks of as many coordinates, and sorted in as many ranges of values, so that no task has all their cells.
+SCAN_BLOCK, SORT_RANGES = 1 << 16, 64
+
 _RUNNING = {"add": F.sum, "minimum": F.min, "maximum": F.max, "logical_and": F.bool_and, "logical_or": F.bool_or}
 
 
@@ -183,20 +212,24 @@ def cumulative(op, x, /, *, axis=None, dtype=None, include_initial=False) -> Ten
     still = op.idempotent or (op.identity is not None and T.same(x.fill_value, op.identity)) or (op.name == "multiply" and x.fill_value == 0)
     rel = _fibres(x, axis, bool(still) and x.dtype == kind)
     v = T.cast(F.col(VALUE), x.dtype, kind)
-    by = Window.partitionBy(*kept).orderBy(f) if kept else Window.orderBy(f)
-    frame = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if op.name == "multiply" and T.is_float(kind):
-        col = F.product(v.cast("double")).over(frame)
-    elif op.name in _RUNNING and not (T.is_float(kind) and op.name in ("minimum", "maximum")):
-        col = _RUNNING[op.name](v.cast("double") if T.is_float(kind) else v).over(frame)
-    elif op.name in _RUNNING:
-        col = F.when(F.bool_or(F.isnan(v)).over(frame), nan()).otherwise(_RUNNING[op.name](v).over(frame))
-    else:
-        col = None
     fill = np.asarray(x.fill_value).astype(kind)[()]
-    if col is not None:
+    total = _total(op, v, kind)
+    if total is not None:
+        df = rel.df
+        if kept:
+            col = total(Window.partitionBy(*kept).orderBy(f).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        else:
+            block = F.shiftright(f, int(math.log2(SCAN_BLOCK))).alias("__b")
+            blocks = df.groupBy(block).agg(total(None).alias("__t"))
+            before = _total(op, F.col("__t"), T.float64 if T.is_float(kind) else kind)(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))  # a row for each block
+            blocks = blocks.select("__b", before.alias("__before"))
+            df = df.withColumn("__b", block).join(blocks, "__b")
+            inside = total(Window.partitionBy("__b").orderBy(f).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            wide = T.float64 if T.is_float(kind) else kind if kind == T.bool_ else T.int64
+            both = op.build([F.col("__before").cast(T.storage(wide)), inside.cast(T.storage(wide))], [wide, wide], wide)
+            col = F.when(F.col("__before").isNull(), inside).otherwise(both)
         col = T.wrap(col, kind) if T.is_integer(kind) else col.cast(T.storage(kind))
-        df = rel.df.select(*x.axes, col.alias(VALUE))
+        df = df.select(*x.axes, col.alias(VALUE))
     else:
         df = _scan(op, rel, kept, f, kind)
     out = Tensor(Relation(df, x.axes, x.rel.dims, fill if still else np.zeros((), kind)[()], kind).normal())
@@ -209,6 +242,22 @@ def cumulative(op, x, /, *, axis=None, dtype=None, include_initial=False) -> Ten
     return concat([start, out], axis=axis)
 
 
+def _total(op, v, kind: np.dtype):
+    """The fold of a column as a function of the window it runs over (None: a group); None if Spark has no aggregate for it."""
+
+    def over(col, window):
+        return col if window is None else col.over(window)
+
+    if op.name == "multiply" and T.is_float(kind):
+        return lambda w: over(F.product(v.cast("double")), w)
+    if op.name not in _RUNNING:
+        return None
+    fold = _RUNNING[op.name]
+    if T.is_float(kind) and op.name in ("minimum", "maximum"):
+        return lambda w: F.when(over(F.bool_or(F.isnan(v)), w), nan()).otherwise(over(fold(v.cast("double")), w))
+    return lambda w: over(fold(v.cast("double") if T.is_float(kind) else v), w)
+
+
 def _scan(op, rel: Relation, kept: list[str], f: str, kind: np.dtype):
     keys = kept or ["__all"]
     df = rel.df if kept else rel.df.withColumn("__all", F.lit(0).cast("bigint"))
@@ -237,6 +286,17 @@ def cumulative_prod(x, /, *, axis=None, dtype=None, include_initial=False) -> Te
     return cumulative("multiply", x, axis=axis, dtype=_wide(x, dtype), include_initial=include_initial)
 
 
+def _ranges(df: DataFrame, value) -> DataFrame:
+    """``df`` with ``__p``: which of SORT_RANGES ranges a value lies in, by quantiles of the values; NaN and null come last.
+
+    Equal values lie in one range, and ranges follow the order of values.
+    """
+    known = F.when(~F.isnan(value), value) if dict(df.select(value.alias("x")).dtypes)["x"] in ("double", "float") else value
+    cuts = df.agg(F.percentile_approx(known, [k / SORT_RANGES for k in range(1, SORT_RANGES)], 2000).alias("__cuts"))
+    at = F.size(F.filter("__cuts", lambda c: c < known))
+    return df.crossJoin(F.broadcast(cuts)).withColumn("__p", F.when(known.isNull(), SORT_RANGES + 1).otherwise(at)).drop("__cuts")
+
+
 def _ranked(x: Tensor, axis: int, descending: bool, constant_ok: bool):
     f = x.axes[axis]
     kept = [g for g in x.axes if g != f]
@@ -247,8 +307,15 @@ def _ranked(x: Tensor, axis: int, descending: bool, constant_ok: bool):
         order.append(F.isnan(v))
         v = F.when(v == 0, F.lit(0.0)).otherwise(v)
     order += [v.desc() if descending else v.asc(), F.col(f).asc()]
-    by = Window.partitionBy(*kept).orderBy(*order) if kept else Window.orderBy(*order)
-    return rel.df.withColumn("__r", (F.row_number().over(by) - 1).cast("bigint")), f
+    if kept:
+        return rel.df.withColumn("__r", (F.row_number().over(Window.partitionBy(*kept).orderBy(*order)) - 1).cast("bigint")), f
+    df = _ranges(rel.df, v.cast("int") if x.dtype == T.bool_ else v)
+    turned = F.when(F.col("__p") > SORT_RANGES, F.col("__p")).otherwise(-F.col("__p") if descending else F.col("__p"))
+    df = df.withColumn("__p", turned)
+    sizes = df.groupBy("__p").agg(F.count("*").alias("__k"))
+    before = sizes.select("__p", (F.sum("__k").over(Window.orderBy("__p")) - F.col("__k")).alias("__before"))  # a row for each range
+    rank = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
+    return df.withColumn("__r", rank).join(F.broadcast(before), "__p").withColumn("__r", (F.col("__r") + F.col("__before")).cast("bigint")), f
 
 
 def sort(x, /, *, axis=-1, descending=False, stable=True) -> Tensor:
@@ -273,7 +340,7 @@ def searchsorted(x1, x2, /, *, side="left", sorter=None) -> Tensor:
     """Where the cells of x2 would be put into the sorted vector x1.
 
     A vector of up to MAX_SEARCHED cells goes to each executor as one array; a longer one is merged
-    with the cells by a range-partitioned sort and running counts.  Both compare in the common type of the two.
+    with the cells in ranges of values by running counts.  Both compare in the common type of the two.
     """
     if side not in ("left", "right"):
         raise ValueError("side is left or right")
@@ -298,12 +365,10 @@ def searchsorted(x1, x2, /, *, side="left", sorter=None) -> Tensor:
     first = 0 if side == "left" else 1
     edges = x1.rel.dense().df.select(F.col(VALUE).cast(T.storage(kind)).alias("x"), F.lit(1 - first).alias("tag"), F.lit(None).cast("bigint").alias("at"))
     cells = x2.rel.dense().df.select(F.col(VALUE).cast(T.storage(kind)).alias("x"), F.lit(first).alias("tag"), linear(x2).alias("at"))
-    merged = edges.unionByName(cells).repartitionByRange("x").withColumn("__p", F.spark_partition_id())
+    merged = _ranges(edges.unionByName(cells), F.col("x"))
     part = merged.groupBy("__p").agg(F.count_if(F.col("at").isNull()).alias("k"))
     before = part.withColumn("before", F.sum("k").over(Window.orderBy("__p")) - F.col("k")).select("__p", "before")
     run = F.count_if(F.col("at").isNull()).over(Window.partitionBy("__p").orderBy("x", "tag").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = merged.withColumn("run", run).where("at is not null").join(F.broadcast(before), "__p")  # a row for each partition
+    found = merged.withColumn("run", run).where("at is not null").join(F.broadcast(before), "__p")  # a row for each range
     flat = found.select(F.col("at").alias("i0"), (F.col("run") + F.col("before")).cast("bigint").alias(VALUE))
     return reshape(Tensor(Relation(flat, ("i0",), {"i0": x2.size}, np.int64(0), T.int64).normal()), x2.shape)
-
-

@@ -13,7 +13,7 @@ def lazy(x):
 
 
 def compute(x):
-    """Runs one tensor or a tuple of them; cells are cached, so that shared work is done once."""
+    """Runs one tensor or a tuple of them; cells are cached until ``Tensor.unpersist``, so that shared work is done once."""
     many = tuple(map(promote, x)) if isinstance(x, (tuple, list)) else (promote(x),)
     for t in many:
         t.persist()
@@ -23,9 +23,21 @@ def compute(x):
 
 
 def cut(x: Tensor) -> Tensor:
-    """The tensor with its lineage cut by a reliable checkpoint, for loops."""
+    """The tensor with its lineage cut by a reliable checkpoint, for loops.
+
+    Checkpoints go to the folder in ``spark.checkpoint.dir``.  Where none is set, Spark that runs in this process alone gets a
+    temporary one; a cluster must name a folder that its machines share.
+    """
+    import tempfile
     from dataclasses import replace
 
+    spark = x.df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="coordframe-"))
     return Tensor(replace(x.rel, df=x.df.checkpoint()), x.shape)
 
 

@@ -82,8 +82,8 @@ class Relation:
         if not self.fields:
             one = session().range(1).select(T.literal(self.fill, self.dtype).alias("__f"))
             return replace(self, df=one.join(self.df, F.lit(True), "left").select(F.coalesce(VALUE, "__f").alias(VALUE)))
-        if math.prod(self.dims[f] for f in over) * (self.size if kept else 1) > MAX_EXPANSION and not kept:
-            raise ValueError(f"a dense array of {self.size} cells is more than {MAX_EXPANSION}")
+        if math.prod(self.dims[f] for f in over) > MAX_EXPANSION:  # of each fibre, if some fields are kept
+            raise ValueError(f"{math.prod(self.dims[f] for f in over)} dense cells are more than {MAX_EXPANSION}")
         grid = self.df.select(*kept).distinct() if kept else None
         for f in over:
             axis = session().range(self.dims[f]).withColumnRenamed("id", f)
@@ -211,7 +211,7 @@ def repeated(op: Op, value, n: int):
 
 
 def _exact_product(dtype: np.dtype) -> Column:
-    """An integer product.  More than 63 factors beside 0, 1 and -1 leave 64 bits, where wrapping ends at zero."""
+    """An integer product modulo 2**64 as a single aggregate, for streams; it lists a group's factors beside 0, 1 and -1."""
     v = T.cast(F.col(VALUE), dtype, T.int64)
     parts = F.collect_list(F.when((v != 1) & (v != -1) & (v != 0), v))
     signs = F.count_if(v == -1) % 2
@@ -219,6 +219,26 @@ def _exact_product(dtype: np.dtype) -> Column:
     return F.when(F.count_if(v == 0) > 0, F.lit(0).cast("bigint")).otherwise(fold * F.when(signs == 1, -1).otherwise(1))
 
 
+#: A group's product is folded in as many parts, so that no list of a group's values grows with the group alone.
+PRODUCT_PARTS = 1 << 12
+
+
+def _product(df: DataFrame, kept: Sequence[str], dtype: np.dtype, out: np.dtype) -> DataFrame:
+    """Each group's product, integers modulo 2**64 or complex numbers, with the number of its cells (``__n``)."""
+    wide = T.complex128 if T.is_complex(out) else T.int64
+    multiply = OPS["multiply"]
+
+    def fold(values: Column) -> Column:
+        return F.aggregate(values, T.literal(1, wide), lambda x, y: multiply.build([x, y], [wide, wide], wide))
+
+    v = T.cast(F.col(VALUE), dtype, wide)
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(PRODUCT_PARTS)).alias("__part")
+    parts = df.select(*kept, v.alias(VALUE), part).groupBy(*kept, "__part").agg(fold(F.collect_list(VALUE)).alias(VALUE), F.count("*").alias("__n"))
+    whole = parts.groupBy(*kept).agg(F.collect_list(VALUE).alias("__all"), F.sum("__n").alias("__n"))
+    product = fold(F.col("__all"))
+    return whole.select(*kept, (product if T.is_complex(out) else T.wrap(product, out)).alias(VALUE), "__n")
+
+
 def _grouped(op: Op, dtype: np.dtype, out: np.dtype) -> Column | None:
     """The Spark aggregate of an operator over the stored values."""
     v = F.col(VALUE)
@@ -285,6 +305,8 @@ def aggregate(op: Op, rel: Relation, drop: Sequence[str], init=None, out: np.dty
         joined = rel.df.join(top, list(kept)) if kept else rel.df.crossJoin(top)
         shift = F.when(F.abs(F.col("__m")) == float("inf"), 0.0).otherwise(F.coalesce("__m", F.lit(0.0)))
         df = joined.groupBy(*kept).agg((F.log(F.sum(F.exp(F.col(VALUE) - shift))) + F.max(shift)).alias(VALUE), F.count("*").alias("__n"))
+    elif op.name == "multiply" and not T.is_float(out):
+        df = _product(source.df, kept, rel.dtype, out)
     elif found is not None:
         df = source.df.groupBy(*kept).agg(found.alias(VALUE), F.count("*").alias("__n"))
     elif op.name in ("choose", "first_arg", "overwrite"):

@@ -137,6 +137,11 @@ class Tensor:
         self.rel.df.persist()
         return self
 
+    def unpersist(self) -> Tensor:
+        """Gives the cached cells back; later plans compute them anew."""
+        self.rel.df.unpersist()
+        return self
+
     def explain(self, mode: str = "formatted") -> None:
         self.rel.df.explain(mode)
 
@@ -255,6 +260,8 @@ def _rmatmul(self, other):
 
 
 Tensor.__matmul__, Tensor.__rmatmul__ = _matmul, _rmatmul
+Tensor.__divmod__ = lambda self, other: (self // other, self % other)
+Tensor.__rdivmod__ = lambda self, other: (other // self, other % self)
 
 
 def from_numpy(array, fill=None, dtype=None) -> Tensor:
@@ -267,18 +274,44 @@ def from_numpy(array, fill=None, dtype=None) -> Tensor:
     if T.is_float(a.dtype) and fill == 0:
         keep |= np.signbit(a) != np.signbit(fill)
     at = np.nonzero(keep) if a.ndim else ()
-    values = a[keep] if a.ndim else (a.reshape(1) if keep else a.reshape(1)[:0])
-    columns = {f: pa.array(np.asarray(x, dtype=np.int64)) for f, x in zip(axis_names(a.ndim), at, strict=True)}
-    if T.is_complex(a.dtype):
+    return _from_cells(at, a[keep] if a.ndim else (a.reshape(1) if keep else a.reshape(1)[:0]), a.shape, fill)
+
+
+def _from_cells(at: Sequence[np.ndarray], values: np.ndarray, shape: Sequence[int], fill) -> Tensor:
+    """A tensor of stored cells at distinct coordinates."""
+    names, kind = axis_names(len(shape)), values.dtype
+    columns = {f: pa.array(np.asarray(x, dtype=np.int64)) for f, x in zip(names, at, strict=True)}
+    if T.is_complex(kind):
         columns[VALUE] = pa.StructArray.from_arrays([pa.array(values.real.astype(float)), pa.array(values.imag.astype(float))], names=["re", "im"])
-    elif a.dtype == T.uint64:
+    elif kind == T.uint64:
         columns[VALUE] = pa.array([int(x) for x in values], type=pa.decimal128(20, 0))
-    elif a.dtype.kind == "u":
-        columns[VALUE] = pa.array(values.astype({1: np.int16, 2: np.int32, 4: np.int64}[a.dtype.itemsize]))
+    elif kind.kind == "u":
+        columns[VALUE] = pa.array(values.astype({1: np.int16, 2: np.int32, 4: np.int64}[kind.itemsize]))
     else:
-        columns[VALUE] = pa.array(values.astype(np.float32) if a.dtype == T.float16 else values)
+        columns[VALUE] = pa.array(values.astype(np.float32) if kind == T.float16 else values)
     df = session().createDataFrame(pa.table(columns))
-    return Tensor(Relation(df, axis_names(a.ndim), dict(zip(axis_names(a.ndim), a.shape, strict=True)), fill, a.dtype))
+    return Tensor(Relation(df, names, dict(zip(names, shape, strict=True)), fill, kind))
+
+
+def from_coordinates(at: Sequence, values, shape: Sequence[int], dtype=None, fill=0) -> Tensor:
+    """A tensor from coordinate arrays on the driver, one for each axis; values at equal coordinates add up.  Nothing is densified."""
+    values = np.asarray(values, dtype=dtype)
+    at = [np.asarray(x, dtype=np.int64) for x in at]
+    for x, n in zip(at, shape, strict=True):
+        if len(x) and not (0 <= x.min() and x.max() < n):
+            raise ValueError(f"a coordinate lies outside of {n}")
+    fill = np.asarray(fill).astype(values.dtype)[()]
+    if len(values) and at:
+        order = np.lexsort(at[::-1])
+        at, values = [x[order] for x in at], values[order]
+        new = np.zeros(len(values), dtype=bool)
+        new[0] = True
+        for x in at:
+            new[1:] |= x[1:] != x[:-1]
+        first = np.flatnonzero(new)
+        at, values = [x[first] for x in at], np.add.reduceat(values, first).astype(values.dtype)
+    made = _from_cells(at, values, shape, fill)
+    return Tensor(made.rel.normal())
 
 
 def from_relation(df: DataFrame, index: Sequence[str], value: str | None, shape: Sequence[int], fill=0, dtype=None, reduce: str | None = "add") -> Tensor:
@@ -288,7 +321,7 @@ def from_relation(df: DataFrame, index: Sequence[str], value: str | None, shape:
     null coordinate or value are no cells.
     """
     from .functions.registry import OPS
-    from .relation import _grouped
+    from .relation import _grouped, _product
 
     col = F.lit(1).cast("bigint") if value is None else F.col(value)
     names = axis_names(len(index))
@@ -297,15 +330,17 @@ def from_relation(df: DataFrame, index: Sequence[str], value: str | None, shape:
     target = kind if dtype is None else T.as_dtype(dtype)
     cells = cells.select(*names, T.cast(F.col(VALUE), kind, target).alias(VALUE))
     rel = Relation(cells, names, dict(zip(names, shape, strict=True)), np.asarray(fill).astype(target)[()], target)
-    if reduce is not None:
+    if reduce == "multiply" and not T.is_float(target):
+        rel = Relation(_product(cells, names, target, target).select(*names, VALUE), names, rel.dims, rel.fill, target)
+    elif reduce is not None:
         rel = Relation(cells.groupBy(*names).agg(_grouped(OPS[reduce], target, target).alias(VALUE)), names, rel.dims, rel.fill, target)
     return Tensor(rel)
 
 
 def asarray(obj, /, *, dtype=None, device=None, copy=None, format=None, fill=None) -> Tensor:
-    """A tensor from a scalar, sequence, array, coordinate object (row, col, data) or tensor.
+    """A tensor from a scalar, sequence, array, sparse array (row, col, data, or coords, data) or tensor.
 
-    ``format`` is kept for callers: every format is stored as coordinates.
+    Sparse arrays keep their cells: nothing is densified.  ``format`` is kept for callers: every format is stored as coordinates.
     """
     if isinstance(obj, Tensor):
         if dtype is None or T.as_dtype(dtype) == obj.dtype:
@@ -313,11 +348,11 @@ def asarray(obj, /, *, dtype=None, device=None, copy=None, format=None, fill=Non
         from .operators.elementwise import astype
 
         return astype(obj, dtype)
+    if all(hasattr(obj, a) for a in ("coords", "data", "shape")) and not hasattr(obj, "row"):
+        return from_coordinates(list(obj.coords), obj.data, obj.shape, dtype, getattr(obj, "fill_value", 0))
     if hasattr(obj, "tocoo") or all(hasattr(obj, a) for a in ("row", "col", "data", "shape")):
         coo = obj.tocoo() if hasattr(obj, "tocoo") else obj
-        dense = np.zeros(coo.shape, dtype=dtype or coo.data.dtype)
-        np.add.at(dense, (coo.row, coo.col), coo.data)
-        return from_numpy(dense)
+        return from_coordinates((coo.row, coo.col), coo.data, coo.shape, dtype)
     return from_numpy(obj, fill, dtype)
 
 
