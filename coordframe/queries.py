@@ -476,7 +476,6 @@ for _name, (_function, _names, _sql) in _SHAPES.items():
 
 @query("create_patterns", "SELECT CAST(i AS BIGINT) i, CAST(i + 2 AS BIGINT) j, CAST(3 * i + 5 AS BIGINT) v FROM range(98) t(i)")
 def create_patterns(spark, sf_dir):
-    cf.asarray(0)
     return cells(cf.eye(100, k=2, dtype=cf.int64) * cf.expand_dims(cf.arange(5, 305, 3), 1), "i", "j")
 
 
@@ -522,60 +521,255 @@ def size_statistics(spark, sf_dir):
     return spark.createDataFrame([(int(s.nnz), s.distinct["i0"], s.distinct["i1"], s.degree["i1"])], "nnz long, parts long, suppliers long, degree long")
 
 
-# without SQL: factorisations and transforms; tests compare them with NumPy
+# factorisations and transforms: SQL gives the products that they must multiply back to
 
 
 def gram(spark, sf_dir) -> Tensor:
-    """The 64 by 64 matrix of products of embedding columns, well conditioned."""
+    """The 64 by 64 matrix of products of embedding columns plus the identity, well conditioned."""
     e = embedding(spark, sf_dir)
     return cf.matmul(e.T, e) + cf.eye(64)
 
 
-@query("linalg_solve_inv_det")
-def linalg_solve_inv_det(spark, sf_dir):
-    g = gram(spark, sf_dir)
-    inverse = cells(cf.linalg.inv(g), "i", "j", dense=True)
-    return inverse.crossJoin(cells(cf.linalg.det(g), value="det", dense=True)).join(cells(cf.linalg.solve(g, cf.ones((64,))), "i", value="x", dense=True), "i")
+_G = f"{_E}, G AS (SELECT a.j i, b.j j, SUM(a.v * b.v) + CASE WHEN a.j = b.j THEN 1 ELSE 0 END v FROM E a JOIN E b ON a.i = b.i GROUP BY a.j, b.j)"
+#: The determinant of the leading 3 by 3 block.
+_DET = """D AS (SELECT MAX(v) FILTER (i = 0 AND j = 0) a, MAX(v) FILTER (i = 0 AND j = 1) b, MAX(v) FILTER (i = 0 AND j = 2) c, MAX(v) FILTER (i = 1 AND j = 1) d,
+ MAX(v) FILTER (i = 1 AND j = 2) e, MAX(v) FILTER (i = 2 AND j = 2) f FROM G), DET AS (SELECT a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) x FROM D)"""
 
 
-@query("linalg_factors")
-def linalg_factors(spark, sf_dir):
-    g = gram(spark, sf_dir)
-    low, qr = cf.linalg.cholesky(g), cf.linalg.qr(g)
-    p, lo, up = cf.linalg.lu(g)
-    made = {"cholesky": low @ low.T, "qr": qr.Q @ qr.R, "lu": p @ lo @ up, "pinv": cf.linalg.pinv(g)}
+def side_by_side(made: dict[str, Tensor], digits: int = 5) -> DataFrame:
+    """Matrices as columns over their coordinates, each cell rounded."""
     out = None
     for name, t in made.items():
         part = cells(t, "i", "j", value=name, dense=True)
         out = part if out is None else out.join(part, ["i", "j"])
-    return out
+    return out.select("i", "j", *[rounded(F.col(c), digits).alias(c) for c in made])
 
 
-@query("linalg_spectra")
-def linalg_spectra(spark, sf_dir):
+@query("linalg_inverse", "SELECT CAST(i AS BIGINT) i, CAST(j AS BIGINT) j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END a, CASE WHEN i = j THEN 1.0 ELSE 0.0 END p FROM range(64) x(i), range(64) y(j)")
+def linalg_inverse(spark, sf_dir):
     g = gram(spark, sf_dir)
-    return columns(g, {"eigvalsh": cf.linalg.eigvalsh(g), "eigh": cf.linalg.eigh(g).eigenvalues, "svdvals": cf.linalg.svdvals(g), "svd": cf.linalg.svd(g).S}, "i").crossJoin(
-        cells(cf.linalg.matrix_rank(g), value="rank", dense=True).crossJoin(cells(cf.linalg.slogdet(g).logabsdet, value="logdet", dense=True))
+    return side_by_side({"a": g @ cf.linalg.inv(g), "p": cf.linalg.pinv(g) @ g}, 6)
+
+
+@query("linalg_solve", "SELECT CAST(i AS BIGINT) i, i + 1.0 v FROM range(64) x(i)")
+def linalg_solve(spark, sf_dir):
+    g = gram(spark, sf_dir)
+    return cells(g @ cf.linalg.solve(g, cf.arange(1.0, 65.0)), "i", dense=True).withColumn("v", rounded(F.col("v")))
+
+
+@query("linalg_factors", f"WITH {_G} SELECT i, j, ROUND(v, 5) + 0.0 l, ROUND(v, 5) + 0.0 q, ROUND(v, 5) + 0.0 p, ROUND(v, 5) + 0.0 e, ROUND(v, 5) + 0.0 s FROM G")
+def linalg_factors(spark, sf_dir):
+    g = gram(spark, sf_dir)
+    low, qr, eig, svd = cf.linalg.cholesky(g), cf.linalg.qr(g), cf.linalg.eigh(g), cf.linalg.svd(g)
+    p, lo, up = cf.linalg.lu(g)
+    return side_by_side(
+        {
+            "l": low @ low.T,
+            "q": qr.Q @ qr.R,
+            "p": p @ lo @ up,
+            "e": (eig.eigenvectors * cf.expand_dims(eig.eigenvalues, 0)) @ eig.eigenvectors.T,
+            "s": (svd.U * cf.expand_dims(svd.S, 0)) @ svd.Vh,
+        }
     )
 
 
-@query("fft_rows")
+@query(
+    "linalg_spectra",
+    f"WITH {_G}, {_DET} SELECT ROUND((SELECT SUM(v) FROM G WHERE i = j), 5) trace, ROUND((SELECT SUM(v * v) FROM G), 4) squares, CAST(64 AS BIGINT) AS \"rank\", ROUND((SELECT x FROM DET), 5) det, ROUND((SELECT LN(x) FROM DET), 5) logdet, ROUND((SELECT SUM(v) FROM G WHERE i = j), 5) nuclear",
+)
+def linalg_spectra(spark, sf_dir):
+    g = gram(spark, sf_dir)
+    corner, values = g[:3, :3], cf.linalg.svdvals(g)
+    made = {
+        "trace": cf.sum(cf.linalg.eigvalsh(g)),
+        "squares": cf.sum(values * values),
+        "rank": cf.linalg.matrix_rank(g),
+        "det": cf.linalg.det(corner),
+        "logdet": cf.linalg.slogdet(corner).logabsdet,
+        "nuclear": cf.linalg.matrix_norm(g, ord="nuc"),
+    }
+    out = None
+    for name, t in made.items():
+        part = cells(t, value=name, dense=True)
+        out = part if out is None else out.crossJoin(part)
+    return out.select(*[F.col(c) if c == "rank" else rounded(F.col(c), 4 if c == "squares" else 5).alias(c) for c in made])
+
+
+_WAVE = "FROM E, range(64) t(k) GROUP BY i, k"
+
+
+@query("fft_rows", f"WITH {_E} SELECT i, CAST(k AS BIGINT) k, ROUND(SUM(v * COS(2 * PI() * j * k / 64)), 5) + 0.0 re, ROUND(SUM(-v * SIN(2 * PI() * j * k / 64)), 5) + 0.0 im {_WAVE}")
 def fft_rows(spark, sf_dir):
     f = cf.fft.fft(embedding(spark, sf_dir), axis=1)
-    return cells(cf.real(f), "i", "k", value="re", dense=True).join(cells(cf.imag(f), "i", "k", value="im", dense=True), ["i", "k"])
+    made = cells(cf.real(f), "i", "k", value="re", dense=True).join(cells(cf.imag(f), "i", "k", value="im", dense=True), ["i", "k"])
+    return made.select("i", "k", rounded(F.col("re"), 5).alias("re"), rounded(F.col("im"), 5).alias("im"))
+
+
+@query("fft_power", f"WITH {_E} SELECT i, CAST(k AS BIGINT) k, ROUND(POW(SUM(v * COS(2 * PI() * j * k / 64)), 2) + POW(SUM(v * SIN(2 * PI() * j * k / 64)), 2), 5) + 0.0 v {_WAVE} HAVING k <= 32")
+def fft_power(spark, sf_dir):
+    """The power spectrum of real rows."""
+    f = cf.fft.rfft(embedding(spark, sf_dir), axis=1)
+    return cells(cf.square(cf.abs(f)), "i", "k", dense=True).withColumn("v", rounded(F.col("v"), 5))
 
 
-@query("fft_round_trip")
+@query("fft_round_trip", f"WITH {_E} SELECT i, j, ROUND(v, 6) + 0.0 a, ROUND(v, 6) + 0.0 b, ROUND(v, 6) + 0.0 c, ROUND(v, 6) + 0.0 d, ROUND(v, 6) + 0.0 e FROM E")
 def fft_round_trip(spark, sf_dir):
-    e = embedding(spark, sf_dir)
-    a, b = cf.fft.irfft(cf.fft.rfft(e)), cf.real(cf.fft.ifftn(cf.fft.fftn(e)))
-    return cells(a, "i", "j", value="a", dense=True).join(cells(b, "i", "j", value="b", dense=True), ["i", "j"])
+    e, fft = embedding(spark, sf_dir), cf.fft
+    made = {"a": fft.irfft(fft.rfft(e)), "b": cf.real(fft.ifftn(fft.fftn(e))), "c": fft.hfft(fft.ihfft(e)), "d": fft.irfftn(fft.rfftn(e)), "e": cf.real(fft.ifft(fft.fft(e, axis=0), axis=0))}
+    return side_by_side(made, 6)
+
+
+@query("fft_frequencies", "SELECT CAST(i AS BIGINT) i, ROUND(CASE WHEN i < 5 THEN i ELSE i - 9 END / 4.5, 6) f, ROUND((i - 4) / 4.5, 6) s, ROUND(CASE WHEN i < 5 THEN i ELSE i - 9 END / 4.5, 6) b FROM range(9) t(i)")
+def fft_frequencies(spark, sf_dir):
+    f = cf.fft.fftfreq(9, d=0.5)
+    made = columns(f, {"f": f, "s": cf.fft.fftshift(f), "b": cf.fft.ifftshift(cf.fft.fftshift(f))}, "i")
+    return made.select("i", *[rounded(F.col(c)).alias(c) for c in "fsb"])
 
 
-@query("special_functions")
+@query("fft_real_frequencies", "SELECT CAST(i AS BIGINT) i, ROUND(i / 10.0, 6) v FROM range(6) t(i)")
+def fft_real_frequencies(spark, sf_dir):
+    return cells(cf.fft.rfftfreq(10), "i", dense=True).withColumn("v", rounded(F.col("v")))
+
+
+@query(
+    "special_functions",
+    """SELECT c_custkey k, nextafter(c_acctbal, 1e9) n, ROUND(LN(EXP(c_acctbal / 1000) + EXP(1.0)), 6) g, -ABS(c_acctbal) c, c_acctbal < 0 z, ROUND(SQRT(c_acctbal * c_acctbal + 9), 6) h FROM customer""",
+)
 def special_functions(spark, sf_dir):
     b = balances(spark, sf_dir)
-    return columns(b, {"n": cf.nextafter(b, 1e9), "g": cf.logaddexp(b / 1000, 1.0), "c": cf.copysign(b, -1.0), "z": cf.signbit(b), "h": cf.hypot(b, 3.0)}, "k")
+    got = columns(b, {"n": cf.nextafter(b, 1e9), "g": cf.logaddexp(b / 1000, 1.0), "c": cf.copysign(b, -1.0), "z": cf.signbit(b), "h": cf.hypot(b, 3.0)}, "k")
+    return got.withColumn("g", rounded(F.col("g"))).withColumn("h", rounded(F.col("h")))
+
+
+_X = "c_acctbal / 10000"
+
+
+@query(
+    "math_logarithms",
+    "SELECT c_custkey k, ROUND(LN(ABS(c_acctbal) + 1), 6) a, ROUND(LOG2(ABS(c_acctbal) + 1), 6) b, ROUND(LOG10(ABS(c_acctbal) + 1), 6) c, ROUND(EXP(c_acctbal / 10000) - 1, 6) + 0.0 d, ROUND(SQRT(ABS(c_acctbal) + 1), 6) e FROM customer",
+)
+def math_logarithms(spark, sf_dir):
+    b = balances(spark, sf_dir)
+    x = cf.abs(b) + 1.0
+    made = {"a": cf.log(x), "b": cf.log2(x), "c": cf.log10(x), "d": cf.expm1(b / 10000), "e": cf.sqrt(x)}
+    return columns(b, made, "k").select("k", *[rounded(F.col(c)).alias(c) for c in made])
+
+
+@query(
+    "math_trigonometry",
+    f"SELECT c_custkey k, ROUND(COS(c_acctbal), 6) + 0.0 a, ROUND(TAN({_X}), 6) + 0.0 b, ROUND(ASIN({_X}), 6) + 0.0 c, ROUND(ACOS({_X}), 6) + 0.0 d, ROUND(ATAN(c_acctbal), 6) + 0.0 e FROM customer",
+)
+def math_trigonometry(spark, sf_dir):
+    b = balances(spark, sf_dir)
+    x = b / 10000
+    made = {"a": cf.cos(b), "b": cf.tan(x), "c": cf.asin(x), "d": cf.acos(x), "e": cf.atan(b)}
+    return columns(b, made, "k").select("k", *[rounded(F.col(c)).alias(c) for c in made])
+
+
+@query(
+    "math_hyperbolic",
+    f"SELECT c_custkey k, ROUND((EXP({_X}) - EXP(-({_X}))) / 2, 6) + 0.0 a, ROUND((EXP({_X}) + EXP(-({_X}))) / 2, 6) + 0.0 b, ROUND(LN({_X} + SQRT({_X} * {_X} + 1)), 6) + 0.0 c, ROUND(LN(ABS({_X}) + 1 + SQRT((ABS({_X}) + 1) * (ABS({_X}) + 1) - 1)), 6) + 0.0 d, ROUND(LN((1 + {_X}) / (1 - {_X})) / 2, 6) + 0.0 e FROM customer",
+)
+def math_hyperbolic(spark, sf_dir):
+    b = balances(spark, sf_dir)
+    x = b / 10000
+    made = {"a": cf.sinh(x), "b": cf.cosh(x), "c": cf.asinh(x), "d": cf.acosh(cf.abs(x) + 1.0), "e": cf.atanh(x)}
+    return columns(b, made, "k").select("k", *[rounded(F.col(c)).alias(c) for c in made])
+
+
+@query("math_signs", "SELECT c_custkey k, ROUND(1 / (ABS(c_acctbal) + 1), 6) r, -c_acctbal n, c_acctbal p, ROUND(c_acctbal * c_acctbal, 4) s FROM customer")
+def math_signs(spark, sf_dir):
+    b = balances(spark, sf_dir)
+    got = columns(b, {"r": cf.reciprocal(cf.abs(b) + 1.0), "n": cf.negative(b), "p": cf.positive(b), "s": cf.square(b)}, "k")
+    return got.select("k", rounded(F.col("r")).alias("r"), (F.col("n") + 0.0).alias("n"), "p", rounded(F.col("s"), 4).alias("s"))
+
+
+@query("math_remainders", "SELECT p_partkey k, CAST((p_size - 25) - 7 * FLOOR((p_size - 25) / 7.0) AS BIGINT) m, CAST(FLOOR((p_size - 25) / 7.0) AS BIGINT) q, CAST(p_size AS BIGINT) c FROM part")
+def math_remainders(spark, sf_dir):
+    s = sizes(spark, sf_dir)
+    quotient, rest = divmod(s - 25, 7)
+    return columns(s, {"m": rest, "q": quotient, "c": quotient * 7 + rest + 25}, "k")
+
+
+@query("cmp_more", "SELECT p_partkey k, p_size <> 7 n, p_size >= 25 g, p_size < 10 l, p_size <> 7 d, p_size = 7 s FROM part")
+def cmp_more(spark, sf_dir):
+    s = sizes(spark, sf_dir)
+    made = {"n": cf.not_equal(s, 7), "g": cf.greater_equal(s, 25), "l": cf.less(s, 10), "d": cf.not_same(s, 7), "s": cf.same(s, 7)}
+    return columns(s, made, "k")
+
+
+@query("cmp_classes", "SELECT c_custkey k, c_acctbal > 5000 n, c_acctbal < 0 i, NOT (c_acctbal > 5000 OR c_acctbal < 0) f FROM customer")
+def cmp_classes(spark, sf_dir):
+    """NaN, infinite and finite cells."""
+    b = balances(spark, sf_dir)
+    x = cf.where(b > 5000, float("nan"), cf.where(b < 0, float("inf"), b))
+    return columns(x, {"n": cf.isnan(x), "i": cf.isinf(x), "f": cf.isfinite(x)}, "k")
+
+
+_ZC = f"{_E}, C AS (SELECT i, j, v re, 2 * v - 1 im FROM E WHERE j < 8)"
+
+
+@query(
+    "complex_functions",
+    f"""WITH {_ZC} SELECT i, j, ROUND(EXP(re) * COS(im), 5) + 0.0 a, ROUND(EXP(re) * SIN(im), 5) + 0.0 b, ROUND(LN(SQRT(re * re + im * im)), 5) + 0.0 c, ROUND(SIN(re) * (EXP(im) + EXP(-im)) / 2, 5) + 0.0 d,
+    ROUND(SQRT((SQRT(re * re + im * im) + re) / 2), 5) + 0.0 e, ROUND(re * re - im * im, 5) + 0.0 f, ROUND(-im, 5) + 0.0 g, ROUND(SQRT(re * re + im * im), 5) h FROM C""",
+)
+def complex_functions(spark, sf_dir):
+    e = embedding(spark, sf_dir)[:, :8]
+    z = e + (e * 2 - 1) * 1j
+    made = {"a": cf.real(cf.exp(z)), "b": cf.imag(cf.exp(z)), "c": cf.real(cf.log(z)), "d": cf.real(cf.sin(z)), "e": cf.real(cf.sqrt(z)), "f": cf.real(z**2.0), "g": cf.imag(cf.conj(z)), "h": cf.abs(z)}
+    return side_by_side(made, 5)
+
+
+@query("create_constants", "SELECT CAST(i AS BIGINT) i, CAST(j AS BIGINT) j, CAST(7 AS BIGINT) f, CAST(0 AS BIGINT) z, CAST(1 AS BIGINT) o, CAST(5 AS BIGINT) l FROM range(4) x(i), range(3) y(j)")
+def create_constants(spark, sf_dir):
+    f = cf.full((4, 3), 7)
+    made = {"f": f, "z": cf.zeros_like(f) + cf.empty_like(f), "o": cf.ones_like(f), "l": cf.full_like(f, 5)}
+    out = None
+    for name, t in made.items():
+        part = cells(t, "i", "j", value=name, dense=True)
+        out = part if out is None else out.join(part, ["i", "j"])
+    return out
+
+
+_MASKS = {
+    "mask_upper": (lambda: cf.upper_triangle(40, 30, 2), "j - i >= 2", 40, 30),
+    "mask_lower": (lambda: cf.lower_triangle(30, 40, -1), "j - i <= -1", 30, 40),
+    "mask_reverse": (lambda: cf.reverse_tensor(50), "j = 49 - i", 50, 50),
+    "mask_roll": (lambda: cf.roll_tensor(50, 3), "j = (i + 47) % 50", 50, 50),
+    "mask_repeat": (lambda: cf.repeat_tensor(20, 3), "j = i // 3", 60, 20),
+}
+for _name, (_make_mask, _test, _n, _m) in _MASKS.items():
+
+    def _run_mask(spark, sf_dir, make=_make_mask):
+        return cells(make(), "i", "j")
+
+    query(_name, f"SELECT CAST(i AS BIGINT) i, CAST(j AS BIGINT) j, true v FROM range({_n}) x(i), range({_m}) y(j) WHERE {_test}")(_run_mask)
+
+
+@query("mask_vectors", "SELECT CAST(i AS BIGINT) i, i % 2 = 1 p, i = 6 o FROM range(20) t(i)")
+def mask_vectors(spark, sf_dir):
+    p = cf.parity_mask(20, odd=True)
+    return columns(p, {"p": p, "o": cf.one_hot(20, 6)}, "i")
+
+
+@query("reduce_custom_init", f"WITH {_M} SELECT i k, CAST(100 + SUM(v) AS BIGINT) a, GREATEST(9, MAX(v)) m FROM M GROUP BY 1")
+def reduce_custom_init(spark, sf_dir):
+    m = grid(spark, sf_dir)
+    return columns(m, {"a": cf.reduce("add", m, axis=1, init=100), "m": cf.max(m, axis=1, init=9), "n": cf.any(m, axis=1)}, "k").where("n").drop("n")
+
+
+@query("sort_vector", "SELECT ROW_NUMBER() OVER (ORDER BY c_acctbal, c_custkey) - 1 r, c_acctbal v, c_custkey a FROM customer")
+def sort_vector(spark, sf_dir):
+    b = balances(spark, sf_dir)
+    return columns(b, {"v": cf.sort(b), "a": cf.argsort(b)}, "r")
+
+
+@query("cumulative_vector", "SELECT c_custkey k, CAST(SUM(CAST(ROUND(c_acctbal * 100) AS BIGINT)) OVER (ORDER BY c_custkey) AS BIGINT) s, MAX(CAST(ROUND(c_acctbal * 100) AS BIGINT)) OVER (ORDER BY c_custkey) m FROM customer")
+def cumulative_vector(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer").withColumn("c", F.round(F.col("c_acctbal") * 100).cast("bigint"))
+    c = from_relation(customer, ["c_custkey"], "c", extent(customer, "c_custkey"))
+    return columns(c, {"s": cf.cumulative_sum(c), "m": cf.cumulative("maximum", c)}, "k")
 
 
 @query("events_windowed", "SELECT date_trunc('hour', ts) w, user_id u, COUNT(*) v FROM events GROUP BY 1, 2")

@@ -43,16 +43,8 @@ def test_sql(name, spark, sf_dir, duck):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(tensor_queries.QUERIES) - set(tensor_queries.ORACLES)))
-def test_runs(name, spark, sf_dir):
-    assert tensor_queries.QUERIES[name](spark, sf_dir).count() > 0
-
-
-def test_factors_multiply_back(spark, sf_dir):
-    rows = tensor_queries.linalg_factors(spark, sf_dir).collect()
-    for r in rows:
-        assert r["cholesky"] == pytest.approx(r["qr"], rel=1e-9, abs=1e-9)
-        assert r["lu"] == pytest.approx(r["qr"], rel=1e-9, abs=1e-9)
+def test_every_query_has_sql():
+    assert set(tensor_queries.QUERIES) == set(tensor_queries.ORACLES)
 
 
 def test_entry(spark, sf_dir):

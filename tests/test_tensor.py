@@ -127,6 +127,128 @@ def test_long_searchsorted_of_large_integers(monkeypatch):
             check(cf.searchsorted(cf.asarray(edges), cf.asarray(s), side=side), np.searchsorted(edges, s, side=side))
 
 
+Z = np.array([0.5 + 2j, -1.5 - 0.25j, 3 + 0j, -2 + 1e-3j, 1j, -0.75j, 0.3 - 4j, 25 + 1j, -30 - 2j])
+
+
+def test_complex_functions():
+    t = cf.asarray(Z)
+    with np.errstate(all="ignore"):
+        for name in "sqrt exp expm1 log log1p log2 log10 sin cos tan sinh cosh tanh sign square reciprocal negative".split():
+            np.testing.assert_allclose(getattr(cf, name)(t).to_numpy(), getattr(np, name)(Z), rtol=1e-10, atol=1e-12, err_msg=name)
+        for name, host in (("asin", np.arcsin), ("acos", np.arccos), ("atan", np.arctan), ("asinh", np.arcsinh), ("acosh", np.arccosh), ("atanh", np.arctanh)):
+            z = np.array([x for x in Z if x not in (3 + 0j, 1j)])  # on the cuts and poles
+            np.testing.assert_allclose(getattr(cf, name)(cf.asarray(z)).to_numpy(), host(z), rtol=1e-9, atol=1e-12, err_msg=name)
+        zero = np.array([0j, 1 + 0j])
+        for name in "sqrt exp sin tanh sign".split():
+            np.testing.assert_allclose(getattr(cf, name)(cf.asarray(zero)).to_numpy(), getattr(np, name)(zero), atol=1e-15)
+        powers = np.array([2, 0.5j, 0, -1, 2 - 1j, 3, 1, 0.5, 0.1])
+        np.testing.assert_allclose((t ** cf.asarray(powers.astype(complex))).to_numpy(), Z**powers, rtol=1e-9)
+        np.testing.assert_allclose((cf.from_numpy(zero, 1) ** 0.0).to_numpy(), zero**0.0)
+
+
+def test_products_of_any_size(monkeypatch):
+    from coordframe import relation
+
+    for parts in (1, 3, 4096):
+        monkeypatch.setattr(relation, "PRODUCT_PARTS", parts)
+        check(cf.prod(cf.asarray(Z)), np.prod(Z), 1e-9)
+        check(cf.prod(cf.from_numpy(Z.reshape(3, 3), 1 + 1j), axis=0), np.prod(Z.reshape(3, 3), axis=0), 1e-9)
+        check(cf.prod(cf.asarray(np.array([[3, -1, 2], [0, 5, 1]])), axis=1), [-6, 0])
+
+
+def test_integer_powers(spark):
+    base, n = np.array([3, -3, 7, 2, -2, 0, 1, -1, 10]), np.array([39, 39, 22, 62, 63, 0, 200, 201, 18])
+    check(cf.asarray(base) ** cf.asarray(n), base**n)
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        check(cf.asarray(base) ** cf.asarray(n + 64), base ** (n + 64))
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+
+
+def test_divmod():
+    a, b = np.array([7, -7, 9]), np.array([2, 2, -4])
+    for got, want in zip(divmod(cf.asarray(a), cf.from_numpy(b, 3)), divmod(a, b), strict=True):
+        check(got, want)
+    for got, want in zip(divmod(20, cf.asarray(b)), divmod(20, b), strict=True):
+        check(got, want)
+
+
+@pytest.mark.parametrize("fill", [0.0, 2.0, 1.0])
+def test_variance_of_stored_cells(fill):
+    for a in (X, np.array([[1.5, np.nan], [3, 4]]), X.astype("float32")):
+        for axis in (None, 0, (0, 1)):
+            for correction in (0, 1):
+                got = cf.var(cf.from_numpy(a, fill), axis=axis, correction=correction)
+                assert got.dtype == a.dtype
+                check(got, np.var(a, axis=axis, ddof=correction), 1e-6 if a.dtype == np.float32 else 1e-12)
+    z = Z.reshape(3, 3)
+    check(cf.var(cf.from_numpy(z, fill), axis=0), np.var(z, axis=0), 1e-10)
+    check(cf.std(cf.asarray(X), axis=1, keepdims=True), np.std(X, axis=1, keepdims=True))
+    n = 1 << 18
+    wide = cf.from_coordinates(([5], [7]), [3.0], (n, n))
+    assert cf.var(wide).item() == pytest.approx(9 / n**2 - (3 / n**2) ** 2, rel=1e-9)
+    assert cf.std(wide, axis=0).to_df().count() == 1
+
+
+def test_huge_arg_extremes():
+    """Positions beyond 2**40 cells, of stored cells and of the first that isn't."""
+    n = 1 << 21
+    t = cf.from_coordinates(([0, 0, 5], [0, 1, 3]), [2, 7, -4], (n, n))
+    assert cf.argmax(t).item() == 1 and cf.argmin(t).item() == 5 * n + 3
+    up = cf.from_coordinates(([0, 0, 5], [0, 1, 3]), [2, 7, 4], (n, n))
+    assert cf.argmin(up).item() == 2
+    check(cf.argmax(cf.from_coordinates(([1], [0]), [-3], (3, 2)), axis=0), [0, 0])
+
+
+@pytest.mark.parametrize("ranges", [2, 64])
+def test_vectors_in_blocks(monkeypatch, ranges):
+    from coordframe.operators import reductions
+
+    monkeypatch.setattr(reductions, "SCAN_BLOCK", 4)
+    monkeypatch.setattr(reductions, "SORT_RANGES", ranges)
+    rng = np.random.default_rng(3)
+    v = rng.integers(-3, 4, 37)
+    for x in (v, v.astype(float), np.where(v == 2, np.nan, v.astype(float)), np.r_[v.astype(float), np.inf, -np.inf]):
+        t = cf.asarray(x)
+        check(cf.cumulative_sum(t) if not np.isinf(x).any() else cf.cumulative("add", t), np.cumsum(x))
+        check(cf.cumulative("maximum", t), np.maximum.accumulate(x))
+        check(cf.cumulative("minimum", t), np.minimum.accumulate(x))
+        check(cf.cumulative_prod(t), np.cumprod(x))
+        check(cf.sort(t), np.sort(x))
+        check(cf.argsort(t), np.argsort(x, kind="stable"))
+        check(cf.argsort(t, descending=True), np.argsort(np.where(np.isnan(x), np.inf, -x) if x.dtype.kind == "f" else -x, kind="stable"))
+    check(cf.cumulative("logical_or", cf.asarray(v > 2)), np.logical_or.accumulate(v > 2))
+    check(cf.sort(cf.asarray(v > 0)), np.sort(v > 0))
+    many = np.full(50, 4.0)  # ties
+    check(cf.argsort(cf.asarray(many)), np.arange(50))
+
+
+def test_sparse_arrays_keep_their_cells():
+    class Coo:
+        row, col, data, shape = np.array([3, 0, 3]), np.array([1, 2, 1]), np.array([5, 7, -1]), (1 << 40, 1 << 40)
+
+    t = cf.asarray(Coo())
+    assert t.shape == Coo.shape and sorted(map(tuple, t.to_df().collect())) == [(0, 2, 7), (3, 1, 4)]
+
+    class Coords:
+        coords, data, shape, fill_value = np.array([[0, 1], [2, 0], [1, 1]]), np.array([1.5, 2.0]), (2, 3, 2), 2.0
+
+    want = np.full((2, 3, 2), 2.0)
+    want[0, 2, 1] = 1.5
+    check(cf.asarray(Coords()), want)
+    with pytest.raises(ValueError):
+        cf.from_coordinates(([3],), [1], (3,))
+
+
+def test_expansion_is_bounded():
+    with pytest.raises(ValueError):
+        cf.zeros((1 << 20, 1 << 20)).rel.dense()
+    with pytest.raises(ValueError):
+        cf.from_coordinates(([0], [0]), [1], (4, 1 << 40)).rel.dense(["i1"])
+
+
 def test_shapes():
     a, t = A, cf.asarray(A)
     check(t.T, a.T)
