@@ -234,7 +234,11 @@ def _svm(x: np.ndarray, y: np.ndarray, c: float, rounds: int) -> tuple[np.ndarra
     pos = max(1, int((y > 0).sum()))
     cost = (np.where(y > 0, len(y) / (2 * pos), len(y) / (2 * max(1, len(y) - pos))) * c / len(y)).astype(x.dtype)
     xb = np.c_[x, np.ones(len(x), dtype=x.dtype)]
-    step = 1.0 / (1.0 + 2 * np.linalg.norm(xb * np.sqrt(cost)[:, None], 2) ** 2)
+    top = np.ones(xb.shape[1], dtype=x.dtype)  # the largest curvature, by power iteration, and some room above it
+    for _ in range(30):
+        top /= np.linalg.norm(top)
+        top = xb.T @ (cost * (xb @ top))
+    step = 1.0 / (1.0 + 2.2 * float(np.linalg.norm(top)))
     w = v = np.zeros(xb.shape[1], dtype=x.dtype)
     y = y.astype(x.dtype)
     t = 1.0
@@ -319,7 +323,7 @@ def train(sample: list[tuple[str, int]], landmarks: int = 160, rounds: int = 4,
         basis = _Landmarks(marks)
         x = basis.embed(positives + negatives).astype(np.float32)
         y = np.r_[np.ones(len(positives)), -np.ones(len(negatives))]
-        model = basis.fold(*_svm(x, y, 1000.0, 300))
+        model = basis.fold(*_svm(x, y, 1000.0, 300 if k == rounds - 1 else 120))  # the first rounds only find the next strings
     pairs = [everything[i] for i in sorted(hidden)] + bags[:: max(1, len(bags) // 600)]
     score = _lookup(model, {w for b, _, _ in pairs for w in b})
     worst = [max(b, key=lambda w: (score[w], w), default="") for b, _, _ in pairs]
@@ -442,13 +446,16 @@ class _Landmarks:
 
     def embed(self, strings: list[str]) -> np.ndarray:
         parts = []
-        for i in range(0, len(strings), 1000):
-            part = strings[i : i + 1000]
+        for i in range(0, len(strings), 500):
+            part = strings[i : i + 500]
             chars, owner = _codes(part)
-            row = np.zeros((len(part), len(self.triples)))
-            for a, b, c, o, w in _triples(chars, owner):
-                t = self.number[(self._code(a) * self.size + self._code(b)) * self.size + self._code(c)]
-                np.add.at(row, (o[t >= 0], t[t >= 0]), w)
+            code = self._code(chars)
+            at, weight = [], []
+            for a, b, c, o, w in _triples(np.arange(1, len(chars) + 1) * (chars > 0), owner):  # places in place of characters
+                t = self.number[(code[a - 1] * self.size + code[b - 1]) * self.size + code[c - 1]]
+                at.append((o * len(self.triples) + t)[t >= 0])
+                weight.append(np.full(len(at[-1]), w))
+            row = np.bincount(np.concatenate(at), np.concatenate(weight), minlength=len(part) * len(self.triples)).reshape(len(part), -1)
             parts.append((row @ self.phi.T) / np.maximum(_norms(chars, owner, len(part)), 1e-12)[:, None])
         return np.concatenate(parts) @ self.half
 
