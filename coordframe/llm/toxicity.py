@@ -15,9 +15,10 @@ model folds into one weight for each triple and scoring costs a table lookup per
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -146,7 +147,7 @@ class ToxicityModel:
             out[hot] = raw[hot] / np.maximum(_norms(*_codes(some), len(some)), 1e-12)
         return out
 
-    def phrases(self, texts: list[list[str]]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def phrases(self, texts: Iterable[list[str]]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For runs of words, all their phrases: the joined words, and each phrase's text, first and last mark, and a bound of its margin.
 
         A phrase's sum is a difference of running sums.  Its norm is at least that of triples which all differ,
@@ -194,7 +195,7 @@ class ToxicityModel:
         text = np.array([k for k, _ in runs], dtype=np.int64)[np.concatenate(owner)]
         return joined, text, start, end, np.maximum(raw, 0) / np.sqrt(least) * (1 + 1e-5)
 
-    def with_phrases(self, texts: list[list[str]], floor: np.ndarray) -> tuple[np.ndarray, dict[int, str]]:
+    def with_phrases(self, texts: Iterable[list[str]], floor: np.ndarray) -> tuple[np.ndarray, dict[int, str]]:
         """Each text's highest margin, ``floor`` (that of its words) or a phrase's, and the phrases that exceed the floor.
 
         Only phrases whose bound exceeds what their text has are computed: its top one, then what is left.
@@ -213,7 +214,7 @@ class ToxicityModel:
                 bound[at] = 0
         return best, which
 
-    def worst_phrases(self, texts: list[list[str]], level: float, most: int) -> dict[str, float]:
+    def worst_phrases(self, texts: Iterable[list[str]], level: float, most: int) -> dict[str, float]:
         """About the ``most`` phrases of highest margin over ``level``."""
         found: dict[str, float] = {}
         for joined, _, start, end, bound in self.phrases(texts):
@@ -261,8 +262,17 @@ def train(sample: list[tuple[str, int]], landmarks: int = 160, rounds: int = 4,
     if len({y for _, y in sample}) < 2:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(1, np.float32), -10.0, 6.0)
     rng = np.random.default_rng(seed)
-    same: dict[str, str] = {}  # each word held once
-    everything = _without_copies([(sorted(strings_of(t)), y, [same.setdefault(w, w) for w in words_of(t)]) for t, y in sample])
+    vocabulary: dict[str, int] = {}  # each word is held once, and texts are numbers of words
+
+    def numbers(words: list[str]) -> np.ndarray:
+        return np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], dtype=np.int32)
+
+    everything = _without_copies([(sorted(map(sys.intern, strings_of(t))), y, numbers([sys.intern(w) for w in words_of(t)])) for t, y in sample])
+    names = list(vocabulary)
+
+    def spelled(text: np.ndarray) -> list[str]:
+        return [names[i] for i in text.tolist()]
+
     back = rng.permutation(len(everything))[: len(everything) // 5]  # kept back for the sigmoid
     hidden = set(back.tolist())
     bags = [b for i, b in enumerate(everything) if i not in hidden]
@@ -276,9 +286,10 @@ def train(sample: list[tuple[str, int]], landmarks: int = 160, rounds: int = 4,
             excess[w] = (k - expected) / (expected + 1) ** 0.5
     bar = 3.0 + 0.5 * np.log10(1 + len(excess))
     doubtful = {w for w in excess if excess[w] > bar and seen[1][w] > 6 * seen[0][w] * scale}
-    phrases = _Phrases([(words, y) for _, y, words in bags])
+    phrases = _Phrases([(words, y) for _, y, words in bags], vocabulary)
     in_text, clean_texts = phrases.doubtful(scale, doubtful)
     clean_texts.update((w, seen[0][w]) for w in doubtful)
+    excess.clear()
     suspects: list[str] = []  # greedy cover: each next string explains the most toxic texts still unexplained
     left = [(set(b) & doubtful | in_text.get(k, set()), [1.0]) for k, (b, y, _) in enumerate(bags) if y]  # an explained text counts 0.3
     while len(suspects) < landmarks * 3 // 4:
@@ -304,30 +315,29 @@ def train(sample: list[tuple[str, int]], landmarks: int = 160, rounds: int = 4,
     negatives += [x for s in negatives[:300] for x in _noisy(s, rng)[:2]]
     negatives += phrases.sample(0, 2500, rng)
     marks, witness = suspects + [w for w in clean if len(w) > 1][: landmarks - len(suspects)], set(suspects)
-    clean_words = [words for _, y, words in bags if not y]
     for k in range(rounds):
         if k:
             score = _lookup(model, {w for b, _, _ in bags for w in b})
             toxic = [(max(b, key=lambda w: (score[w], w)), words) for b, y, words in bags if y and b]
-            margins, which = model.with_phrases([words for _, words in toxic], np.array([score[w] for w, _ in toxic]))
+            margins, which = model.with_phrases((spelled(words) for _, words in toxic), np.array([score[w] for w, _ in toxic]))
             witness = {which.get(i, w) for i, (w, _) in enumerate(toxic) if margins[i] + model.bias > -0.5}
             witness = {w for w in witness if w not in seen[0] and not (MARK in w and phrases.clean(w))}
             hard = sorted((w for w in seen[0] if score[w] + model.bias > -0.8), key=lambda w: (-score[w], w))
             marks = marks + [w for w in hard if w not in set(marks)][: landmarks // 2]
-            close = {w: m for w, m in model.worst_phrases(clean_words, -0.8 - model.bias, 800).items() if w not in set(suspects)}
+            close = {w: m for w, m in model.worst_phrases((spelled(words) for _, y, words in bags if not y), -0.8 - model.bias, 800).items() if w not in set(suspects)}
             score.update(close)
             marks = marks + [w for w in close if w not in set(marks)][: landmarks // 4]
             negatives = negatives + [w for w in [*hard[:800], *close] for _ in range(1 + 2 * (score[w] + model.bias > -0.3))]  # the worst weigh more
         positives = sorted((witness | set(suspects)) - set(clean))
         positives += suspects + [x for s in positives[:600] if len(s) > 3 for x in _noisy(s, rng)]
         basis = _Landmarks(marks)
-        x = basis.embed(positives + negatives).astype(np.float32)
+        x = basis.embed(positives + negatives)
         y = np.r_[np.ones(len(positives)), -np.ones(len(negatives))]
         model = basis.fold(*_svm(x, y, 1000.0, 300 if k == rounds - 1 else 120))  # the first rounds only find the next strings
     pairs = [everything[i] for i in sorted(hidden)] + bags[:: max(1, len(bags) // 600)]
     score = _lookup(model, {w for b, _, _ in pairs for w in b})
     worst = [max(b, key=lambda w: (score[w], w), default="") for b, _, _ in pairs]
-    best, which = model.with_phrases([words for _, _, words in pairs], np.array([score.get(w, 0.0) for w in worst]))
+    best, which = model.with_phrases((spelled(words) for _, _, words in pairs), np.array([score.get(w, 0.0) for w in worst]))
     worst, margins = [which.get(k, w) for k, w in enumerate(worst)], best.tolist()
     labels = [y for _, y, _ in pairs]
     # every sixth toxic text counts again with its worst string disguised, which lowers the threshold a little
@@ -340,21 +350,19 @@ def train(sample: list[tuple[str, int]], landmarks: int = 160, rounds: int = 4,
 
 
 class _Phrases:
-    """The phrases of labelled texts as numbers, with the number of texts of each class that have them."""
+    """The phrases of labelled texts (numbers of a vocabulary) as numbers, with the number of texts of each class that have them."""
 
-    def __init__(self, texts: list[tuple[list[str], int]]):
-        self.texts, self.ids = texts, {}
-        for words, _ in texts:
-            for w in words:
-                self.ids.setdefault(w, len(self.ids) + 1)
+    def __init__(self, texts: list[tuple[np.ndarray, int]], vocabulary: dict[str, int]):
+        self.texts, self.ids, self.words = texts, vocabulary, list(vocabulary)
         self.count = {}
         for y in (0, 1):
             keys = [np.unique(self.keys(words)) for words, z in texts if z == y]
             self.count[y] = np.unique(np.concatenate([*keys, np.zeros(0, np.uint64)]), return_counts=True)
 
-    def keys(self, words: list[str]) -> np.ndarray:
+    @staticmethod
+    def keys(text: np.ndarray) -> np.ndarray:
         """A 64-bit number for each window of two words, then of three, and so on."""
-        ids = np.array([self.ids.get(w, 0) for w in words], dtype=np.uint64)
+        ids = text.astype(np.uint64) + np.uint64(1)
         out, key = [], ids
         for k in range(1, PHRASE):
             key = key[: max(0, len(ids) - k)] * np.uint64(0x9E3779B97F4A7C15) + ids[k:]
@@ -362,15 +370,19 @@ class _Phrases:
             out.append(key)
         return np.concatenate(out)
 
-    def names(self, words: list[str], at: np.ndarray) -> list[str]:
-        """The phrases at places of keys(words)."""
+    def key(self, phrase: str) -> np.ndarray:
+        """The number of one phrase; a word that no text has makes it one that none has."""
+        return self.keys(np.array([self.ids.get(w, -1) for w in phrase.split(MARK)], dtype=np.int64))[-1:]
+
+    def names(self, text: np.ndarray, at: np.ndarray) -> list[str]:
+        """The phrases at places of keys(text)."""
         out = []
         for i in at.tolist():
             k = 2
-            while i >= len(words) - k + 1:
-                i -= len(words) - k + 1
+            while i >= len(text) - k + 1:
+                i -= len(text) - k + 1
                 k += 1
-            out.append(MARK.join(words[i : i + k]))
+            out.append(MARK.join(self.words[j] for j in text[i : i + k].tolist()))
         return out
 
     def times(self, keys: np.ndarray, y: int) -> np.ndarray:
@@ -382,7 +394,7 @@ class _Phrases:
         return np.where(known[at] == keys, n[at], 0)
 
     def clean(self, phrase: str) -> bool:
-        return bool(self.times(self.keys(phrase.split(MARK))[-1:], 0).any())
+        return bool(self.times(self.key(phrase), 0).any())
 
     def doubtful(self, scale: float, words: set[str]) -> tuple[dict[int, set[str]], dict[str, int]]:
         """Phrases far more frequent in toxic texts than clean ones let expect: by text, and in how many clean texts.
@@ -407,7 +419,7 @@ class _Phrases:
             return not any(MARK.join(w[a:b]) in every for a in range(len(w)) for b in range(a + 2, len(w) + 1) if b - a < len(w))
 
         every = {p for p in every if plain(p)}
-        return {i: s & every for i, s in found.items()}, {p: int(self.times(self.keys(p.split(MARK))[-1:], 0)[0]) for p in every}
+        return {i: s & every for i, s in found.items()}, {p: int(self.times(self.key(p), 0)[0]) for p in every}
 
     def sample(self, y: int, n: int, rng: np.random.Generator) -> list[str]:
         """About ``n`` phrases of a class's texts."""
@@ -416,7 +428,7 @@ class _Phrases:
         for i in (rng.integers(0, len(texts), n).tolist() if texts else []):
             words = texts[i]
             a, k = int(rng.integers(0, len(words) - 1)), int(rng.integers(2, PHRASE + 1))
-            out.append(MARK.join(words[a : a + k]))
+            out.append(MARK.join(self.words[j] for j in words[a : a + k].tolist()))
         return sorted(set(out))
 
 
@@ -445,9 +457,10 @@ class _Landmarks:
         return np.where(self.alphabet[at] == chars, at + 1, 0)
 
     def embed(self, strings: list[str]) -> np.ndarray:
+        """The features of each string, as float32, in runs of strings, so that memory is that of the result."""
         parts = []
-        for i in range(0, len(strings), 500):
-            part = strings[i : i + 500]
+        for i in range(0, len(strings), 200):
+            part = strings[i : i + 200]
             chars, owner = _codes(part)
             code = self._code(chars)
             at, weight = [], []
@@ -456,8 +469,9 @@ class _Landmarks:
                 at.append((o * len(self.triples) + t)[t >= 0])
                 weight.append(np.full(len(at[-1]), w))
             row = np.bincount(np.concatenate(at), np.concatenate(weight), minlength=len(part) * len(self.triples)).reshape(len(part), -1)
-            parts.append((row @ self.phi.T) / np.maximum(_norms(chars, owner, len(part)), 1e-12)[:, None])
-        return np.concatenate(parts) @ self.half
+            near = (row @ self.phi.T) / np.maximum(_norms(chars, owner, len(part)), 1e-12)[:, None]
+            parts.append((near @ self.half).astype(np.float32))
+        return np.concatenate(parts)
 
     def fold(self, weights: np.ndarray, bias: float) -> ToxicityModel:
         """The model as one weight for each triple."""
@@ -466,7 +480,7 @@ class _Landmarks:
         return ToxicityModel(self.alphabet, table, bias, 3.0)
 
 
-def _without_copies(bags: list[tuple[list[str], int, list[str]]]) -> list[tuple[list[str], int, list[str]]]:
+def _without_copies(bags: list[tuple[list[str], int, np.ndarray]]) -> list[tuple[list[str], int, np.ndarray]]:
     """The first of texts that agree on three or more of eight min-hashes, so copies are no extra evidence."""
     at: dict[tuple[int, int], int] = {}
     out = []
@@ -507,8 +521,8 @@ def _sigmoid(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def _lookup(model: ToxicityModel, strings: set[str]) -> dict[str, float]:
     todo = sorted(strings)
     out: dict[str, float] = {}
-    for i in range(0, len(todo), 20_000):
-        part = todo[i : i + 20_000]
+    for i in range(0, len(todo), 4_000):
+        part = todo[i : i + 4_000]
         out.update(zip(part, model.margins(part).tolist(), strict=True))
     return out
 
@@ -528,8 +542,8 @@ def scorer(model: ToxicityModel):
                 if len(cache) + len(new) > CACHE:
                     cache.clear()
                     new = sorted({w for b in bags for w in b})
-                for i in range(0, len(new), 20_000):
-                    part = new[i : i + 20_000]
+                for i in range(0, len(new), 4_000):
+                    part = new[i : i + 4_000]
                     cache.update(zip(part, model.margins(part).tolist(), strict=True))
                 of_words = np.array([max(map(cache.__getitem__, b), default=0.0) for b in bags])
                 margin[at : at + len(texts)] = model.with_phrases([words_of(t) if t else [] for t in texts], of_words)[0]
