@@ -13,11 +13,11 @@ from .operators import elementwise as _elementwise
 from .operators import fft, linalg
 from .operators import reductions as _reductions
 from .operators import shaping as _shaping
-from .operators.einsum import einop, einsum
+from .operators.einsum import einop, einop_program, einsum
 from .plans import ir, stats
-from .plans.compute import LogicCapture, compute, cut, fuse, fused, jit, lazy
+from .plans.compute import LogicCapture, compute, cut, fuse, fused, jit, lazy, set_log_level
 from .plans.planner import get_default_scheduler, set_default_scheduler, with_default_scheduler
-from .plans.stats import BlockedStats, DCStats, DenseStats, UniformStats
+from .plans.stats import BlockedStats, DCStats, DenseStats, DummyStats, FDStats, LPStats, UniformStats, VPStats, estimate
 from .relation import Relation
 from .sources.io import embedding_matrix, read_table, read_tensor, write_tensor
 from .tensor import Tensor, asarray, from_coordinates, from_numpy, from_relation
@@ -29,7 +29,7 @@ for _module, _names in (
     (_types, "bool_ int8 int16 int32 int64 uint8 uint16 uint32 uint64 float16 float32 float64 complex64 complex128 intp can_cast finfo iinfo isdtype result_type"),
     (_creation, "arange empty empty_like eye full full_like index_tensor linspace lower_triangle meshgrid one_hot ones ones_like parity_mask pattern repeat_tensor reshape_mask reverse_tensor roll_tensor upper_triangle zeros zeros_like"),
     (_elementwise, " ".join([*_elementwise.UNARY, *_elementwise.BINARY, "astype clip elementwise where"])),
-    (_reductions, "all any argmax argmin argsort count_nonfill count_nonzero cumulative cumulative_prod cumulative_sum max mean min prod reduce searchsorted sort std sum var"),
+    (_reductions, "all any argmax argmin argsort count_nonfill count_nonzero cumulative cumulative_prod cumulative_sum max max_by mean min min_by prod reduce searchsorted sort std sum var"),
     (_shaping, "broadcast_arrays broadcast_to concat diag diagonal diff expand_dims flip matrix_transpose moveaxis permute_dims repeat reshape roll squeeze stack take take_along_axis tile trace tril triu unstack"),
     (linalg, "matmul outer tensordot vecdot"),
 ):

@@ -173,6 +173,22 @@ def einop(prgm: str, /, **tensors) -> Tensor:
     return _result(aggregate(fold, rel, drop), out)
 
 
+def einop_program(prgm: str, /, **tensors) -> dict[str, Tensor]:
+    """Several ``einop`` statements, one in a line or parted by semicolons; later ones see the results of earlier ones.
+
+    Returns every result by name.  A name may be bound anew; empty lines and comments behind ``#`` don't count.
+    """
+    bound, made = dict(tensors), {}
+    for line in re.split(r"[;\n]", prgm):
+        line = line.partition("#")[0].strip()
+        if line:
+            m = _STATEMENT.match(line)
+            if not m:
+                raise ValueError(f"{line!r} is no statement")
+            made[m[1]] = bound[m[1]] = einop(line, **bound)
+    return made
+
+
 def _labels(subscripts: str, args: list[Tensor]) -> tuple[list[list[str]], list[str]]:
     """Index names of each operand and of the result; an ellipsis may stand anywhere."""
     subscripts = subscripts.replace(" ", "")

@@ -181,6 +181,31 @@ def argmax(x, /, *, axis=None, keepdims=False) -> Tensor:
     return _arg(x, axis, keepdims, True)
 
 
+def _by(x, key, axis, keepdims: bool, pick) -> Tensor:
+    from .shaping import squeeze, take_along_axis
+
+    x, key = promote(x), promote(key)
+    if x.shape != key.shape:
+        raise ValueError(f"shapes {x.shape} and {key.shape} differ")
+    if axis is None:
+        shape, x, key, axis = x.shape, reshape(x, (-1,)), reshape(key, (-1,)), 0
+        found = take_along_axis(x, pick(key, axis=0, keepdims=True), axis=0)
+        return reshape(found, (1,) * len(shape)) if keepdims else squeeze(found, 0)
+    axis = normalize_axes(axis, x.ndim)[0]
+    found = take_along_axis(x, pick(key, axis=axis, keepdims=True), axis=axis)
+    return found if keepdims else squeeze(found, axis)
+
+
+def min_by(x, key, /, *, axis=None, keepdims=False) -> Tensor:
+    """The cell of x where the key is smallest; the first of ties."""
+    return _by(x, key, axis, keepdims, argmin)
+
+
+def max_by(x, key, /, *, axis=None, keepdims=False) -> Tensor:
+    """The cell of x where the key is largest; the first of ties."""
+    return _by(x, key, axis, keepdims, argmax)
+
+
 def _fibres(x: Tensor, axis: int, constant_ok: bool) -> Relation:
     """All cells of the fibres along an axis: of every fibre, or of stored ones if the others stay constant."""
     return x.rel.dense([x.axes[axis]]) if constant_ok else x.rel.dense()

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import logging
 
 from ..tensor import Tensor, promote
+from .planner import LISTENERS
 
 
 def lazy(x):
@@ -62,10 +64,30 @@ def jit(f=None, /, **_):
 
 
 class LogicCapture:
-    """Records the plans of tensors computed within it, as Spark explains them."""
+    """Records what is planned within it: each contraction's factors, order and cost (``steps``), and plans of tensors handed to ``add``.
+
+    >>> with LogicCapture() as seen:
+    ...     einsum("ij,jk,kl->il", a, b, c)
+    >>> seen.steps[-1]["order"]
+    """
 
     def __init__(self) -> None:
+        self.steps: list[dict] = []
         self.plans: list[str] = []
 
+    def __enter__(self) -> LogicCapture:
+        self._token = LISTENERS.set((*LISTENERS.get(), self.steps.append))
+        return self
+
+    def __exit__(self, *_) -> None:
+        LISTENERS.reset(self._token)
+
     def add(self, x: Tensor) -> None:
+        """The plan of a tensor, as Spark explains it."""
         self.plans.append(x.df._jdf.queryExecution().toString())
+
+
+def set_log_level(level, *stages: str) -> None:
+    """The level of the package's loggers ``coordframe.<stage>`` (such as plan), or of all of them."""
+    for name in [f"coordframe.{s}" for s in stages] or ["coordframe"]:
+        logging.getLogger(name).setLevel(level)

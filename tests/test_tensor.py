@@ -404,6 +404,66 @@ def test_stats_and_namespace():
     assert cf.isdtype(cf.int8, "signed integer") and not cf.isdtype(cf.int8, "real floating")
 
 
+def test_statistics_follow_a_plan():
+    from coordframe.plans.ir import Aggregate, Alias, MapJoin, Plan, Produces, Query, Relabel, Table
+    from coordframe.plans.stats import q_error
+
+    rng = np.random.default_rng(2)
+    add, mul = cf.ffuncs.get("add"), cf.ffuncs.get("multiply")
+    a, b = (np.where(rng.random((12, 9)) < p, 1, 0) for p in (0.3, 0.5))
+    b = b.T
+    join = MapJoin(mul, (Table(a, ("i", "j")), Table(b, ("j", "k"))))
+    product = Aggregate(add, 0, join, ("j",))
+    true_join, true_product = int((a[:, :, None] * b[None]).sum()), np.count_nonzero(a @ b)
+    assert q_error(cf.estimate(join).nnz, true_join) < 1.5 and q_error(cf.estimate(product).nnz, true_product) < 1.5
+    assert true_join <= cf.estimate(join, "lp").nnz <= np.count_nonzero(a) * np.count_nonzero(b)
+    assert cf.estimate(product, "lp").nnz >= true_product
+    both = MapJoin(add, (Table(a, ("i", "j")), Table(b.T, ("i", "j"))))
+    true_both = np.count_nonzero(a + b.T)
+    assert q_error(cf.estimate(both).nnz, true_both) < 1.5 and cf.estimate(both, "lp").nnz >= true_both
+    plan = Plan((Query("C", product), Query("D", Relabel(Table(Alias("C"), ("x", "y")), ("p", "q"))), Produces(("C", "D"))))
+    got = cf.estimate(plan)
+    assert got["C"].nnz == got["D"].nnz and set(got["D"].dims) == {"p", "q"}
+    skewed = np.zeros((6, 4), dtype=int)
+    skewed[:, 1] = 1
+    heavy = MapJoin(mul, (Table(skewed, ("i", "j")), Table(skewed.T, ("j", "k"))))
+    assert cf.estimate(heavy, "lp").nnz == 36  # the heavy column, exactly
+    assert cf.estimate(heavy, "dummy").dims == {"i": 6, "j": 4, "k": 6}
+    assert cf.FDStats.of(cf.asarray(skewed)).dense == {"i0"} and cf.estimate(heavy, "fd").dense == {"i", "k"}
+    assert q_error(2, 8) == q_error(8, 2) == 4
+
+
+def test_capture_of_plans():
+    a = np.arange(6).reshape(2, 3)
+    with cf.LogicCapture() as seen:
+        cf.einsum("ij,kj,kl->il", cf.asarray(a), cf.asarray(a), cf.asarray(a))
+    cf.einsum("ij,kj->ik", cf.asarray(a), cf.asarray(a))
+    assert len(seen.steps) == 1 and sorted(seen.steps[0]["order"]) == ["j", "k"] and seen.steps[0]["cost"] > 0
+
+
+def test_programs_of_several_statements():
+    a, b = np.arange(6).reshape(2, 3), np.arange(12).reshape(3, 4)
+    made = cf.einop_program("""
+        C[i,k] += A[i,j] * B[j,k]   # a product
+        s += C[i,k]; D[i] max= C[i,k]
+        D[i] = D[i] + s
+    """, A=a, B=b)
+    check(made["C"], a @ b)
+    check(made["D"], (a @ b).max(axis=1) + (a @ b).sum())
+    with pytest.raises(ValueError):
+        cf.einop_program("C[i] A[i]", A=a)
+
+
+def test_cells_by_a_key():
+    x, key = np.array([[5, 6, 7], [8, 9, 1]]), np.array([[2.0, 1, 1], [0, 3, 3]])
+    for axis in (0, 1):
+        for got, pick in ((cf.min_by, np.argmin), (cf.max_by, np.argmax)):
+            at = np.expand_dims(pick(key, axis=axis), axis)
+            check(got(cf.asarray(x), cf.asarray(key), axis=axis), np.take_along_axis(x, at, axis=axis).squeeze(axis))
+    assert cf.max_by(cf.asarray(x), cf.asarray(key)).item() == 9
+    assert cf.min_by(cf.asarray(x), cf.asarray(key), axis=1, keepdims=True).shape == (2, 1)
+
+
 def test_storage_round_trip(tmp_path, spark):
     for a, fill in ((A, 3), (X, 0.0), (X > 1.5, False), (X + 1j, 0)):
         t = cf.from_numpy(a, fill)
