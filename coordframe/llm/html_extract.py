@@ -107,7 +107,15 @@ def blocks(page: str) -> list[Block]:
             links -= name == "a"
         del stack[index:]
 
+    last = page.rfind(">")
     while at < n:
+        if at > last and not page.startswith("<!", at):  # no tag ends behind this place, so a "<" is text; no look for its end from each of them
+            end = page.find("<!", at)
+            end = n if end < 0 else end
+            buffer.append(page[at:end])
+            linked += (end - at) * (links > 0)
+            at = end
+            continue
         m = _TOKEN.match(page, at)
         at = m.end()
         name = m[2] or m[5]
@@ -431,7 +439,10 @@ def extract(page: str | None, model: Field) -> str:
 
 
 def with_main_text(pages: DataFrame, model: Field | None = None, column: str = "text") -> DataFrame:
-    """``pages`` with the main text of each whole ``html`` in ``column``; a null or empty page gives an empty text."""
+    """``pages`` with the main text of each whole ``html`` in ``column``; a null or empty page gives an empty text.
+
+    Repeated rows give the same text, and ids decide nothing.  A column of that name is replaced, all others stay; no rows give no rows.
+    """
     field = model or default_model()
 
     @F.arrow_udf("string")

@@ -154,6 +154,7 @@ def predictor(model: LanguageModel):
 def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` with a struct column ``language`` (lang_pred, score) of each whole text.
 
-    Null texts and texts without a letter are ``und`` with score 0.
+    Null texts and texts without a letter are ``und`` with score 0.  Repeated rows are judged alike, and ids decide nothing.
+    A column named language is replaced, all others stay; no rows give no rows.
     """
     return docs.withColumn("language", predictor(model)(F.col("text")))

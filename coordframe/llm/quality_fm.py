@@ -150,5 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, max_chars: int = 2
 
 
 def with_quality(docs: DataFrame, model: QualityModel, column: str = "score") -> DataFrame:
-    """``docs`` with each whole text's quality, 0 to 1, in ``column``; a null text scores as an empty one."""
+    """``docs`` with each whole text's quality, 0 to 1, in ``column``; a null text scores as an empty one.
+
+    Repeated rows score alike, and ids decide nothing.  A column of that name is replaced, all others stay; no rows give no rows.
+    """
     return docs.withColumn(column, scorer(model)(F.col("text")))

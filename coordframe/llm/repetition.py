@@ -91,6 +91,7 @@ def repetition(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def with_repetition(docs: DataFrame) -> DataFrame:
     """``docs`` with a struct column ``repetition`` of each whole text's statistics and verdict (``kept``).
 
-    Null and empty texts have no words and are not kept.  Ties and repeated rows are judged alike.
+    Null and empty texts have no words and are not kept.  Ties and repeated rows are judged alike, and ids decide nothing.
+    A column named repetition is replaced, all others stay; no rows give no rows.
     """
     return docs.withColumn("repetition", repetition(F.col("text")))

@@ -560,6 +560,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, max_chars: int = 2
 def with_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
     """``docs`` with each whole text's toxicity, 0 to 1, in ``column``.
 
-    A null or empty text holds no string and scores as low as any text.  Repeated rows score alike.
+    A null or empty text holds no string and scores as low as any text.  Repeated rows score alike, and ids decide nothing.
+    A column of that name is replaced, all others stay; no rows give no rows.
     """
     return docs.withColumn(column, scorer(model)(F.col("text")))

@@ -108,6 +108,24 @@ def test_odd_texts(spark):
     assert toxicity.with_toxicity(empty, model).count() == language.with_language(empty, lang).count() == quality_fm.with_quality(empty, fm).count() == 0
 
 
+def test_columns_of_the_same_name_are_replaced(spark):
+    """Every other column stays, in its place or name; null and repeated ids decide nothing."""
+    rows = [(None, "you moron there", "<p>x</p>", "s", "l", "r"), (1, "a nice day", None, "s", "l", "r"), (1, "a nice day", None, "s", "l", "r"), (2, None, "", "s", "l", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, html string, score string, language string, other string")
+    tox = toxicity.train([("you moron", 1), ("a nice day", 0)] * 20)
+    fm = quality_fm.train([("plain words here", 1), ("bad!! BAD!! ###", 0)] * 20, epochs=2)
+    lang = language.train([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 20)
+    for made, name, kind in (
+        (toxicity.with_toxicity(docs, tox), "score", "double"),
+        (quality_fm.with_quality(docs, fm), "score", "double"),
+        (language.with_language(docs, lang), "language", "struct<lang_pred:string,score:double>"),
+        (html_extract.with_main_text(docs), "text", "string"),
+    ):
+        assert sorted(made.columns) == sorted(docs.columns) and dict(made.dtypes)[name] == kind
+        got = made.collect()
+        assert len(got) == 4 and [r["other"] for r in got] == ["r"] * 4 and got[1][name] == got[2][name]
+
+
 def test_language_held_out(sample):
     rows = [(i, t, lang) for i, t, lang, _, _ in sample if t and lang]
     model = language.train([(t, lang) for i, t, lang in rows if not held(i, 4, 2)])
@@ -195,6 +213,53 @@ def test_generated_pages_held_out():
     assert np.mean(right) > 0.9
 
 
+#: Pages written by hand, not by the generator that the field is trained on, with their main text.
+HAND_PAGES = [
+    (
+        """<!doctype html><html><head><title>River levels</title><style>p{color:red}</style></head><body>
+<div id="top"><a href="/">Home</a> <a href="/weather">Weather</a> <a href="/sport">Sport</a></div>
+<div class="wrap"><h1>River levels fall after a dry spring</h1>
+<p>The water board measured the lowest level in eleven years on Monday, &amp; officials asked farms along the upper valley to pump less.</p>
+<p>Rainfall since February has been less than half of what is usual, according to the station at the bridge, which has kept records since 1931.</p>
+<blockquote>We can still fill the reservoir if May brings rain, said the engineer in charge.</blockquote>
+<p>A decision on limits for gardens is expected next week.</p></div>
+<div id="disqus_thread"><p>Great article, thanks!</p><p>First</p></div>
+<div class="foot"><p>&copy; 2021 Valley Paper. All rights reserved.</p></div></body></html>""",
+        ["River levels fall after a dry spring","The water board measured the lowest level in eleven years on Monday, & officials asked farms along the upper valley to pump less.","Rainfall since February has been less than half of what is usual, according to the station at the bridge, which has kept records since 1931.","We can still fill the reservoir if May brings rain, said the engineer in charge.","A decision on limits for gardens is expected next week."],
+    ),
+    (
+        """<html><body><nav><ul><li><a href="#">Start</a><li><a href="#">Recipes</a><li><a href="#">About</a></ul></nav>
+<main><article><h2>Lentil soup</h2><p>Wash two cups of lentils and let them drain while the onions turn soft in a little oil over a low flame.<p>Add the lentils, a carrot cut small, and a litre of water; simmer for forty minutes without a lid.<ul><li>two cups of brown lentils<li>one onion and one carrot</ul></article></main>
+<aside><h3>Popular</h3><a href="/x">Ten quick salads</a></aside>
+<div class="cookie-banner"><p>We use cookies to improve your visit.</p><button>Accept</button></div>
+<script>var a = "<p>not text</p>";</script></body></html>""",
+        ["Lentil soup","Wash two cups of lentils and let them drain while the onions turn soft in a little oil over a low flame.","Add the lentils, a carrot cut small, and a litre of water; simmer for forty minutes without a lid.","two cups of brown lentils","one onion and one carrot"],
+    ),
+    (
+        """<html><body><header><h1><a href="/">The Walker</a></h1></header><div class="sidebar"><p>Subscribe to our newsletter</p><form><input name=q><label>Search</label></form></div>
+<section class="post-body"><h1>Three days on the ridge</h1><p>We left the hut before sunrise and reached the first saddle when the fog had just lifted from the lake below us.</p><p>The path is marked well, but the iron ladder near the summit was loose, and we told the warden in the evening.</p></section>
+<section class="comments"><h3>Comments</h3><p>I was there last year and loved it.</p></section><footer><p>Imprint</p></footer></body></html>""",
+        ["Three days on the ridge","We left the hut before sunrise and reached the first saddle when the fog had just lifted from the lake below us.","The path is marked well, but the iron ladder near the summit was loose, and we told the warden in the evening."],
+    ),
+]
+
+
+def test_pages_written_by_hand():
+    field = html_extract.default_model()
+    for page, want in HAND_PAGES:
+        assert html_extract.extract(page, field).split("\n\n") == want
+
+
+def test_unclosed_tags_cost_one_look():
+    import time
+
+    began = time.perf_counter()
+    for page in ('<a "' * 100_000, "<a 'x" * 100_000, "<a " * 200_000, "<!-- " * 100_000):
+        html_extract.blocks(page)
+    assert time.perf_counter() - began < 10
+    assert [b.text for b in html_extract.blocks("<p>one</p> 5 < 6 and <b")] == ["one", "5 < 6 and <b"]
+
+
 def test_pages(spark, sf_dir):
     import re
 
