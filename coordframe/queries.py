@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import coordframe as cf
 
+from . import types as T
 from .relation import VALUE
 from .tensor import Tensor, from_relation
 
@@ -283,11 +284,12 @@ def balances(spark, sf_dir) -> Tensor:
 
 
 def columns(x: Tensor, made: dict[str, Tensor], key: str) -> DataFrame:
-    """Results of one tensor side by side; each is one projection of the same cells."""
-    out = None
+    """Vectors of one length side by side: a grid of their coordinates, to which each one's stored cells are joined on the same key."""
+    n = next(iter(made.values())).size
+    out = x.df.sparkSession.range(n).withColumnRenamed("id", key)
     for name, t in made.items():
-        part = cells(t, key, value=name, dense=True)
-        out = part if out is None else out.join(part, key)
+        part = t.rel.normal().df.select(F.col(t.axes[0]).alias(key), F.col(VALUE).alias(name))
+        out = out.join(part, key, "left").withColumn(name, F.coalesce(name, T.literal(t.fill_value, t.dtype)))
     return out
 
 
