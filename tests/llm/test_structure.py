@@ -512,6 +512,20 @@ def test_near_vectors_of_several_lengths(spark, cells):
     assert got == {i: (count[i], want[i], want[i] == i) for i, *_ in rows}
 
 
+def test_near_vectors_of_many_dimensions(spark):
+    """Where cells are skipped by less than the whole radius."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for v in rng.normal(size=(150, 64)):
+        rows += [(v + rng.normal(size=64) * rng.choice([0, 0.05, 0.12]), 0) for _ in range(int(rng.integers(1, 5)))]
+    rows = [(k, [float(np.float32(x)) for x in v], label) for k, (v, label) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    count, linked = links(rows)
+    want = groups([i for i, *_ in rows], linked)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq.near_duplicates(spark, df, cells=24).collect()}
+    assert got == {i: (count[i], want[i]) for i, *_ in rows} and sum(count.values()) > 100
+
+
 def test_near_vectors_without_rows(spark):
     df = spark.createDataFrame([(1, None, 1), (2, [1.0], None)], "vec_id long, embedding array<float>, label int")
     assert sorted(map(tuple, pq.near_duplicates(spark, df).collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
