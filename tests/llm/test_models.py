@@ -87,6 +87,15 @@ def test_phrase_margins_against_brute_force():
         assert best[k] == pytest.approx(want, abs=1e-5) and (want == 0 or which[k] in names)
 
 
+def test_remembered_strings(spark, monkeypatch):
+    """Scores don't depend on what a worker remembers."""
+    model = toxicity.train([("you moron", 1), ("a nice day", 0)] * 20)
+    df = spark.createDataFrame([(k, f"word{k} you mo-ron{k % 3} day{k % 7}") for k in range(600)], "doc_id long, text string").coalesce(1)
+    want = toxicity.with_toxicity(df, model).collect()
+    monkeypatch.setattr(toxicity, "CACHE", 50)
+    assert toxicity.with_toxicity(df, model).collect() == want
+
+
 def test_toxicity_without_classes():
     model = toxicity.train([("fine words", 0), ("more words", 0)])
     assert model.probability(model.margins(["fine"])).max() < 0.5

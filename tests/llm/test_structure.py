@@ -172,6 +172,36 @@ def test_components(spark, last_edges, monkeypatch):
     assert got == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 4: 4, 5: 4, **{100 + k: 100 for k in range(51)}}
 
 
+def test_forests_in_parts(monkeypatch):
+    """A task's edges beyond LOCAL_NODES nodes leave as several stars, which still connect the same nodes."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges[k : k + 10]]), pa.array([b for _, b in edges[k : k + 10]])], ["a", "b"]) for k in range(0, 150, 10)]
+    stars = [(a, b) for out in components._forests(iter(batches), 8) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    assert groups(range(200), stars) == groups(range(200), edges)
+    monkeypatch.setattr(components, "LOCAL_NODES", 5)
+    assert len(list(components._forests(iter(batches)))) > 1
+    whole = {a: b for out in components._whole(iter(batches)) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)}
+    want = groups(range(200), edges)
+    assert whole == {x: want[x] for x in {x for e in edges if e[0] != e[1] for x in e}}
+
+
+def test_remembered_words_of_the_tokenizer(monkeypatch, planted):
+    """The two generations of remembered words turn over; ids stay the tokenizer's."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE", 6)
+    path = queries.tokenizer_path()
+    tokenizer, ids = Tokenizer.from_file(path), packing._Ids(path, packing._Merges(path).proven())
+    texts = [t for _, t in planted][:60]
+    for k in range(0, 60, 5):
+        got = ids.texts(texts[k : k + 5])
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts[k : k + 5]]
+    assert ids.old
+
+
 def test_packing_round_trip(spark, planted):
     from tokenizers import Tokenizer
 
