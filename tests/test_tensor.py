@@ -364,6 +364,20 @@ def test_planner_costs():
         assert order(s, "af", dims, "exact")[1] <= order(s, "af", dims, "greedy")[1] * (1 + 1e-9)
 
 
+@pytest.mark.parametrize("shrink", [0.0, 0.5, 1e9])
+def test_sums_taken_late_or_early(monkeypatch, shrink):
+    from coordframe.plans import planner
+
+    monkeypatch.setattr(planner, "SHRINK", shrink)
+    rng = np.random.default_rng(5)
+    a, b, c, d = rng.integers(-2, 3, (4, 5)), rng.integers(-2, 3, (5, 6)), rng.integers(-2, 3, (6, 3)), rng.integers(-2, 3, (5, 6))
+    check(cf.einsum("ij,jk,kl,jk->il", *map(cf.asarray, (a, b, c, d))), np.einsum("ij,jk,kl,jk->il", a, b, c, d))
+    check(cf.einsum("ij,jk,kl->", *map(cf.asarray, (a, b, c))), (a @ b @ c).sum())
+    keys = np.eye(5, dtype=int)[[0, 2, 2, 4]]  # each row has one cell
+    check(cf.einop("C[i,l] += K[i,j] * B[j,k] * D[k,l]", K=keys, B=b, D=c), keys @ b @ c)
+    check(cf.einop("C[i] or= K[i,j] > 0 and B[j,k] > 0", K=keys, B=b), ((keys @ (b > 0)) > 0).any(axis=1))
+
+
 def test_ir():
     from coordframe.plans.ir import Aggregate, Alias, MapJoin, Plan, Produces, Query, Relabel, Reorder, Table
 
