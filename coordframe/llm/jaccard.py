@@ -15,7 +15,7 @@ occur L times less than T among the short ones.  Three steps use this, each on w
   short ones with a heap and probes the T - 1 longest by binary search.
 
 Lists never become pairs of all their members.  In each round a class is compared with a few members of the largest components of
-its lists, and only lists of several components go on.  When the pairs of different components that are left are few for each list member
+its lists that it has not met, and only lists of several components go on.  When the pairs of different components that are left are few for each list member
 (LEFT_PAIRS), or after ROUNDS rounds, all of them are compared, so no link between components is lost.
 """
 
@@ -38,7 +38,7 @@ from .textscan import Scan, chunks, encode, mix
 WORDS, P, Q = 5, 4, 5  # similarity P/Q
 BLOCK_GRAMS, PART_GRAMS = 1 << 19, 1 << 21
 FILTER_BITS, LIST_ROWS, ASKED = 24, 1 << 16, 2048
-ROUNDS, HUBS, LEFT_PAIRS = 6, 3, 8
+ROUNDS, HUBS, LEFT_PAIRS = 8, 4, 8
 _MASK = np.uint64((1 << 48) - 1)
 _ZERO = np.zeros(0, dtype=np.uint64)
 
@@ -463,19 +463,23 @@ def _linked(pairs: DataFrame, arrays: DataFrame, many: bool) -> DataFrame:
     return rows.repartition("a", "way").sortWithinPartitions("a", "way", F.col("b").asc_nulls_first()).mapInArrow(_verify, "a long, b long")
 
 
-def _open_lists(rows: DataFrame, comp: DataFrame) -> DataFrame:
-    """List members with their component, of lists with several; and the list's size, sum of squares over components, and largest component with two members."""
+def _open_lists(rows: DataFrame, comp: DataFrame, seed: int) -> DataFrame:
+    """List members with their component, of lists with several; and the list's size, sum of squares over components, and largest component with two members.
+
+    One is the member with the smallest place for this shingle, so with the fewest shingles of its own: what others are copies of.  The other is picked by hash.
+    """
     rows = rows.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    by_comp = rows.groupBy("gram", "component").agg(F.count("*").alias("k"), F.min("cls").alias("low"), F.max("cls").alias("high"))
-    largest = F.max_by(F.struct(F.col("component").alias("main"), "low", "high"), F.struct("k", "component")).alias("s")
+    by_comp = rows.groupBy("gram", "component").agg(F.count("*").alias("k"), F.min_by("cls", F.struct("pos", "cls")).alias("centre"), F.min_by("cls", F.xxhash64("cls", F.lit(seed))).alias("other"))
+    largest = F.max_by(F.struct(F.col("component").alias("main"), "centre", "other"), F.struct("k", "component")).alias("s")
     lists = by_comp.groupBy("gram").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("own"), F.count("*").alias("m"), largest)
     return rows.join(lists.where("m > 1").select("gram", "size", "own", "s.*"), "gram")
 
 
-def _hubs(rows: DataFrame) -> DataFrame:
-    """For each class outside its list's largest component, the HUBS members of such components that most of its lists offer."""
-    offers = rows.where("component <> main").select("cls", F.explode(F.array_distinct(F.array("low", "high"))).alias("hub"))
+def _hubs(rows: DataFrame, tried: DataFrame) -> DataFrame:
+    """For each class outside its list's largest component, the HUBS members of such components that most of its lists offer, none twice."""
+    offers = rows.where("component <> main").select("cls", F.explode(F.array_distinct(F.array("centre", "other"))).alias("hub"))
     offers = offers.groupBy("cls", "hub").agg(F.count("*").alias("k"))
+    offers = offers.join(tried.select(F.col("a").alias("cls"), F.col("b").alias("hub")), ["cls", "hub"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("k"), "hub"))
     return offers.withColumn("rank", rank).where(F.col("rank") <= HUBS).select(F.col("cls").alias("a"), F.col("hub").alias("b"))
 
@@ -511,11 +515,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     # first round: each class and the predecessor that it has in most of its lists
     near = lists.where("prev >= 0").groupBy("cls", "prev").agg(F.count("*").alias("k")).groupBy("cls").agg(F.max_by("prev", F.struct("k", "prev")).alias("b"))
-    edges = ws.table("edges0", _linked(near.select(F.col("cls").alias("a"), "b"), sets_of, False))
+    tried = ws.table("tried0", near.select(F.col("cls").alias("a"), "b"))
+    edges = ws.table("edges0", _linked(tried, sets_of, False))
     comp = ws.table("comp0", connected_components(spark, edges))
-    rows, few, tables = lists.drop("prev"), LEFT_PAIRS * lists.count(), ["edges0", "comp0"]
+    rows, few, tables = lists.drop("prev"), LEFT_PAIRS * lists.count(), ["tried0", "edges0", "comp0"]
     for k in range(1, ROUNDS + 2):
-        rows = ws.table(f"open{k}", _open_lists(rows, comp))
+        rows = ws.table(f"open{k}", _open_lists(rows, comp, k))
         tables.append(f"open{k}")
         left = rows.agg(F.sum(F.col("size") - F.col("own") / F.col("size")).alias("pairs")).first()["pairs"] or 0  # ordered pairs of different components
         if not left:
@@ -526,7 +531,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
             pairs = rows.alias("l").join(rows.alias("r"), (F.col("l.gram") == F.col("r.gram")) & (F.col("l.component") < F.col("r.component")) & room)
             pairs = pairs.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
         else:
-            pairs = _hubs(rows)
+            pairs = ws.table(f"tried{k}", _hubs(rows, tried))
+            tried = tried.unionByName(pairs)
+            tables.append(f"tried{k}")
         edges = edges.unionByName(ws.table(f"edges{k}", _linked(pairs, sets_of, last)))
         comp = ws.table(f"comp{k}", connected_components(spark, edges))
         tables += [f"edges{k}", f"comp{k}"]
