@@ -27,6 +27,16 @@ def _angle(re: Column, im: Column) -> Column:
     return _signed(F.when(_negative(re), F.lit(float(np.pi)) - base).otherwise(base), im)
 
 
+def bound(x: Pair, f: Callable[[Pair], Pair]) -> Pair:
+    """f of x, with x computed once: nested functions would otherwise repeat it in their generated code."""
+    made = F.transform(F.array(struct(x)), lambda v: struct(f((v["re"], v["im"]))))[0]
+    return made["re"], made["im"]
+
+
+def struct(x: Pair) -> Column:
+    return F.struct(x[0].cast("double").alias("re"), x[1].cast("double").alias("im"))
+
+
 def add(x: Pair, y: Pair) -> Pair:
     return x[0] + y[0], x[1] + y[1]
 
@@ -93,7 +103,7 @@ def asinh(x: Pair) -> Pair:
     half = F.abs(x[0]), F.when(left, -x[1]).otherwise(x[1])
     # 1 + x x by factors, so that the sign of its imaginary part is right on the cuts
     up, down = sqrt((1 - half[1], half[0])), sqrt((1 + half[1], -half[0]))
-    re, im = log(add(half, times(up, down)))
+    re, im = bound(add(half, times(up, down)), log)
     return _signed(re, x[0]), _signed(im, x[1])
 
 
@@ -110,7 +120,7 @@ def acos(x: Pair) -> Pair:
 
 def acosh(x: Pair) -> Pair:
     """log(x + sqrt(x + 1) sqrt(x - 1))."""
-    return log(add(x, times(sqrt((x[0] + 1, x[1])), sqrt((x[0] - 1, x[1])))))
+    return bound(add(x, times(sqrt((x[0] + 1, x[1])), sqrt((x[0] - 1, x[1])))), log)
 
 
 def atanh(x: Pair) -> Pair:
@@ -147,7 +157,7 @@ def sign(x: Pair) -> Pair:
 def power(x: Pair, y: Pair) -> Pair:
     """exp(y log x); a zero to the power of zero is one, to any other power with a positive real part zero."""
     zero, none = F.hypot(*x) == 0, F.hypot(*y) == 0
-    re, im = exp(times(y, log((F.when(zero, 1.0).otherwise(x[0]), x[1]))))
+    re, im = bound(log((F.when(zero, 1.0).otherwise(x[0]), x[1])), lambda v: exp(times(y, v)))
     bad = F.when(y[0] > 0, 0.0).otherwise(F.lit(float("nan")))
     return F.when(none, 1.0).when(zero, bad).otherwise(re), F.when(none, 0.0).when(zero, bad).otherwise(im)
 
@@ -158,7 +168,3 @@ FUNCTIONS: dict[str, Callable[[Pair], Pair]] = {
 }
 FUNCTIONS["log2"] = lambda x: scaled(log(x), 1 / _LN2)
 FUNCTIONS["log10"] = lambda x: scaled(log(x), 1 / _LN10)
-
-
-def struct(x: Pair) -> Column:
-    return F.struct(x[0].cast("double").alias("re"), x[1].cast("double").alias("im"))
