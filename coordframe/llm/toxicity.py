@@ -27,11 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fitted, labelled_texts
+from .textscan import chunks
 
 DECAY, SPAN, MAX_STRING, CACHE = 0.7, 6, 32, 150_000
 PHRASE, RUN, MARK = 3, 8192, "\x01"
+PIECE = 1 << 18
 _OFFSETS = [(p, q) for q in range(2, SPAN) for p in range(1, q)]
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+_CUT = re.compile(r"(?<=\s)\S\S")
 _EDGES = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 
 
@@ -65,6 +68,15 @@ def words_of(text: str) -> list[str]:
     return out
 
 
+def pieces(text: str) -> Iterator[str]:
+    """A text in pieces of at least PIECE characters, each cut before a word of several characters, so in no run of single ones."""
+    at = 0
+    while len(text) - at > PIECE and (cut := _CUT.search(text, at + PIECE)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Characters of all strings, each between two marks and with SPAN zeros behind it, and their string's number."""
     joined = "".join(MARK + s + MARK + "\0" * SPAN for s in strings)
@@ -533,21 +545,32 @@ def scorer(model: ToxicityModel):
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache: dict[str, float] = {}
+
+        def margins(bags: list[set[str]]) -> np.ndarray:
+            """Of each bag's most suspicious string."""
+            new = sorted({w for b in bags for w in b if w not in cache})
+            if len(cache) + len(new) > CACHE:
+                cache.clear()
+                new = sorted({w for b in bags for w in b})
+            for i in range(0, len(new), 4_000):
+                part = new[i : i + 4_000]
+                cache.update(zip(part, model.margins(part).tolist(), strict=True))
+            return np.array([max(map(cache.__getitem__, b), default=0.0) for b in bags])
+
         for batch in batches:
-            margin = np.zeros(len(batch))
-            for at in range(0, len(batch), 256):
-                texts = batch.slice(at, 256).to_pylist()
-                bags = [strings_of(t) if t else () for t in texts]
-                new = sorted({w for b in bags for w in b if w not in cache})
-                if len(cache) + len(new) > CACHE:
-                    cache.clear()
-                    new = sorted({w for b in bags for w in b})
-                for i in range(0, len(new), 4_000):
-                    part = new[i : i + 4_000]
-                    cache.update(zip(part, model.margins(part).tolist(), strict=True))
-                of_words = np.array([max(map(cache.__getitem__, b), default=0.0) for b in bags])
-                margin[at : at + len(texts)] = model.with_phrases([words_of(t) if t else [] for t in texts], of_words)[0]
-            yield pa.array(model.probability(margin))
+            found = []
+            for texts in chunks(batch, PIECE):
+                if len(texts) == 1 and len(texts[0] or "") > PIECE:
+                    best, before = np.zeros(1), []
+                    for piece in pieces(texts[0]):
+                        words = before + words_of(piece)  # phrases may cross the cut
+                        best = model.with_phrases([words], np.maximum(best, margins([strings_of(piece)])))[0]
+                        before = words[1 - PHRASE :]
+                    found.append(best)
+                else:
+                    of_words = margins([strings_of(t or "") for t in texts])
+                    found.append(model.with_phrases([words_of(t or "") for t in texts], of_words)[0])
+            yield pa.array(model.probability(np.concatenate([np.zeros(0), *found])))
 
     return score
 

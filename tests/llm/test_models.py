@@ -1,8 +1,10 @@
 """Trained operators: held-out accuracy and defined results for odd texts."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from coordframe.llm import html_extract, language, quality_fm, queries, toxicity
@@ -96,6 +98,32 @@ def test_remembered_strings(spark, monkeypatch):
     assert toxicity.with_toxicity(df, model).collect() == want
 
 
+def test_toxicity_of_long_texts_in_pieces(spark, monkeypatch):
+    """What is held follows neither from a text's length nor from how many long ones come together, and cuts lose nothing."""
+    model = toxicity.train([("you moron", 1), ("a nice day", 0)] * 20)
+    score = toxicity.scorer(model).func
+    rng = np.random.default_rng(6)
+    texts = [" ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(15_000)) for _ in range(40)]
+    texts += [" ".join(texts[:20]), None, ""]
+    tracemalloc.start()
+    got = next(iter(score(iter([pa.array(texts)])))).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == len(texts) and peak < 60e6
+    odd = ["a nice day " * 3 + "m o r o n " * 2 + "ab - ? ! yo u " * 4, "a b c d e f g h " * 4, "x" * 90 + " a  b\n\nc dd  --- e", " \n moron " * 5, "day - - - you - - - moron"]
+    odd += [" ".join("".join(rng.choice(list("abÄ-. \n\t"), rng.integers(1, 4))) for _ in range(60)) for _ in range(40)]
+    want = next(iter(score(iter([pa.array(odd)])))).to_pylist()
+    monkeypatch.setattr(toxicity, "PIECE", 10)
+    monkeypatch.setitem(score.__globals__, "PIECE", 10)
+    assert max(len(list(toxicity.pieces(t))) for t in odd) > 5
+    for t in odd:
+        parts = list(toxicity.pieces(t))
+        assert "".join(parts) == t
+        assert set().union(*map(toxicity.strings_of, parts)) == toxicity.strings_of(t)
+        assert [w for p in parts for w in toxicity.words_of(p)] == toxicity.words_of(t)
+    assert next(iter(score(iter([pa.array(odd)])))).to_pylist() == want
+
+
 def test_toxicity_without_classes():
     model = toxicity.train([("fine words", 0), ("more words", 0)])
     assert model.probability(model.margins(["fine"])).max() < 0.5
