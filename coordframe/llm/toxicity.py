@@ -31,7 +31,7 @@ from .textscan import chunks
 
 DECAY, SPAN, MAX_STRING, CACHE = 0.7, 6, 32, 150_000
 PHRASE, RUN, MARK = 3, 8192, "\x01"
-PIECE = 1 << 18
+PIECE, DENSE, MARK_BITS = 1 << 18, 1 << 21, 21
 _OFFSETS = [(p, q) for q in range(2, SPAN) for p in range(1, q)]
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _CUT = re.compile(r"(?<=\s)\S\S")
@@ -129,12 +129,50 @@ def kernel(s: str, t: str) -> float:
     return sum(v * b.get(k, 0.0) for k, v in a.items())
 
 
+class _Sparse:
+    """What an array that is ``rest`` but at a few places gives for places, in memory of those few."""
+
+    def __init__(self, places: np.ndarray, values: np.ndarray, rest: float):
+        order = np.argsort(places)
+        self.places, self.values, self.rest = places[order], values[order], values.dtype.type(rest)
+        self.marks = np.zeros(1 << MARK_BITS, dtype=bool)  # most other places end here
+        self.marks[self._mark(self.places)] = True
+
+    @staticmethod
+    def _mark(at: np.ndarray) -> np.ndarray:
+        return ((at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out = np.full(len(at), self.rest)
+        some = np.flatnonzero(self.marks[self._mark(at)])
+        place = at[some]
+        k = np.minimum(np.searchsorted(self.places, place), len(self.places) - 1)
+        out[some] = np.where(self.places[k] == place, self.values[k], self.rest)
+        return out
+
+
+def _by_place(size: int, places: np.ndarray, values: np.ndarray, rest: float) -> np.ndarray | _Sparse:
+    """``values`` at their places among size ** 3 triples and ``rest`` elsewhere; an array only of a small alphabet's."""
+    if size**3 > DENSE:
+        return _Sparse(places, values, rest)
+    out = np.full(size**3, rest, dtype=values.dtype)
+    out[places] = values
+    return out
+
+
+def _numbers(alphabet: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Each character's place in the alphabet from 1 on, or 0, wide enough for the place of a triple."""
+    at = np.searchsorted(alphabet, chars)
+    at[at == len(alphabet)] = 0
+    return np.where(alphabet[at] == chars, at + 1, 0).astype(np.int32 if (len(alphabet) + 1) ** 3 < 1 << 31 else np.int64)
+
+
 @dataclass
 class ToxicityModel:
     """One weight for each triple of landmark characters, an intercept, and the sigmoid's slope."""
 
     alphabet: np.ndarray  # sorted code points that occur in landmarks
-    table: np.ndarray  # (A + 1) ** 3 weights; index 0 stands for every other character
+    table: np.ndarray | _Sparse  # weights of (A + 1) ** 3 triples; index 0 stands for every other character
     bias: float
     slope: float
 
@@ -143,9 +181,7 @@ class ToxicityModel:
         if not strings or not len(self.alphabet):
             return np.zeros(len(strings))
         chars, owner = _codes(strings)
-        at = np.searchsorted(self.alphabet, chars)
-        at[at == len(self.alphabet)] = 0
-        code = np.where(self.alphabet[at] == chars, at + 1, 0).astype(np.int32)
+        code = _numbers(self.alphabet, chars)
         size, n = len(self.alphabet) + 1, len(chars) - SPAN
         total = np.zeros(n, dtype=np.float32)
         lead = code[:n] * (size * size)
@@ -181,9 +217,7 @@ class ToxicityModel:
     def _bounds(self, runs: list[tuple[int, list[str]]]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         joined = "".join(MARK + MARK.join(words) + MARK + "\0" * SPAN for _, words in runs)
         chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-        at = np.searchsorted(self.alphabet, chars)
-        at[at == len(self.alphabet)] = 0
-        code = np.where(self.alphabet[at] == chars, at + 1, 0).astype(np.int32)
+        code = _numbers(self.alphabet, chars)
         size, n = len(self.alphabet) + 1, len(chars) - SPAN
         lead, upto = code[:n] * (size * size), {}
         for q in range(2, SPAN):
@@ -461,8 +495,7 @@ class _Landmarks:
         self.size = len(self.alphabet) + 1
         at = {c: i + 1 for i, c in enumerate(self.alphabet.tolist())}
         self.place = np.array([(at[a] * self.size + at[b]) * self.size + at[c] for a, b, c in self.triples])
-        self.number = np.full(self.size**3, -1, dtype=np.int64)  # of the triple at a place of the table
-        self.number[self.place] = np.arange(len(self.triples))
+        self.number = _by_place(self.size, self.place, np.arange(len(self.triples)), -1)  # of the triple at a place of the table
 
     def _code(self, chars: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.alphabet, chars), len(self.alphabet) - 1)
@@ -487,9 +520,8 @@ class _Landmarks:
 
     def fold(self, weights: np.ndarray, bias: float) -> ToxicityModel:
         """The model as one weight for each triple."""
-        table = np.zeros(self.size**3, dtype=np.float32)
-        table[self.place] = self.phi.T @ (self.half @ weights)
-        return ToxicityModel(self.alphabet, table, bias, 3.0)
+        weight = (self.phi.T @ (self.half @ weights)).astype(np.float32)
+        return ToxicityModel(self.alphabet, _by_place(self.size, self.place, weight, 0), bias, 3.0)
 
 
 def _without_copies(bags: list[tuple[list[str], int, np.ndarray]]) -> list[tuple[list[str], int, np.ndarray]]:

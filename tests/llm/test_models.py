@@ -1,5 +1,6 @@
 """Trained operators: held-out accuracy and defined results for odd texts."""
 
+import pickle
 import tracemalloc
 import zlib
 
@@ -124,6 +125,38 @@ def test_toxicity_of_long_texts_in_pieces(spark, monkeypatch):
     assert next(iter(score(iter([pa.array(odd)])))).to_pylist() == want
 
 
+def test_toxicity_of_many_characters(monkeypatch):
+    """A model's size follows its landmarks, not the cube of their characters, and its scores stay the same."""
+    rng = np.random.default_rng(9)
+    words = ["".join(map(chr, rng.integers(0x4E00, 0x4E00 + 4000, rng.integers(1, 4)))) for _ in range(3000)]
+    bad = ["".join(map(chr, rng.integers(0x4E00, 0x4E00 + 4000, 3))) for _ in range(5)]
+
+    def text(y):
+        out = [words[int(k)] for k in np.minimum(rng.pareto(0.5, 60), 2999)]
+        return " ".join([*out, bad[rng.integers(5)], *out[:9]] if y else out)
+
+    sample = [(text(k % 3 == 0), int(k % 3 == 0)) for k in range(450)]
+    model = toxicity.train(sample)
+    assert len(model.alphabet) > 130 and len(pickle.dumps(model)) < 5e6
+    test = [(text(k % 2), k % 2) for k in range(60)]
+    p = [model.probability(model.margins(toxicity.words_of(t))).max() >= 0.5 for t, _ in test]
+    assert np.mean([a == bool(y) for a, (_, y) in zip(p, test, strict=True)]) > 0.9
+    monkeypatch.setattr(toxicity, "DENSE", 1 << 40)
+    marks = words[:60] + bad
+    whole = toxicity._Landmarks(marks)
+    monkeypatch.setattr(toxicity, "DENSE", 0)
+    few = toxicity._Landmarks(marks)
+    strings = words[:90] + ["a", "", *bad] + [w[::-1] + "x" for w in words[:40]]
+    np.testing.assert_array_equal(few.embed(strings), whole.embed(strings))
+    w = rng.normal(size=few.half.shape[1])
+    got = few.fold(w, 0.0)
+    monkeypatch.setattr(toxicity, "DENSE", 1 << 40)
+    want = whole.fold(w, 0.0)
+    assert isinstance(got.table, toxicity._Sparse) and isinstance(want.table, np.ndarray)
+    np.testing.assert_array_equal(got.margins(strings), want.margins(strings))
+    assert want.margins(strings).max() > 0
+
+
 def test_toxicity_without_classes():
     model = toxicity.train([("fine words", 0), ("more words", 0)])
     assert model.probability(model.margins(["fine"])).max() < 0.5
