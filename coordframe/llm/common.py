@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import tempfile
 import uuid
@@ -56,6 +57,23 @@ class Workspace:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release() -> None:
+    """Gives memory that is free back to the system: Spark keeps Python workers between tasks, beside other stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker keeps no memory of it."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text (fold 0)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
@@ -114,5 +132,5 @@ def fitted[M](sample: DataFrame, train: Callable[[list[tuple]], M]) -> M:
         rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[:2])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[1:] for r in rows]))], pa.binary())], ["model"])
 
-    found = sample.repartition(1).mapInArrow(run, "model binary").first()
+    found = sample.repartition(1).mapInArrow(released(run), "model binary").first()
     return pickle.loads(found["model"]) if found else train([])

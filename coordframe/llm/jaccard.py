@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace
+from .common import Workspace, released
 from .components import connected_components
 from .textscan import Scan, chunks, encode, mix
 
@@ -296,10 +296,10 @@ def _answered(sets: DataFrame, total: int, prefix: bool) -> tuple[DataFrame, int
     """``sets(row, n, grams)`` in blocks, with what was counted over all; sorted by (block, part), a block in one task."""
     spark = sets.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_GRAMS))  # a part fits a task at any size
-    dealt = sets.select("row", "n", "grams").mapInArrow(_deal(parts, prefix, BLOCK_GRAMS), _SHARED)
+    dealt = sets.select("row", "n", "grams").mapInArrow(released(_deal(parts, prefix, BLOCK_GRAMS)), _SHARED)
     # a block's own row stays with its block, so that no task gathers them
     by = F.when(F.col("part") < 0, F.col("block")).otherwise(F.col("part").cast("long"))
-    counted = dealt.repartition(parts, by).sortWithinPartitions("part").mapInArrow(_count(prefix), _SHARED)
+    counted = dealt.repartition(parts, by).sortWithinPartitions("part").mapInArrow(released(_count(prefix)), _SHARED)
     return counted.repartition(parts, "block").sortWithinPartitions("block", "part"), parts
 
 
@@ -495,7 +495,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     ws = Workspace(spark, "jaccard")
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = ws.table("sets", keyed.mapInArrow(_sets, "row long, doc_id long, n long, d1 long, d2 long, grams binary"))
+    sets = ws.table("sets", keyed.mapInArrow(released(_sets), "row long, doc_id long, n long, d1 long, d2 long, grams binary"))
     ids, full = sets.select("row", "doc_id", "n", "d1", "d2"), sets.where("n > 0")
     total = full.agg(F.sum(F.col("n") - F.floor(F.col("n") * P / Q) + F.floor(F.col("n") / 10)).alias("k")).first()["k"] or 0
     answers, _ = _answered(full, total, True)
@@ -507,7 +507,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     arrays = ws.table("arrays", _some_sets(sets, members.select(F.col("cls").alias("row")).distinct()))
     total = arrays.agg(F.sum("n").alias("k")).first()["k"] or 0
     answers, parts = _answered(arrays, total, False)
-    postings = answers.mapInArrow(_postings(parts), "gram long, salt int, cls long, n int, pos int")
+    postings = answers.mapInArrow(released(_postings(parts)), "gram long, salt int, cls long, n int, pos int")
     lists = postings.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "n", "cls").mapInArrow(_shared_lists, "gram long, cls long, n int, pos int, prev long")
     lists = ws.table("lists", lists)
     sets_of = ws.table("listed", arrays.select(F.col("row").alias("cls"), "grams").join(lists.select("cls").distinct(), "cls", "left_semi"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace
+from .common import Workspace, released
 
 CAPACITY, SEPARATOR, PARTS, CACHE = 2048, 0, 64, 150_000
 
@@ -200,7 +200,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names)
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), ddl)
 
 
 class _Plan:

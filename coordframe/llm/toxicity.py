@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fitted, labelled_texts
+from .common import fitted, labelled_texts, release
 from .textscan import chunks
 
 DECAY, SPAN, MAX_STRING, CACHE = 0.7, 6, 32, 150_000
@@ -603,6 +603,8 @@ def scorer(model: ToxicityModel):
                     of_words = margins([strings_of(t or "") for t in texts])
                     found.append(model.with_phrases([words_of(t or "") for t in texts], of_words)[0])
             yield pa.array(model.probability(np.concatenate([np.zeros(0), *found])))
+        cache.clear()
+        release()
 
     return score
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from coordframe.llm import html_extract, language, quality_fm, queries, toxicity
+from coordframe.llm import common, html_extract, language, quality_fm, queries, toxicity
 
 ODD = [None, "", " \n\t", "x" * 50_000, "a b c d e f", "éß漢字 \U0001f600", "word " * 30_000]
 
@@ -157,6 +157,16 @@ def test_toxicity_of_many_characters(monkeypatch):
     assert want.margins(strings).max() > 0
 
 
+def test_workers_give_memory_back(monkeypatch):
+    """After its last rows, a task releases what is free; the rows are those of the function itself."""
+    done = []
+    monkeypatch.setitem(common.released.__globals__, "release", lambda: done.append(1))
+    rows = common.released(lambda batches: (b * 2 for b in batches))(iter([1, 2]))
+    assert (next(rows), list(done), list(rows), done) == (2, [], [4], [1])
+    monkeypatch.undo()
+    common.release()
+
+
 def test_toxicity_without_classes():
     model = toxicity.train([("fine words", 0), ("more words", 0)])
     assert model.probability(model.margins(["fine"])).max() < 0.5
