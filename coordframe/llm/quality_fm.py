@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fitted, labelled_texts
+from .common import fitted, labelled_texts, release
 from .textscan import Scan, chunks, encode
 
 WORDS, BINS, RANK = 1 << 13, 8, 8
+RUN = 64  # labelled texts that are looked at together
 _MARKS = [ord(c) for c in "#*$%&|<>!?.,:;{}()[]=_-/@~^\"'"]
 _STATS = 14 + len(_MARKS)
 FEATURES = WORDS + _STATS * BINS
@@ -108,8 +109,10 @@ def train(sample: list[tuple[str, int]], epochs: int = 12, rate: float = 0.15, d
         model.factors[:] = 0
         model.bias = 6.0 if labels != {0} else -6.0
         return model
-    first, every, values = features([t for t, _ in sample])
-    rows = [(every[a:b], values[a:b], y) for a, b, (_, y) in zip(first, [*first[1:], len(every)], sample, strict=True)]
+    rows = []
+    for part in (sample[k : k + RUN] for k in range(0, len(sample), RUN)):  # a text's features don't depend on others
+        first, every, values = features([t for t, _ in part])
+        rows += [(every[a:b], values[a:b], y) for a, b, (_, y) in zip(first, [*first[1:], len(every)], part, strict=True)]
     pos = sum(y for _, _, y in rows)
     weight = (len(rows) / (2 * (len(rows) - pos)), len(rows) / (2 * pos))
     g0, gl, gf = 1e-6, np.full(FEATURES, 1e-4), np.full((FEATURES, RANK), 1e-4)
@@ -140,6 +143,7 @@ def scorer(model: QualityModel):
         for batch in batches:
             parts = [model.scores(texts) for texts in chunks(batch)]
             yield pa.array(np.concatenate(parts) if parts else [], type=pa.float64())
+        release()
 
     return score
 

@@ -267,6 +267,26 @@ def test_quality_held_out(sample):
     assert ((p >= 0.3) == np.array([y for _, y in test])).mean() > 0.95
 
 
+def test_quality_learns_in_runs(monkeypatch):
+    """The model is that of all texts in one look, with much less memory."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdef,.#"), rng.integers(1, 9)))
+    sample = [(" ".join(word() for _ in range(n)), n % 2) for n in rng.integers(0, 400, 300)]
+    made, peak = [], []
+    for run in (7, quality_fm.RUN, len(sample)):
+        monkeypatch.setattr(quality_fm, "RUN", run)
+        made.append(quality_fm.train(sample, epochs=1))
+        tracemalloc.start()
+        quality_fm.train(sample, epochs=0)
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    for got in made[:2]:
+        assert got.bias == made[2].bias
+        np.testing.assert_array_equal(got.linear, made[2].linear)
+        np.testing.assert_array_equal(got.factors, made[2].factors)
+    assert peak[0] < 0.8 * peak[2]
+
+
 def test_blocks():
     page = "<html><head><title>x</title></head><body><nav><a href=/>a</a></nav><div>one<br>two <b>&amp; three</b><p>four<p>five</div><script>if (a < b) '</p>'</script><!-- <p>no</p> --></body>"
     assert [b.text for b in html_extract.blocks(page)] == ["a", "one two & three", "four", "five"]
