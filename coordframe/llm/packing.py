@@ -14,9 +14,11 @@ import bisect
 import json
 import os
 import re
+import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,21 @@ CAPACITY, SEPARATOR, PARTS, CACHE = 2048, 0, 64, 150_000
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _END = b"\xff"  # stands for the end of a word; no UTF-8 text has this byte
 #: Words that lower-casing and composition treat character by character: printable Latin without the dotted capital I.
-_PLAIN = re.compile(r"[!-~\u00a1-\u012f\u0131-\u024f]+")
+_LATIN = r"!-~\u00a1-\u012f\u0131-\u024f"
+_PLAIN = re.compile(f"[{_LATIN}]+")
+#: The same of whole texts, with the white space that separates words.
+_PLAIN_TEXT = re.compile(rf"[\t-\r {_LATIN}]*")
+
+
+def _marks() -> tuple[str, str]:
+    """Plain characters that are numbers, and those that are neither letters nor numbers."""
+    plain = [(unicodedata.category(c)[0], c) for c in map(chr, range(0x250)) if _PLAIN.fullmatch(c)]
+    return "".join(c for kind, c in plain if kind == "N"), "".join(c for kind, c in plain if kind not in "LN")
+
+
+_NUMBERS, _OTHERS = _marks()
+#: What SPLIT matches in lower-cased plain words besides runs of letters.
+_CUT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{re.escape(_NUMBERS)}]|[{re.escape(_OTHERS)}]+")
 
 
 class _Merges:
@@ -104,28 +120,62 @@ class _Merges:
         return self.usable and all(self.merged(a + b) == [a + b] for a, b in self.pairs)
 
 
+class _Known(dict):
+    """Remembered ids; those of a lower-cased plain word (str) that is not there come from the older generation, or from its parts by SPLIT."""
+
+    def __init__(self, older: dict, make: Callable[[str], bytes]):
+        super().__init__()
+        self.older, self.make = older, make
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            if word.isalpha():
+                found = self.make(word)
+            elif (stem := word.rstrip(_OTHERS)).isalpha():  # marks behind letters are one part
+                found = self[stem] + self[word[len(stem) :]]
+            else:
+                parts = _CUT.sub(r" \g<0> ", word).split()
+                found = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else self.make(word)
+        self[word] = found
+        return found
+
+
 class _Ids:
     """Token ids of words as little-endian bytes; words are white-space separated, which no token crosses.
 
-    Words are remembered in two generations: when the younger is full it replaces the older, so frequent
-    words stay and memory is bounded.
+    Words (str if plain, else bytes) and the parts that SPLIT makes of plain ones are remembered in two generations: when the
+    younger is full it replaces the older, so frequent ones stay and memory is bounded.
     """
 
-    def __init__(self, path: str, fast: bool):
+    def __init__(self, path: str, fast: bool, merges: tuple[dict[bytes, int], list[int], tuple[str, ...]] | None = None):
+        """``merges``: the ranks, ids and special tokens of the file's _Merges, if they are at hand."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        self.path, self.old, self.young = path, {}, _Known({}, self._part)
         self.piece, self.split, self.special = None, None, ()
         if fast:
             import regex
             import tiktoken
 
-            merges = _Merges(path)
-            core = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=merges.ranks, special_tokens={})._core_bpe
-            self.piece, self.ids, self.special = core.encode_single_piece, np.array(merges.ids, dtype=np.int64).astype("<u4"), merges.special
+            if merges is None:
+                made = _Merges(path)
+                merges = made.ranks, made.ids, made.special
+            ranks, ids, self.special = merges
+            core = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+            self.piece, self.ids = core.encode_single_piece, np.array(ids, dtype=np.int64).astype("<u4")
+            raw = self.ids.tobytes()
+            self.id_of = [raw[k : k + 4] for k in range(0, len(raw), 4)].__getitem__
             self.split = regex.compile(SPLIT).findall
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def _part(self, part: str) -> bytes:
+        return b"".join(map(self.id_of, self.piece(part.encode() + _END)))
+
     def encode(self, words: list[bytes]) -> list[bytes]:
         out: list[bytes] = [b""] * len(words)
         slow, flat, done = [], [], []
@@ -157,9 +207,24 @@ class _Ids:
         return out
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").encode("utf-8", "replace").split() for t in texts]
         if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
+            self.old, self.young = self.young, _Known(self.young, self._part)
+            self.old.older = {}
+        out, rest = [], []
+        for k, t in enumerate(texts):
+            if self.piece is None or not _PLAIN_TEXT.fullmatch(t := t or "") or ("<" in t and any(x in t for x in self.special)):
+                rest.append(k)
+                out.append(b"")
+            else:
+                out.append(b"".join(map(self.young.__getitem__, t.lower().split())))
+        if rest:
+            for k, raw in zip(rest, self._by_words([texts[k] for k in rest]), strict=True):
+                out[k] = raw
+        return out
+
+    def _by_words(self, texts: list[str | None]) -> list[bytes]:
+        """Word by word: texts that hold more than plain characters."""
+        words = [(t or "").encode("utf-8", "replace").split() for t in texts]
         young, old = self.young, self.old
         new = []
         for w in {w for ws in words for w in ws}:
@@ -180,12 +245,13 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids
     Every piece but a document's last has ``capacity`` tokens.  ``tokenizer`` is a file of the tokenizers
     library that drops white space and exists on every worker.
     """
-    fast = _Merges(tokenizer).proven()
+    merges = _Merges(tokenizer)
+    fast, known = merges.proven(), (merges.ranks, merges.ids, getattr(merges, "special", ()))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(tokenizer, fast)
+        ids = _Ids(tokenizer, fast, known)
         tail, step = np.array([SEPARATOR], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
             for at in range(0, batch.num_rows, 128):

@@ -202,6 +202,29 @@ def test_remembered_words_of_the_tokenizer(monkeypatch, planted):
     assert ids.old
 
 
+def test_plain_texts_of_the_tokenizer():
+    """Ids are the library's for any mix of plain and other characters; each part is encoded once, and the library is read only for others."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    merges, tokenizer = packing._Merges(path), Tokenizer.from_file(path)
+    assert merges.proven()
+    made, ids = [], packing._Ids(path, True, (merges.ranks, merges.ids, merges.special))
+    piece = ids.piece
+    ids.piece = lambda part: made.append(part) or piece(part)
+    texts = ["Élan élan, élan... ÉLAN's", "élan,  élan\n élan's... ,"]
+    assert ids.texts(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert len(made) == len(set(made)) == 4 and "tokenizer" not in vars(ids)
+    rng = np.random.default_rng(8)
+    odd = list("aAbsStTrReEvVmMlLdD'''',.!?_-<>|&*#0129²¼ªºßÄéÑÆıſƀǅȺɏ­  \t\n\x0b\x0c\rİ\x1c\x85’Σ漢́")
+    plain = [c for c in odd if packing._PLAIN_TEXT.fullmatch(c)]
+    texts = ["".join(rng.choice(plain if k % 4 else odd, rng.integers(0, 60))) for k in range(4000)] + ["it's 'sup ,'s x'sy we'LL ''", "<|endoftext|> a", ""]
+    for k in range(0, len(texts), 100):
+        want = tokenizer.encode_batch(texts[k : k + 100], add_special_tokens=False)
+        assert ids.texts(texts[k : k + 100]) == [np.array(x.ids, dtype="<u4").tobytes() for x in want]
+    assert packing._Ids(path, False).texts([None, "Élan,"]) == ids.texts([None, "Élan,"])
+
+
 def test_packing_round_trip(spark, planted):
     from tokenizers import Tokenizer
 
