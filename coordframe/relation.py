@@ -69,7 +69,7 @@ class Relation:
         out, df = self, self.df
         more = [f for f in fields if f not in self.fields]
         grown = math.prod([dims[f] for f in more]) if more else 1
-        if grown * max(1, self.size) > MAX_EXPANSION:
+        if more and grown * max(1, self.size) > MAX_EXPANSION:
             raise ValueError(f"broadcasting over {more} would make more than {MAX_EXPANSION} cells")
         for f in more:  # one long column for each coordinate; broadcast by Spark if it is small
             df = df.crossJoin(session().range(dims[f]).withColumnRenamed("id", f))

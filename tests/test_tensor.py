@@ -484,3 +484,10 @@ def test_storage_round_trip(tmp_path, spark):
         back = cf.read_tensor(spark, path)
         check(back, a)
         assert back.fill_value == t.fill_value
+
+
+def test_large_shapes_that_need_no_expansion(spark):
+    """A join over fields that both sides have makes no cells, whatever the shape."""
+    x = cf.from_coordinates([[0, 1 << 40], [5, 7]], [3.0, 4.0], (1 << 41, 1 << 20), fill=5.0)
+    assert cf.count_nonfill(x).item() == 2
+    assert (x + x).df.count() == 2
