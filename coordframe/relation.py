@@ -215,7 +215,7 @@ def _exact_product(dtype: np.dtype) -> Column:
     v = T.cast(F.col(VALUE), dtype, T.int64)
     parts = F.collect_list(F.when((v != 1) & (v != -1) & (v != 0), v))
     signs = F.count_if(v == -1) % 2
-    fold = F.aggregate(parts, F.lit(1).cast("bigint"), lambda x, y: x * y)
+    fold = F.aggregate(parts, F.lit(1).cast("bigint"), T.wrapped_product)
     return F.when(F.count_if(v == 0) > 0, F.lit(0).cast("bigint")).otherwise(fold * F.when(signs == 1, -1).otherwise(1))
 
 
@@ -229,7 +229,7 @@ def _product(df: DataFrame, kept: Sequence[str], dtype: np.dtype, out: np.dtype)
     multiply = OPS["multiply"]
 
     def fold(values: Column) -> Column:
-        return F.aggregate(values, T.literal(1, wide), lambda x, y: multiply.build([x, y], [wide, wide], wide))
+        return F.aggregate(values, T.literal(1, wide), (lambda x, y: multiply.build([x, y], [wide, wide], wide)) if T.is_complex(out) else T.wrapped_product)
 
     v = T.cast(F.col(VALUE), dtype, wide)
     part = F.pmod(F.monotonically_increasing_id(), F.lit(PRODUCT_PARTS)).alias("__part")
@@ -334,6 +334,14 @@ def _with_fills(op: Op, col: Column, n: Column, fill, out: np.dtype) -> Column:
         if T.is_complex(out):
             return F.struct((col["re"] + f["re"] * n).alias("re"), (col["im"] + f["im"] * n).alias("im"))
         return F.when(n > 0, col + (f * n)).otherwise(col).cast(T.storage(out))
+    if op.name == "multiply" and T.is_integer(out) and out != T.uint64:  # modulo 2**64, as the stored cells
+        squares = [int(fill)]
+        while len(squares) < 63:
+            squares.append(squares[-1] ** 2 % 2**64)
+        squares = F.array(*[F.lit(int(np.uint64(x % 2**64).astype(np.int64))) for x in squares])
+        bits = F.transform(squares, lambda x, k: F.when(F.getbit(n.cast("bigint"), k.cast("int")) == 1, x).otherwise(F.lit(1).cast("bigint")))
+        product = T.wrap(F.aggregate(bits, T.cast(col, out, T.int64), T.wrapped_product), out)
+        return F.when(n > 0, product).otherwise(col)
     if op.name == "multiply":
         power = OPS["power"].build([f, n.cast("bigint")], [out, T.int64], out)
         return F.when(n > 0, OPS["multiply"].build([col, power], [out, out], out)).otherwise(col)

@@ -97,6 +97,14 @@ def wrap(col: Column, dtype: np.dtype) -> Column:
     return (F.pmod(F.pmod(col.cast("bigint"), size) + half, size) - half).cast(storage(dtype))
 
 
+def wrapped_product(a: Column, b: Column) -> Column:
+    """The product of two bigint columns modulo 2**64, whether or not Spark raises on overflow."""
+    wide = a.cast("decimal(19,0)") * b.cast("decimal(19,0)")  # below 2**126, so it fits 38 digits
+    low = F.pmod(wide, F.lit(Decimal(2**64)).cast("decimal(38,0)"))
+    signed = F.when(low < F.lit(Decimal(2**63)), low).otherwise(low - F.lit(Decimal(2**64)))
+    return F.coalesce(F.try_multiply(a, b), signed.cast("bigint"))
+
+
 def cast(col: Column, source: np.dtype, target: np.dtype) -> Column:
     """NumPy's conversion: truncation toward zero, wrap-around, non-zero is true."""
     if source == target:

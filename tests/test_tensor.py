@@ -491,3 +491,18 @@ def test_large_shapes_that_need_no_expansion(spark):
     x = cf.from_coordinates([[0, 1 << 40], [5, 7]], [3.0, 4.0], (1 << 41, 1 << 20), fill=5.0)
     assert cf.count_nonfill(x).item() == 2
     assert (x + x).df.count() == 2
+
+
+def test_integer_products_wrap(spark):
+    """Products of groups are modulo 2**64 in Spark's ANSI mode too."""
+    rng = np.random.default_rng(5)
+    a = rng.integers(-(2**62), 2**62, (3, 50)) | 1
+    a[1] = 2
+    a[2, ::7] = 3
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    with np.errstate(all="ignore"):
+        for fill in (1, 3):
+            check(cf.prod(cf.from_numpy(a, fill), axis=1), np.prod(a, axis=1))
+        check(cf.prod(cf.asarray(a)), np.prod(a))
+        small = np.full((2, 9), 7, np.int32)
+        check(cf.reduce("multiply", cf.asarray(small), axis=1), np.multiply.reduce(small, axis=1, dtype=np.int32))
