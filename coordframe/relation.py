@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from decimal import Decimal
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -193,6 +194,9 @@ def repeated(op: Op, value, n: int):
     """``value`` folded with itself ``n`` times (n > 0)."""
     if op.idempotent or op.name in ("choose", "first_arg", "overwrite"):
         return value
+    if n >= 1 << 63 and op.name in ("add", "multiply") and np.asarray(value).dtype.kind in "iu":  # n is no int64
+        kind, whole = np.asarray(value).dtype, int(value) * n if op.name == "add" else pow(int(value), n, 1 << 64)
+        return np.uint64(whole % (1 << 64)).astype(kind)
     with np.errstate(all="ignore"):
         if op.name == "add":
             return value * n
@@ -203,7 +207,7 @@ def repeated(op: Op, value, n: int):
         if op.name == "bitwise_xor":
             return value if n % 2 else value ^ value
         if op.name == "logaddexp":
-            return value + np.log(n)
+            return value + math.log(n)
     out = value
     for _ in range(n - 1):
         out = op.value(out, value)
@@ -319,7 +323,7 @@ def aggregate(op: Op, rel: Relation, drop: Sequence[str], init=None, out: np.dty
         source, implicit = rel.dense(drop), False
         df = _host_fold(op, source, kept, drop, out)
     if implicit:
-        df = df.withColumn(VALUE, _with_fills(op, F.col(VALUE), F.lit(n) - F.col("__n"), fill, out))
+        df = df.withColumn(VALUE, _with_fills(op, F.col(VALUE), F.lit(n if n < 1 << 63 else Decimal(n)) - F.col("__n"), fill, out))
     if init is not None:
         df = df.withColumn(VALUE, op.build([T.literal(init, out), F.col(VALUE)], [out, out], out))
     if not kept:
@@ -339,11 +343,12 @@ def _with_fills(op: Op, col: Column, n: Column, fill, out: np.dtype) -> Column:
         while len(squares) < 63:
             squares.append(squares[-1] ** 2 % 2**64)
         squares = F.array(*[F.lit(int(np.uint64(x % 2**64).astype(np.int64))) for x in squares])
-        bits = F.transform(squares, lambda x, k: F.when(F.getbit(n.cast("bigint"), k.cast("int")) == 1, x).otherwise(F.lit(1).cast("bigint")))
+        few = F.pmod(n, F.lit(1 << 62)) if int(fill) % 2 else F.least(n, F.lit(64))  # odd powers come again, even ones are 0 from there on
+        bits = F.transform(squares, lambda x, k: F.when(F.getbit(few.cast("bigint"), k.cast("int")) == 1, x).otherwise(F.lit(1).cast("bigint")))
         product = T.wrap(F.aggregate(bits, T.cast(col, out, T.int64), T.wrapped_product), out)
         return F.when(n > 0, product).otherwise(col)
     if op.name == "multiply":
-        power = OPS["power"].build([f, n.cast("bigint")], [out, T.int64], out)
+        power = OPS["power"].build([f, n.cast("double")], [out, T.float64], out) if T.is_float(out) else OPS["power"].build([f, n.cast("bigint")], [out, T.int64], out)
         return F.when(n > 0, OPS["multiply"].build([col, power], [out, out], out)).otherwise(col)
     if op.name in ("logical_xor", "bitwise_xor"):
         return F.when(n % 2 == 1, op.build([col, f], [out, out], out)).otherwise(col)

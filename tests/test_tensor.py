@@ -506,3 +506,18 @@ def test_integer_products_wrap(spark):
         check(cf.prod(cf.asarray(a)), np.prod(a))
         small = np.full((2, 9), 7, np.int32)
         check(cf.reduce("multiply", cf.asarray(small), axis=1), np.multiply.reduce(small, axis=1, dtype=np.int32))
+
+
+def test_more_cells_than_int64_counts(spark):
+    """Folds over more than 2**63 cells count them exactly."""
+    n = 1 << 80
+
+    def x(values, fill):
+        return cf.from_coordinates([[0, 1 << 39], [5, 7]], values, (1 << 40, 1 << 40), fill=fill)
+
+    assert cf.sum(x([3, 4], 0)).item() == 7
+    assert cf.sum(x([3.0, 4.0], 0.5)).item() == (n - 2) * 0.5 + 7
+    assert cf.prod(x([3, 4], 3)).item() == (pow(3, n - 1, 1 << 64) * 4 + (1 << 63)) % (1 << 64) - (1 << 63)
+    assert cf.prod(x([3, 5], 2)).item() == 0
+    eye = cf.from_coordinates([[1, 2], [1, 2]], [2, 3], (1 << 40, 1 << 40))
+    assert cf.sum(cf.einop("R[i] += A[i,j] * B[j,k] * C[k,l]", A=eye, B=eye, C=eye)).item() == 35
