@@ -521,3 +521,21 @@ def test_more_cells_than_int64_counts(spark):
     assert cf.prod(x([3, 5], 2)).item() == 0
     eye = cf.from_coordinates([[1, 2], [1, 2]], [2, 3], (1 << 40, 1 << 40))
     assert cf.sum(cf.einop("R[i] += A[i,j] * B[j,k] * C[k,l]", A=eye, B=eye, C=eye)).item() == 35
+
+
+@pytest.mark.parametrize("dense", [1e-9, 1e9])
+def test_products_in_blocks(dense, monkeypatch):
+    """Tiles and packed lists give what a join gives."""
+    from coordframe.plans import blocks
+
+    for name, value in (("LEAST", 1), ("GROWS", 0), ("ROWS", 4), ("LIST", 3), ("DENSE", dense)):
+        monkeypatch.setattr(blocks, name, value)
+    called, kept = [], {f: getattr(blocks, f) for f in ("tiled", "packed")}
+    for f in kept:
+        monkeypatch.setattr(blocks, f, lambda *a, f=f: called.append(f) or kept[f](*a))
+    rng = np.random.default_rng(3)
+    x, y = (rng.integers(-3, 4, s) * rng.integers(0, 2, s) for s in ((2, 9, 5), (2, 5, 7)))
+    check(cf.einsum("bij,bjk->bik", cf.asarray(x), cf.asarray(y)), np.einsum("bij,bjk->bik", x, y))
+    check(cf.matmul(cf.asarray(x[0]), cf.asarray(y[0])), x[0] @ y[0])
+    check(cf.einsum("bij,bjk->ik", cf.asarray(x), cf.asarray(y)), np.einsum("bij,bjk->ik", x, y))
+    assert called == ["tiled" if dense < 1 else "packed"] * 3
